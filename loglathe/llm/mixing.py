@@ -136,14 +136,14 @@ def _drawn(blocks: DataFrame, per: DataFrame, depth: int, seed: int) -> DataFram
 
 
 def _cut_block(rows: DataFrame, seed: int) -> DataFrame:
-    """Of the blocks in which targets are met: documents in a permuted order while room for two
+    """Of the blocks in which targets are met: documents in a permuted order while room for one
     of the largest is left, then a few times the largest that still fits, then the one that comes
     nearest to the words left over, if that is nearer than none."""
     block = Window.partitionBy("rank", "block")
     chance = F.xxhash64(F.lit(seed + 1), F.col("doc_id"))
     rows = rows.withColumn("upto", F.sum("size").over(block.orderBy(chance, "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("in", F.col("upto") <= F.col("part.room") - 2 * F.max("size").over(block))
-    for nearest in (False,) * 5 + (True,):
+    rows = rows.withColumn("in", F.col("upto") <= F.col("part.room") - F.max("size").over(block))
+    for nearest in (False,) * 10 + (True,):
         rows = rows.withColumn("over", F.col("part.room") - F.coalesce(F.sum(F.when(F.col("in"), F.col("size"))).over(block), F.lit(0)))
         off = F.abs(F.col("over") - F.col("size"))
         able = ~F.col("in") & ((off < F.col("over")) if nearest else (F.col("size") <= F.col("over")))

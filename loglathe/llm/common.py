@@ -42,9 +42,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so that a lost
     executor costs no recomputation, and later plans see an unpartitioned table, which lets
     adaptive execution split hot keys of a join with it."""
-    path = fresh_path(df.sparkSession, name)
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark._jvm.System.gc()  # the driver lets go of shuffles that no plan needs any more, executors delete them
+    table = spark.read.schema(df.schema).parquet(path)
+    table._loglathe_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that cut() wrote and that no plan still to run reads."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._loglathe_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def remove_shared(spark: SparkSession) -> None:

@@ -12,12 +12,15 @@ then the parse's.  In this order
 * a phrase that equals the one before it is a repeat as a whole;
 * a trigger that only one phrase has can't belong to a repeated gram, its phrase is done;
 * the rest, first occurrences of a phrase whose trigger other phrases have as well (the edges of
-  repeated passages), hand in their single grams, ordered and compared in the same way.
+  repeated passages), go on.  A gram that starts more than REACH bytes before its trigger holds the
+  REACH bytes before the trigger too, any other one as many more bytes after it: these two cores of a
+  phrase are counted, and where a core is met twice the grams that hold it are handed in, ordered and
+  compared one by one.
 The order is a range partitioning on the full key, so that neither a frequent phrase nor a frequent
 trigger fills one task.  Where a partition starts or ends within a trigger's phrases these count as
 met elsewhere and hand in their grams too, which costs work, never results.
 
-Strings are compared by hashes of 64 bits beside the trigger's 64 (phrases) or of 128 bits (grams).
+Strings are compared by hashes: 64 bits beside the trigger's 64 for phrases, 96 bits for grams.
 The suffix arrays of the method are kept as these sorted tables: no task ever needs a whole one.
 """
 
@@ -31,9 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import cut, discard, prepare
 
 LENGTH, WINDOW = 100, 32
+REACH = (LENGTH - WINDOW) // 2
+#: Bytes of the cores before and after a trigger, with the trigger.
+CORE = LENGTH - REACH
 #: Bytes that are hashed at a time; longer documents go in pieces that overlap.
 CHUNK = 1 << 20
 #: Odd multipliers and seeds of the rolling hashes: any odd values do.
@@ -113,7 +119,8 @@ def _firsts(order: tuple[np.ndarray, ...], same: tuple[np.ndarray, ...]) -> tupl
 
 
 _PHRASES = ["trigger", "phrase", "doc_id", "start", "extent"]
-#: extent: grams of the phrase, as a negative number where the phrase is known to be a repeat.
+#: extent: grams of the phrase (below 128) and 128 times the bytes from the first gram to the trigger;
+#: negative where the phrase is known to be a repeat.
 _PHRASE_SCHEMA = "trigger bigint, phrase bigint, doc_id bigint, start bigint, extent int"
 _SPAN_SCHEMA = "doc_id bigint, start bigint, extent int"
 
@@ -139,7 +146,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.flatnonzero(np.concatenate([[True], (trigger[gram][1:] != trigger[gram][:-1]) | (doc[gram][1:] != doc[gram][:-1])]))
             last = np.concatenate([first[1:], [len(gram)]]) - 1
             a, b = gram[first], gram[last]
-            parts.append((keys[trigger[a]].view(np.int64), whole.of(a, b + LENGTH).view(np.int64), ids[doc[a]], low + a - starts[doc[a]], (b - a + 1).astype(np.int32)))
+            parts.append((keys[trigger[a]].view(np.int64), whole.of(a, b + LENGTH).view(np.int64), ids[doc[a]], low + a - starts[doc[a]], (b - a + 1 + 128 * (trigger[a] - a)).astype(np.int32)))
         if not parts:
             continue
         key, phrase, doc, start, extent = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -185,69 +192,109 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield judged(held, None)
 
 
-_GRAMS = ["gram", "other", "doc_id", "start", "repeat"]
+def _listed(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(bytes, ends, document, start within the bytes, extent) of the phrases listed for each document, in order."""
+    data, ends = _bytes(batch)
+    lists = batch.column("phrases")
+    doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy())
+    flat = lists.flatten()
+    low = flat.field("start").to_numpy() + np.concatenate([[0], ends[:-1]])[doc]
+    by = np.argsort(low, kind="stable")
+    return data, ends, doc[by], low[by], flat.field("extent").to_numpy().astype(np.int64)[by]
+
+
+def _within(data: np.ndarray, ends: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, slice]]:
+    """(from, bytes, which of the sorted places start there) of the pieces that have any."""
+    for i, j, _ in _pieces(data, ends):
+        # a part of a long document shares its last bytes with the next part, which has the places there
+        chosen = slice(*np.searchsorted(at, [i, min(i + CHUNK, j) if j - i > CHUNK else j]))
+        if chosen.start < chosen.stop:
+            yield i, data[i:j], chosen
+
+
+def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cores of the listed phrases, each with the grams that hold it."""
+    rolling = Rolling(1)
+    for batch in batches:
+        data, ends, doc, low, code = _listed(batch)
+        ids, origin = batch.column("doc_id").to_numpy(), np.concatenate([[0], ends[:-1]])
+        parts = []
+        for i, piece, chosen in _within(data, ends, low):
+            a, extent, trigger = low[chosen] - i, code[chosen] % 128, low[chosen] - i + code[chosen] // 128
+            rolling.load(piece)
+            edge = np.clip(trigger - REACH, a, a + extent)
+            for start, end, core in ((a, edge, trigger - REACH), (edge, a + extent, trigger)):
+                some = np.flatnonzero(end > start)
+                d = doc[chosen][some]
+                parts.append((rolling.of(core[some], core[some] + CORE).view(np.int64), ids[d], start[some] + i - origin[d], (end - start)[some].astype(np.int32)))
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["core", "doc_id", "start", "extent"])
+
+
+_GRAM_SCHEMA = "gram bigint, other int, doc_id bigint, start bigint, extent int"
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The grams of the listed phrases of each document: of equals in a batch the first, and the others as repeats."""
+    """The grams of the listed phrases: of equals in a batch the first, and runs of the others as repeats, without hashes."""
     one, two = Rolling(1), Rolling(2)
     for batch in batches:
-        data, ends = _bytes(batch)
-        ids = batch.column("doc_id").to_numpy()
-        origin = np.concatenate([[0], ends[:-1]])
-        lists = batch.column("phrases")
-        doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy())
-        flat = lists.flatten()
-        low, extent = flat.field("start").to_numpy() + origin[doc], flat.field("extent").to_numpy().astype(np.int64)
+        data, ends, doc, low, extent = _listed(batch)
+        ids, origin = batch.column("doc_id").to_numpy(), np.concatenate([[0], ends[:-1]])
         at = np.repeat(low - np.concatenate([[0], np.cumsum(extent)[:-1]]), extent) + np.arange(extent.sum())
         doc = np.repeat(doc, extent)
-        by = np.argsort(at, kind="stable")
-        at, doc = at[by], doc[by]
-        inside = at + LENGTH <= ends[doc]
-        at, doc = at[inside], doc[inside]
         parts = []
-        for i, j, _ in _pieces(data, ends):
-            chosen = slice(*np.searchsorted(at, [i, min(i + CHUNK, j) if j - i > CHUNK else j]))
-            if chosen.start == chosen.stop:
-                continue
-            piece, p = data[i:j], at[chosen] - i
+        for i, piece, chosen in _within(data, ends, at):
+            p = at[chosen] - i
             one.load(piece), two.load(piece)
-            parts.append((one.of(p, p + LENGTH).view(np.int64), two.of(p, p + LENGTH).view(np.int64), ids[doc[chosen]], at[chosen] - origin[doc[chosen]]))
+            parts.append((one.of(p, p + LENGTH).view(np.int64), (two.of(p, p + LENGTH) >> np.uint64(32)).astype(np.uint32).view(np.int32), ids[doc[chosen]], at[chosen] - origin[doc[chosen]]))
         if not parts:
             continue
         g, h, d, s = (np.concatenate(x) for x in zip(*parts, strict=True))
         by, lead = _firsts((d, s), (g, h))
         repeat = np.zeros(len(g), bool)
         repeat[by] = (d[by] != d[by][lead]) | (s[by] != s[by][lead])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, h, d, s, repeat)], _GRAMS)
-
-
-def _removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What is left of each document without the bytes that its repeats cover."""
-    for batch in batches:
-        texts, lists = batch.column("text"), batch.column("repeats")
-        sizes, removed, runs, kept = [], [], [], []
-        for r in range(batch.num_rows):
-            text = texts[r].as_py() or b""
-            found = lists[r].values
-            sizes.append(len(text))
-            if found is None or not len(found):
-                removed.append(0), runs.append(0), kept.append(text)
-                continue
-            low = found.field("start").to_numpy()
-            edges = np.zeros(len(text) + 1, np.int64)
-            np.add.at(edges, np.minimum(low, len(text)), 1)
-            np.add.at(edges, np.minimum(low + found.field("extent").to_numpy() + LENGTH - 1, len(text)), -1)
-            gone = np.cumsum(edges[:-1]) > 0
-            removed.append(int(gone.sum()))
-            runs.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()))
-            kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
+        rd, rs = d[repeat], s[repeat]
+        new = np.flatnonzero(np.concatenate([[True], (rd[1:] != rd[:-1]) | (rs[1:] != rs[:-1] + 1)])) if len(rd) else np.zeros(0, np.int64)
+        runs = np.diff(np.append(new, len(rd)))
+        first = ~repeat
+        none = pa.nulls(len(new))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
+            [pa.concat_arrays([pa.array(g[first]), none.cast(pa.int64())]), pa.concat_arrays([pa.array(h[first]), none.cast(pa.int32())]), pa.array(np.concatenate([d[first], rd[new]])), pa.array(np.concatenate([s[first], rs[new]])), pa.array(np.concatenate([np.ones(first.sum(), np.int32), runs.astype(np.int32)]))],
+            ["gram", "other", "doc_id", "start", "extent"],
         )
 
 
+def _removal(keep: int, as_text: bool):
+    """What is left of each document without the bytes that its repeats cover; keep: columns that come along first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, lists = batch.column("text"), batch.column("repeats")
+            sizes, removed, runs, kept = [], [], [], []
+            for r in range(batch.num_rows):
+                text = texts[r].as_py() or b""
+                found = lists[r].values
+                sizes.append(len(text))
+                if found is None or not len(found):
+                    removed.append(0), runs.append(0), kept.append(text)
+                    continue
+                low = found.field("start").to_numpy()
+                edges = np.zeros(len(text) + 1, np.int64)
+                np.add.at(edges, np.minimum(low, len(text)), 1)
+                np.add.at(edges, np.minimum(low + found.field("extent").to_numpy() + LENGTH - 1, len(text)), -1)
+                gone = np.cumsum(edges[:-1]) > 0
+                removed.append(int(gone.sum()))
+                runs.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()))
+                kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
+            left = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in range(keep)), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), left],
+                [*batch.schema.names[:keep], "n_bytes", "n_removed", "n_spans", "kept"],
+            )
+
+    return run
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, start, extent): the grams that start in [start, start + extent) are repeats."""
     spark = docs.sparkSession
@@ -257,31 +304,38 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     phrases = cut(texts.mapInArrow(_parse, _PHRASE_SCHEMA), "phrases")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = phrases.where("extent > 0").repartitionByRange(parts, "trigger", "phrase", "doc_id", "start").sortWithinPartitions("trigger", "phrase", "doc_id", "start")
-    judged = cut(ordered.mapInArrow(_judge, _SPAN_SCHEMA), "judged")
-    whole = phrases.unionByName(judged.withColumns({"trigger": F.lit(0), "phrase": F.lit(0)})).where("extent < 0").select("doc_id", "start", (-F.col("extent")).alias("extent"))
+    judged = cut(ordered.mapInArrow(_judge, _SPAN_SCHEMA).unionByName(phrases.where("extent < 0").select("doc_id", "start", "extent")), "judged")
+    discard(phrases)
     edges = judged.where("extent > 0").groupBy("doc_id").agg(F.collect_list(F.struct("start", "extent")).alias("phrases"))
-    grams = cut(texts.join(edges, "doc_id").mapInArrow(_grams, "gram bigint, other bigint, doc_id bigint, start bigint, repeat boolean"), "grams")
-    first = grams.where("not repeat").groupBy("gram", "other").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    single = grams.where("not repeat").join(cut(first.drop("n"), "first"), ["gram", "other"]).where("struct(doc_id, start) > first").select("doc_id", "start")
-    single = single.unionByName(grams.where("repeat").select("doc_id", "start"))
-    return whole.unionByName(single.withColumn("extent", F.lit(1)))
+    cores = cut(texts.join(edges, "doc_id").mapInArrow(_cores, "core bigint, doc_id bigint, start bigint, extent int"), "cores")
+    shared = cut(cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "shared")
+    edges = cores.join(shared, "core", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("start", "extent")).alias("phrases"))
+    grams = cut(texts.join(edges, "doc_id").mapInArrow(_grams, _GRAM_SCHEMA), "grams")
+    discard(cores)
+    first = grams.where("gram is not null").groupBy("gram", "other").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    single = grams.join(cut(first.drop("n"), "first"), ["gram", "other"]).where("struct(doc_id, start) > first")
+    whole = judged.where("extent < 0").select("doc_id", "start", (-F.col("extent") % 128).alias("extent"))
+    return whole.unionByName(grams.where("gram is null").select("doc_id", "start", "extent")).unionByName(single.select("doc_id", "start", "extent"))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_bytes, n_removed, n_spans, kept), one for each row of docs (doc_id, text, ...).
+def without_repeats(docs: DataFrame, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """Rows (doc_id, *keep, n_bytes, n_removed, n_spans, kept), one for each row of docs (doc_id, text, ...).
 
     A byte is removed if a string of LENGTH bytes covers it that also starts earlier: in a smaller
     doc_id, or before it in the same document.  Strings are judged on the input and never cross
-    documents.  kept: the bytes that stay, in order; n_spans: maximal runs of removed bytes.
+    documents.  kept: the bytes that stay, in order, or with as_text the text that they spell, without
+    what is left of characters that were cut; n_spans: maximal runs of removed bytes.
 
     Null texts count as empty.  A text under LENGTH bytes has no repeats.  A row without doc_id has
     no place in the order: it stays whole and removes nothing.  A row that repeats another's doc_id
     is the same document and neither removes from the other; such rows should have the same text.
-    Columns other than doc_id and text are not read.
+    Columns other than doc_id, text and keep's are not read.
     """
     spans = cut(repeated_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "extent")).alias("repeats")), "spans")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return texts.join(spans, "doc_id", "left").mapInArrow(_removal, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *keep, F.col("text").cast("binary").alias("text"))
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1])
+    joined = texts.join(spans, "doc_id", "left").select(*texts.columns, "repeats")
+    return joined.mapInArrow(_removal(len(keep) + 1, as_text), f"{own}, n_bytes bigint, n_removed bigint, n_spans bigint, kept {'string' if as_text else 'binary'}")
 
 
 def brute_force(texts: dict[int, bytes]) -> dict[int, tuple[int, int, str]]:

@@ -49,6 +49,12 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neighbours import nearest
 
@@ -69,8 +75,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_mixing, op3_simhash, op5_repeats, op6_language, op8_neighbours, op9_licenses, op10_decontamination)
+    f.__name__: f for f in (op1_token_counts, op2_mixing, op3_simhash, op5_repeats, op6_language, op7_warc, op8_neighbours, op9_licenses, op10_decontamination)
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op9_licenses": scan_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc": """
+        with p as (select page_id, encode(coalesce(html, '')) as b from pages), d as (select page_id, octet_length(b) as n, sha1(b) as h from p),
+        m as (select h, n, max(page_id) as first from d where n >= 1000 group by h, n)
+        select page_id, n as payload_bytes, h as payload_digest, case when first is null or first = page_id then 'response' else 'revisit' end as record_type,
+               case when first <> page_id then first end as refers_to
+        from d left join m using (h, n)""",
+    "op9_licenses": scan_sql(),
+}

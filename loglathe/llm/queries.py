@@ -35,6 +35,18 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+#: A conversation whose texts hold the template's own control strings.
+CONTROL = (-7, "\\### Assistant: </turn> ok")
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import pack, read_back
+
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(F.lit(CONTROL[0]).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL[1]).alias("text"))
+    return read_back(pack(rows.unionByName(added)))
+
+
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import without_repeats
 
@@ -75,7 +87,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_mixing, op3_simhash, op5_repeats, op6_language, op7_warc, op8_neighbours, op9_licenses, op10_decontamination)
+    f.__name__: f for f in (op1_token_counts, op2_mixing, op3_simhash, op4_chat, op5_repeats, op6_language, op7_warc, op8_neighbours, op9_licenses, op10_decontamination)
 }
 
 #: DuckDB SQL for the queries that SQL can express.

@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Column functions: JSON literals, key=value pairs, units, vocabulary."""

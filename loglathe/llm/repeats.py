@@ -296,7 +296,8 @@ def _removal(keep: int, as_text: bool):
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, start, extent): the grams that start in [start, start + extent) are repeats."""
+    """Rows (doc_id, repeats), repeats being an array of (start, extent): the document's grams that
+    start in [start, start + extent) are repeats.  The table is written to the shared folder."""
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -312,10 +313,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     edges = cores.join(shared, "core", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("start", "extent")).alias("phrases"))
     grams = cut(texts.join(edges, "doc_id").mapInArrow(_grams, _GRAM_SCHEMA), "grams")
     discard(cores)
+    discard(shared)
     first = grams.where("gram is not null").groupBy("gram", "other").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    single = grams.join(cut(first.drop("n"), "first"), ["gram", "other"]).where("struct(doc_id, start) > first")
+    first = cut(first.drop("n"), "first")
+    single = grams.join(first, ["gram", "other"]).where("struct(doc_id, start) > first")
     whole = judged.where("extent < 0").select("doc_id", "start", (-F.col("extent") % 128).alias("extent"))
-    return whole.unionByName(grams.where("gram is null").select("doc_id", "start", "extent")).unionByName(single.select("doc_id", "start", "extent"))
+    every = whole.unionByName(grams.where("gram is null").select("doc_id", "start", "extent")).unionByName(single.select("doc_id", "start", "extent"))
+    spans = cut(every.groupBy("doc_id").agg(F.collect_list(F.struct("start", "extent")).alias("repeats")), "spans")
+    for table in (judged, grams, first):
+        discard(table)
+    return spans
 
 
 def without_repeats(docs: DataFrame, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
@@ -331,7 +338,7 @@ def without_repeats(docs: DataFrame, keep: tuple[str, ...] = (), as_text: bool =
     is the same document and neither removes from the other; such rows should have the same text.
     Columns other than doc_id, text and keep's are not read.
     """
-    spans = cut(repeated_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "extent")).alias("repeats")), "spans")
+    spans = repeated_spans(docs)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *keep, F.col("text").cast("binary").alias("text"))
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1])
     joined = texts.join(spans, "doc_id", "left").select(*texts.columns, "repeats")

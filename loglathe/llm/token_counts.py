@@ -1,16 +1,16 @@
 """Token counts: pieces are counted once per distinct pre-token, then joined to per-document
 pre-token frequencies and summed; no token id is ever kept.
 
-A pre-token is a maximal run of bytes other than ASCII white space.  The vocabularies served here
-never join pieces across white space, and their normalisers (NFC, white-space folding, lower case)
-act within such runs, so a text's count is the sum over its runs.  A special string such as
-``<|endoftext|>`` holds no white space, so the library meets it within a run and treats it as ever.
+White space parts a text into words, words into the vocabulary's pre-tokens.  Where a vocabulary's
+pre-tokens hold white space themselves (byte-level ones whose words start with it) whole texts are
+parted instead.  Words that hold one of the vocabulary's special strings stay whole, so that the
+library handles these as it does by default.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,115 +20,185 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
-_FREQUENCIES = "block string, ids array<bigint>, sizes array<bigint>, ends array<int>, codes array<int>, counts array<int>, words array<string>"
-
-
-def _block(batch: pa.RecordBatch) -> dict:
-    """The frequencies of a batch of documents as a sparse matrix over the batch's own words."""
-    text = pc.fill_null(batch.column("text"), "")
-    split = pc.ascii_split_whitespace(text)
-    words = split.flatten()
-    doc = pc.list_parent_indices(split)
-    kept = pc.not_equal(words, "")
-    words, doc = words.filter(kept), doc.filter(kept).to_numpy().astype(np.int64)
-    coded = words.dictionary_encode()
-    width = max(1, len(coded.dictionary))
-    pairs, counts = np.unique(doc * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
-    rows = pairs // width
-    return {
-        "ids": batch.column("doc_id"),
-        "sizes": pc.binary_length(text),
-        "ends": np.searchsorted(rows, np.arange(batch.num_rows), side="right").astype(np.int32),
-        "codes": (pairs % width).astype(np.int32),
-        "counts": counts.astype(np.int32),
-        "words": coded.dictionary,
-    }
-
-
-def _one(values: pa.Array | np.ndarray, kind: pa.DataType) -> pa.Array:
-    flat = pa.array(values) if isinstance(values, np.ndarray) else values
-    return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat.cast(kind))
-
-
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x = _block(batch)
-        name = xxhash.xxh3_128()
-        for part in (x["ids"].cast(pa.string()).fill_null("null"), x["words"]):
-            for buffer in part.buffers():
-                name.update(buffer or b"")
-        name.update(x["ends"])
-        name.update(x["codes"])
-        name.update(x["counts"])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([name.hexdigest()]), _one(x["ids"], pa.int64()), _one(x["sizes"], pa.int64()), _one(x["ends"], pa.int32()), _one(x["codes"], pa.int32()), _one(x["counts"], pa.int32()), _one(x["words"], pa.string())],
-            ["block", "ids", "sizes", "ends", "codes", "counts", "words"],
-        )
-
-
-def _library(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path.endswith(".model"):
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda words: [len(x) for x in model.encode(words, num_threads=1)]
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(path)
-    model.no_truncation()
-    model.no_padding()
-    return lambda words: [len(x) for x in model.encode_batch_fast(words, add_special_tokens=False)]
-
-
-def _counter(vocabulary: str):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _library(vocabulary)
+_BLOCK = "block string, ids array<bigint>, sizes array<bigint>, matrix binary, words array<string>"
+#: Stands before a word that is left to the library as it is; no pre-token starts with it.
+RAW = " "
+
+
+class Vocabulary:
+    """Parts words into pre-tokens and counts the pieces of pre-tokens, as the vocabulary's library does."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.spaced, self.stops, self.model, self.special = False, False, None, []
+        if path.endswith(".model"):
+            import sentencepiece
+
+            whole = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.whole = lambda words: [len(x) for x in whole.encode(words, num_threads=1)]
+            return
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(path)
+        whole.no_truncation()
+        whole.no_padding()
+        self.library = whole  # keeps the parts below alive
+        self.whole = lambda words: [len(x) for x in whole.encode_batch_fast(words, add_special_tokens=False)]
+        self.special = [x.content for x in whole.get_added_tokens_decoder().values()]
+        if whole.pre_tokenizer is not None:
+            self.model = whole.model
+            self.normalize = whole.normalizer.normalize_str if whole.normalizer is not None else lambda x: x
+            self.part = whole.pre_tokenizer.pre_tokenize_str
+            self.spaced = any(not x.isalpha() or len(x) > 1 for x, _ in self.part(self.normalize("a b  c")))
+            # stops at a word's end are pre-tokens of their own: such words can be parted before they are told apart
+            self.stops = not self.spaced and [x for x, _ in self.part(self.normalize("ab., ab"))] == ["ab", ".,", "ab"] and not any(c in x for x in self.special for c in ".,")
+
+    def pre_tokens(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The pre-tokens of words, and the index of the word that each is of."""
+        if self.model is None:
+            return [RAW + x for x in words], np.arange(len(words))
+        every = "\n".join(words)
+        odd = [i for i, x in enumerate(words) if any(s in x for s in self.special)] if any(s in every for s in self.special) else []
+        if len(odd) == len(words):
+            return [RAW + x for x in words], np.arange(len(words))
+        plain = sorted(set(range(len(words))) - set(odd)) if odd else range(len(words))
+        if self.spaced:
+            found = [[x for x, _ in self.part(self.normalize(words[i]))] for i in plain]
+            of = np.repeat(np.fromiter(plain, np.int64), [len(x) for x in found])
+            parts = [x for y in found for x in y]
+        else:
+            text = self.normalize(" ".join(words[i] for i in plain))
+            found = self.part(text)
+            parts = [x for x, _ in found]
+            spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32)
+            of = np.fromiter(plain, np.int64)[np.searchsorted(spaces, np.fromiter((at for _, (at, _) in found), np.int64))]
+        return parts + [RAW + words[i] for i in odd], np.concatenate([of, np.asarray(odd, np.int64)])
+
+    def pieces(self, parts: list[str]) -> np.ndarray:
+        out = np.zeros(len(parts), np.int64)
+        raw = [i for i, x in enumerate(parts) if x.startswith(RAW)]
+        out[raw] = self.whole([parts[i][1:] for i in raw]) if raw else []
+        for i in sorted(set(range(len(parts))) - set(raw)):
+            out[i] = len(self.model.tokenize(parts[i]))
+        return out
+
+
+def _pack(rows: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> bytes:
+    """A sparse matrix, by row and code: codes as differences, numbers as planes of bytes, compressed."""
+    steps = np.diff(codes, prepend=0)
+    fresh = np.flatnonzero(np.diff(rows, prepend=-1))
+    steps[fresh] = codes[fresh]
+    planes = b"".join(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for x in (np.diff(rows, prepend=0), steps, counts))
+    return len(rows).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int.from_bytes(packed[:8], "little")
+    planes = np.frombuffer(pa.decompress(packed[8:], 12 * n, "zstd", asbytes=True), np.uint8).reshape(3, 4, n)
+    steps, gaps, counts = (np.ascontiguousarray(x.T).view("<u4").ravel().astype(np.int64) for x in planes)
+    rows, total = np.cumsum(steps), np.cumsum(gaps)
+    fresh = np.flatnonzero(np.diff(rows, prepend=-1))
+    base = total[fresh] - gaps[fresh]
+    return rows, total - np.repeat(base, np.diff(np.append(fresh, n))), counts
+
+
+def _blocks(path: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        vocabulary = Vocabulary(path)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            text = pc.fill_null(batch.column("text"), "")
+            if vocabulary.spaced:
+                words, doc = text, np.arange(len(text))
+            else:
+                split = pc.ascii_split_whitespace(pc.replace_substring_regex(text, r"(\pL)([.,]+)(\s|$)", r"\1 \2\3") if vocabulary.stops else text)
+                words, doc = split.flatten(), pc.list_parent_indices(split)
+                kept = pc.not_equal(words, "")
+                words, doc = words.filter(kept), doc.filter(kept).to_numpy().astype(np.int64)
+            coded = words.dictionary_encode()
+            width = max(1, len(coded.dictionary))
+            pairs, counts = np.unique(doc * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            parts, of = vocabulary.pre_tokens(coded.dictionary.to_pylist()) if len(coded.dictionary) else ([], np.zeros(0, np.int64))
+            part = pa.array(parts, pa.string()).dictionary_encode()
+            # documents x words times words x pre-tokens, both sparse
+            by = np.argsort(of, kind="stable")
+            each = np.bincount(of, minlength=width)
+            start = np.cumsum(each) - each
+            word, much = pairs % width, each[pairs % width]
+            at = np.repeat(start[word] - (np.cumsum(much) - much), much) + np.arange(much.sum())
+            rank = part.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.argsort(-np.bincount(rank, minlength=len(part.dictionary)), kind="stable")
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            wide = max(1, len(order))
+            keys, group = np.unique(np.repeat(pairs // width, much) * wide + place[rank[by][at]], return_inverse=True)
+            matrix = _pack(keys // wide, keys % wide, np.bincount(group, np.repeat(counts, much), len(keys)).astype(np.int64))
+            names = part.dictionary.take(pa.array(order))
+            ids = batch.column("doc_id")
+            name = xxhash.xxh3_128(matrix)
+            name.update("\n".join(names.to_pylist()))
+            name.update(repr(ids.to_pylist()))
+            sizes = pc.binary_length(text).cast(pa.int64())
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            yield pa.RecordBatch.from_arrays([pa.array([name.hexdigest()]), one(ids), one(sizes), pa.array([matrix], pa.binary()), one(names)], ["block", "ids", "sizes", "matrix", "words"])
+
+    return run
+
+
+def _counted(path: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(path)
+        last: tuple = (None, 0)  # words come in order: only the last of a batch can go on in the next
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(pieces(words) if words else [], pa.int32())], ["word", "pieces"])
+            coded = batch.column("word").dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            if not words:
+                continue
+            pieces = np.concatenate([[last[1]], vocabulary.pieces(words[1:])]) if words[0] == last[0] else vocabulary.pieces(words)
+            last = (words[-1], pieces[-1])
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("code"), pa.array(pieces[coded.indices.to_numpy(zero_copy_only=False)].astype(np.int32))], ["block", "code", "pieces"])
 
-    return count
+    return run
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in range(batch.num_rows):
-            get = lambda name: batch.column(name)[r].values  # noqa: B023, E731
-            ids, ends, codes, counts = get("ids"), get("ends").to_numpy(), get("codes").to_numpy(), get("counts").to_numpy()
-            known, per = batch.column("known")[r].values, np.zeros(0, np.int64)
-            if known is not None and len(known):
-                per = np.full(len(known), -1, np.int64)
+            ids, known = batch.column("ids")[r].values, batch.column("known")[r].values
+            rows, codes, counts = _unpack(batch.column("matrix")[r].as_py())
+            per = np.full(codes.max(initial=-1) + 1, -1, np.int64)
+            if known is not None:
+                per = np.full(max(len(per), known.field("code").to_numpy().max(initial=-1) + 1), -1, np.int64)
                 per[known.field("code").to_numpy()] = known.field("pieces").to_numpy()
-            if len(codes) and (len(per) <= codes.max() or per.min() < 0):
+            if (per < 0).any():
                 raise ValueError("the documents changed between two reads of them")
-            total = np.concatenate([[0], np.cumsum(per[codes] * counts)]) if len(codes) else np.zeros(1, np.int64)
-            n = np.diff(total[np.concatenate([[0], ends])])
-            yield pa.RecordBatch.from_arrays([ids, get("sizes"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            n = np.zeros(len(ids), np.int64)
+            np.add.at(n, rows, per[codes] * counts)
+            yield pa.RecordBatch.from_arrays([ids, batch.column("sizes")[r].values, pa.array(n)], ["doc_id", "n_bytes", "n_tokens"])
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFrame:
     """Rows (doc_id, n_bytes, n_tokens, over_limit), one for each row of docs (doc_id, text, ...).
 
-    vocabulary: the path, on every executor, of a .json (tokenizers) or .model (sentencepiece) file
-    whose pieces never span white space.  Begin and end tokens are not added, nothing is truncated.
-    Null texts and empty ones have no bytes and no tokens; repeated rows have a row each; a null
-    doc_id stays null; columns other than doc_id and text are not read.
+    vocabulary: the path, on every executor, of a .json (tokenizers) or .model (sentencepiece) file.
+    Begin and end tokens are not added, nothing is truncated.  Null texts and empty ones have no bytes
+    and no tokens; repeated rows have a row each; a null doc_id stays null; columns other than doc_id
+    and text are not read.
 
-    Words are coded per block of documents (at most an Arrow batch), so a very frequent word has a
-    row per block and none per document; only words go to the library and only (block, code, pieces)
-    come back to the block.  Blocks are named by a digest of what they hold, since they are made
-    twice; a source that returns other rows when read again is an error, not a wrong count.
+    Pre-tokens are coded per block of documents (at most an Arrow batch), so a very frequent one has a
+    row per block and none per document.  Only (block, code, pre-token) goes out to be counted, where
+    equal pre-tokens meet in order, and only (block, code, pieces) comes back to the block's
+    frequencies.  Blocks are named by a digest of what they hold, since they are made twice; a source
+    that returns other rows when read again is an error, not a wrong count.
     """
     prepare(docs.sparkSession)
-    blocks = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_frequencies, _FREQUENCIES)
-    words = blocks.select("block", F.posexplode("words").alias("code", "word"))
-    pieces = words.select("word").distinct().mapInArrow(_counter(vocabulary), "word string, pieces int")
-    known = words.join(pieces, "word").groupBy("block").agg(F.collect_list(F.struct("code", "pieces")).alias("known"))
-    joined = blocks.drop("words").join(known, "block", "left").select("ids", "sizes", "ends", "codes", "counts", "known")
+    blocks = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_blocks(vocabulary), _BLOCK)
+    words = blocks.select("block", F.posexplode("words").alias("code", "word")).repartition("word").sortWithinPartitions("word")
+    pieces = words.mapInArrow(_counted(vocabulary), "block string, code int, pieces int")
+    known = pieces.groupBy("block").agg(F.collect_list(F.struct("code", "pieces")).alias("known"))
+    joined = blocks.drop("words").join(known, "block", "left").select("ids", "sizes", "matrix", "known")
     counted = joined.mapInArrow(_summed, "doc_id bigint, n_bytes bigint, n_tokens bigint")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

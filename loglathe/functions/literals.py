@@ -68,6 +68,12 @@ def falsy(literal: Column) -> Column:
     return literal.isNull() | literal.isin("null", "false", '""', "{}", "[]") | literal.rlike(r"^-?0(\.0*)?([eE].*)?$")
 
 
+def sealed(value: Column) -> Column:
+    """The same value, which the optimiser doesn't copy into the predicates and projections that use
+    it: long expressions are computed once, in their own projection."""
+    return F.when(F.rand(0) >= 0, value)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 

@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.literals import text_of
+from ..functions.literals import sealed, text_of
 from ..functions.vocabulary import ERROR_CODE, WORDS
 
 _TEXT = {"type": "string", "minLength": 1}
@@ -32,19 +32,19 @@ def _object(required: tuple[str, ...] = (), closed: bool = True, **properties: d
 _FLAG = _enum(WORDS["safety_flags"])
 _FLAGS = {"type": "array", "items": _FLAG, "maxItems": 10, "uniqueItems": True}
 _LEVEL, _CATEGORY, _SUB, _OUTCOME = (_enum(WORDS[x]) for x in ("level", "category", "sub_category", "outcome"))
-_PARSE = {"parser_name": _TEXT, "parser_version": {"type": "string", "pattern": r"^\d+\.\d+\.\d+$"}, "pattern_id": _TEXT, "confidence": _SHARE}
+_PARSE = {"parser_name": _TEXT, "parser_version": {"type": "string", "pattern": r"^\d+\.\d+\.\d+$"}, "pattern_id": _TEXT, "confidence": _SHARE, "ok": {"type": "boolean"}, "error": {"type": "string"}}
 _META = _object(("raw_message",), raw_message={"type": "string", "maxLength": 10000}, parse=_object(("parser_name", "parser_version"), **_PARSE), validation=_object(closed=False))
 
-#: The contracts; closed: other fields are failures (limits and words are fixed values).
+#: The contracts, with the engine's own fields (message, meta.validation, meta.parse.ok) besides; closed: other fields are failures (limits and words are fixed values).
 CONTRACTS: dict[str, dict] = {
     "core_api": _object(
         ("meta", "timestamp", "outcome", "event_type", "service", "env"),
         meta=_META, timestamp={"type": "string"}, outcome=_OUTCOME, level=_LEVEL, category=_CATEGORY, sub_category=_SUB, component=_TEXT | {"maxLength": 100},
-        latency_ms=_AMOUNT, duration_ms=_AMOUNT, endpoint=_TEXT, action=_TEXT, http_status={"type": "integer", "minimum": 100, "maximum": 599}, request_id=_TEXT,
+        latency_ms=_AMOUNT, duration_ms=_AMOUNT, endpoint=_TEXT, action=_enum("GET POST PUT PATCH DELETE HEAD OPTIONS INTERNAL".split()), http_status={"type": "integer", "minimum": 100, "maximum": 599}, request_id=_TEXT,
         error={"oneOf": [_TEXT, _object(("type", "message"), type=_TEXT, message=_TEXT | {"maxLength": 2000}, stack={"type": "string"})]},
         error_code=_enum(WORDS["error_code"]) | {"pattern": ERROR_CODE}, safety_flags=_FLAGS, service=_TEXT, module=_TEXT, version=_TEXT, message={"type": "string"},
-        event_type=_enum("http_request http_response exception health_check startup shutdown build dependency_install".split()),
-        env=_enum("production staging development test".split()), metadata=_object(closed=False),
+        event_type=_enum("http_request http_response startup shutdown build dependency_install exception health_check apprunner_event".split()),
+        env=_enum("production staging development test local".split()), metadata=_object(closed=False),
     )
     | {
         "when": [
@@ -56,25 +56,25 @@ CONTRACTS: dict[str, dict] = {
         ("meta", "timestamp", "outcome", "request_id", "model", "pipeline_stage"),
         meta=_META, timestamp={"type": "string"}, outcome=_OUTCOME, level=_LEVEL, category=_CATEGORY, component=_TEXT, request_id=_TEXT, model=_TEXT, message={"type": "string"},
         pipeline_stage=_enum("serve tokenizer load quant inference sampling rag_retrieve rag_embed rag_rerank safety_check".split()),
-        result=_object(output_preview={"type": "string"}, output_text_length=_WHOLE, safety_flags=_FLAGS, model_quality_flags={"type": "array"}),
+        result=_object(output_preview={"type": "string", "maxLength": 256}, output_text_length=_WHOLE, safety_flags=_FLAGS, model_quality_flags={"type": "array"}),
         usage=_object(prompt_tokens=_WHOLE, completion_tokens=_WHOLE, total_tokens=_WHOLE),
         sampler=_object(temperature={"type": "number"}, top_p={"type": "number"}, top_k={"type": "integer"}, max_tokens={"type": "integer"}, presence_penalty={"type": "number"}, frequency_penalty={"type": "number"}, stop_sequences={"type": "array"}, seed={"type": "integer"}),
-        metrics=_object(p50_ms=_AMOUNT, p95_ms=_AMOUNT, extra=_object(closed=False)), finish_reason=_TEXT, endpoint=_TEXT, latency_ms=_AMOUNT, ttft_ms=_AMOUNT,
-        error={"oneOf": [_TEXT, _object(closed=False)]}, sub_category=_SUB, metadata=_object(closed=False),
+        metrics=_object(p50_ms=_AMOUNT, p95_ms=_AMOUNT, extra=_object(closed=False)), finish_reason=_enum("stop length content_filter tool_calls timeout interrupted other".split()), endpoint=_TEXT, latency_ms=_AMOUNT, ttft_ms=_AMOUNT,
+        error={"oneOf": [_TEXT, _object(("type", "message"), type=_TEXT, message=_TEXT, stack={"type": "string"})]}, sub_category=_SUB, metadata=_object(closed=False),
     )
     | {"when": [({"outcome": ["success"]}, ("result",)), ({"outcome": ["failure"]}, ("error",))]},
     "agentic": _object(
         ("meta", "status", "step_kind", "workflow_id", "step_id", "tool_name", "input_summary", "output_summary"),
-        meta=_object(("raw_message",), raw_message={"type": "string"}, parse=_object(**_PARSE, ok={"type": "boolean"}, error={"type": "string"}, timestamp={"type": "string"}, version={"type": "string"}), validation=_object(closed=False)),
-        status=_enum("success failed retry timeout skipped".split()), outcome=_OUTCOME, level=_LEVEL, category=_CATEGORY, sub_category=_SUB, component=_TEXT, message={"type": "string"},
-        step_kind=_enum("plan_created tool_selected tool_call cache guardrails cost stream_start step".split()), workflow_id=_TEXT, step_id=_TEXT, parent_step_id=_TEXT, plan_id=_TEXT, tool_name=_TEXT,
+        meta=_object(("raw_message",), raw_message={"type": "string"}, parse=_object(**_PARSE, timestamp={"type": "string"}, version={"type": "string"}), validation=_object(closed=False)),
+        status=_enum("success retry timeout failed".split()), outcome=_OUTCOME, level=_LEVEL, category=_CATEGORY, sub_category=_SUB, component=_TEXT, message={"type": "string"},
+        step_kind=_enum("session_start plan_created tool_selected step stream_start guardrails cost cache".split()), workflow_id=_TEXT, step_id=_TEXT, parent_step_id=_TEXT, plan_id=_TEXT, tool_name=_TEXT,
         ranked_tools={"type": "array"}, input_summary=_TEXT | {"maxLength": 4096}, output_summary=_TEXT | {"maxLength": 4096}, duration_ms=_AMOUNT,
-        cost=_object(closed=False, tokens_in=_WHOLE, tokens_out=_WHOLE, est_cost_usd=_AMOUNT), error=_object(("message",), message=_TEXT), safety_flags=_FLAGS, metadata=_object(closed=False),
+        cost=_object(closed=False, tokens_in=_WHOLE, tokens_out=_WHOLE, est_cost_usd=_AMOUNT), error=_object(("message",), message=_TEXT | {"maxLength": 4096}), safety_flags=_FLAGS, metadata=_object(closed=False),
     )
     | {"when": [({"status": ["failed", "timeout"]}, ("error",))]},
     "cv": _object(
         ("meta", "outcome", "latency_ms", "metrics", "model_name", "phase", "dataset_id", "image_count", "batch_size", "hardware"),
-        meta=_object(("raw_message", "parse"), raw_message={"type": "string"}, parse=_object(("parser_name", "parser_version", "pattern_id"), parser_name={"type": "string"}, parser_version={"type": "string"}, pattern_id={"type": "string"}, ok={"type": "boolean"}), validation=_object(closed=False)),
+        meta=_object(("raw_message", "parse"), raw_message={"type": "string"}, parse=_object(("parser_name", "parser_version", "pattern_id"), parser_name={"type": "string"}, parser_version={"type": "string"}, pattern_id={"type": "string"}, confidence=_SHARE, ok={"type": "boolean"}, error={"type": "string"}), validation=_object(closed=False)),
         timestamp={"type": "string"}, outcome=_OUTCOME, level=_LEVEL, category=_CATEGORY, component=_TEXT, latency_ms=_AMOUNT, error=_object(("message",), message=_TEXT | {"maxLength": 4096}),
         safety_flags={"oneOf": [_FLAG | {"type": "string"}, _FLAGS]}, metadata=_object(closed=False), message={"type": "string"}, sub_category=_SUB,
         metrics=_object(fps=_AMOUNT, map=_SHARE, ap=_SHARE, ap50=_SHARE, iou=_SHARE, accuracy=_SHARE, precision=_SHARE, recall=_SHARE, f1_score=_SHARE, loss=_AMOUNT, extra=_object(closed=False)) | {"minProperties": 1},
@@ -199,13 +199,13 @@ def check(rows: DataFrame, name: str, domain: Column) -> DataFrame:
     table = F
     for d in CONTRACTS:
         table = table.when(domain == d, _table(d))
-    rows = rows.withColumn("_contract", table)
+    rows = rows.withColumn("_contract", sealed(table))
     top = F.map_from_entries(F.transform(F.map_entries(rec), lambda e: F.struct(F.concat(F.lit("/"), e["key"]).alias("key"), e["value"].alias("value"))))
-    rows = rows.withColumn("_top", top).withColumn("_second", flat(F.col("_top"))).withColumn("_third", flat(F.col("_second")))
-    rows = rows.withColumn("_values", F.map_concat("_top", "_second", "_third"))
+    rows = rows.withColumn("_top", sealed(top)).withColumn("_second", sealed(flat(F.col("_top")))).withColumn("_third", sealed(flat(F.col("_second"))))
+    rows = rows.withColumn("_values", sealed(F.map_concat("_top", "_second", "_third")))
     values = F.col("_values")
     broken = F.filter(F.col("_contract"), lambda r: ~_keeps(values, r))
-    rows = rows.withColumn("_broken", broken)
+    rows = rows.withColumn("_broken", sealed(broken))
     # of a oneOf exactly one form has to be kept
     def one(r: Column) -> Column:
         bad = F.filter(F.array_distinct(F.filter(F.col("_broken.forms"), lambda f: f.isNotNull())), lambda f: F.split_part(f, F.lit(" "), F.lit(1)) == r["path"])
@@ -217,4 +217,4 @@ def check(rows: DataFrame, name: str, domain: Column) -> DataFrame:
     )
     said = F.transform(fail, lambda r: F.struct(r["path"].alias("path"), r["keyword"].alias("keyword"), r["text"].alias("text")))
     none = F.array(F.struct(F.lit("").alias("path"), F.lit("schema").alias("keyword"), F.lit("no contract").alias("text")))
-    return rows.withColumn("failures", F.coalesce(said, none)).drop("_contract", "_top", "_second", "_third", "_values", "_broken")
+    return rows.withColumn("failures", sealed(F.coalesce(said, none))).drop("_contract", "_top", "_second", "_third", "_values", "_broken")

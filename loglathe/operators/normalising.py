@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.literals import NULL, drop, falsy, field, obj, overlay, put, quoted, record, text_of, word
+from ..functions.literals import NULL, drop, falsy, field, obj, overlay, put, quoted, record, sealed, text_of, word
 from ..functions.units import clean_numeric, duration_ms
 from ..functions.vocabulary import canonical, canonical_flags
 
@@ -218,14 +218,14 @@ def normalise(rows: DataFrame, name: str = "fields", domain: str = "domain", def
         return chain
 
     rec = F.col(name)
-    rows = rows.withColumn(name, units(rec)).withColumn("_bad", unit_errors(rec)).withColumn(name, with_errors(rec, F.col("_bad")))
-    rows = rows.withColumn(name, by_domain(lambda d: synonyms(rec, d)))
-    rows = rows.withColumn("_bad", unknown_words(rec))
+    rows = rows.withColumn(name, sealed(units(rec))).withColumn("_bad", unit_errors(rec)).withColumn(name, sealed(with_errors(rec, F.col("_bad"))))
+    rows = rows.withColumn(name, sealed(by_domain(lambda d: synonyms(rec, d))))
+    rows = rows.withColumn("_bad", sealed(unknown_words(rec)))
     noted = put(with_errors(vocabulary(rec), word_errors(rec, F.col("_bad"))), unparsed_reason=F.when(~F.map_contains_key(rec, "unparsed_reason"), first_reason(F.col("_bad"))))
-    rows = rows.withColumn(name, F.when(F.size("_bad") > 0, noted).otherwise(vocabulary(rec)))
+    rows = rows.withColumn(name, sealed(F.when(F.size("_bad") > 0, noted).otherwise(vocabulary(rec))))
     rows = rows.withColumn(name, F.when(F.col(domain) == "cv", one_flag(rec)).otherwise(rec))
     for step in (lambda d: complete(rec, d, defaults), lambda d: relocate(rec, d), lambda d: conditional(rec, d)):
-        rows = rows.withColumn(name, by_domain(step))
+        rows = rows.withColumn(name, sealed(by_domain(step)))
     return rows.drop("_bad")
 
 

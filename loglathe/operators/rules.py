@@ -17,7 +17,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.literals import field, number_of, obj, overlay, quoted, record, text_of, word
+from ..functions.literals import field, number_of, obj, overlay, quoted, record, sealed, text_of, word
 from .ruleset import ALIASES, RULES, RULES_VERSION
 
 OPERATORS = "exists eq neq gt gte lt lte in nin regex contains starts_with ends_with extract_ms extract_number extract_percent".split()
@@ -200,7 +200,7 @@ def first_rule(rows: DataFrame, name: str = "record", dialect: str = "production
     paths, rec = paths_of(rules), F.col(name)
     domain = domain_of(rec) if dialect == "production" else text_of(field(rec, "schema_id"))
     domain = F.when(domain == "computer_vision", "cv").otherwise(domain)
-    read = rows.withColumn("_read", F.struct(domain.alias("domain"), *(value_at(rec, p).alias(f"p{i}") for i, p in enumerate(paths))))
+    read = rows.withColumn("_read", sealed(F.struct(domain.alias("domain"), *(value_at(rec, p).alias(f"p{i}") for i, p in enumerate(paths)))))
     values = {p: F.col(f"_read.p{i}") for i, p in enumerate(paths)}
     chain = F
     for domain_name in ("core_api", "llm", "agentic", "cv"):
@@ -217,7 +217,7 @@ def first_rule(rows: DataFrame, name: str = "record", dialect: str = "production
                 inner = inner.when(condition(values, r["when"], dialect), F.lit(i))
         if inner is not F:
             chain = inner if chain is F else chain.otherwise(F.when(~F.coalesce(F.col("_read.domain"), F.lit("")).isin("core_api", "llm", "agentic", "cv"), inner))
-    return read.withColumn("rule", F.lit(None).cast("int") if chain is F else chain).drop("_read")
+    return read.withColumn("rule", F.lit(None).cast("int") if chain is F else sealed(chain)).drop("_read")
 
 
 LABELS = ("level", "category", "sub_category", "outcome", "tags")
@@ -228,7 +228,7 @@ def classify(rows: DataFrame, name: str = "record", dialect: str = "production",
     """Rows whose record has its first rule's labels and provenance; where no rule is met the default's
     labels fill what is missing.  Adds the column ``rule``."""
     rules = RULES if rules is None else rules
-    return first_rule(rows, name, dialect, rules).withColumn(name, labelled(F.col(name), F.col("rule"), dialect, rules))
+    return first_rule(rows, name, dialect, rules).withColumn(name, sealed(labelled(F.col(name), F.col("rule"), dialect, rules)))
 
 
 def labelled(fields: Column, index: Column, dialect: str = "production", rules: list[dict] | None = None) -> Column:

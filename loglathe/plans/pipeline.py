@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.literals import field as at
-from ..functions.literals import obj, overlay, parsed, put, quoted, record, text_of
+from ..functions.literals import obj, overlay, parsed, put, quoted, record, sealed, text_of
 from ..operators import parsing, rules
 from ..operators.contracts import check
 from ..operators.normalising import Defaults
@@ -42,14 +42,14 @@ def _column(df: DataFrame, name: str) -> Column:
 def parse(lines: DataFrame, options: Options = Options()) -> DataFrame:
     """Adds domain, pattern, confidence, fields (a record, SQL NULL where no pattern matches) and ok
     to lines with the columns ``@timestamp`` and ``@message``."""
-    message = _column(lines, "@message")
-    routed = route(lines, message, options.domain)
-    matched = routed.withColumn("pattern", parsing.pattern_of(message, F.col("domain")))
-    found = matched.withColumn("fields", parsing.fields_of(message, F.col("pattern"))).withColumn("confidence", parsing.confidence_of(F.col("pattern")))
+    message = F.col("_line")
+    routed = route(lines.withColumn("_line", sealed(_column(lines, "@message"))), message, options.domain)
+    matched = routed.withColumn("pattern", sealed(parsing.pattern_of(message, F.col("domain"))))
+    found = matched.withColumn("fields", sealed(parsing.fields_of(message, F.col("pattern")))).withColumn("confidence", parsing.confidence_of(F.col("pattern")))
     found = found.withColumn("_text", text_of(at(F.col("fields"), "message"))).withColumn("_pairs", parsing.pairs_of(F.col("_text"), F.col("pattern")))
-    found = found.withColumn("fields", parsing.with_pairs(F.col("fields"), F.col("_pairs"), F.col("pattern")))
+    found = found.withColumn("fields", sealed(parsing.with_pairs(F.col("fields"), F.col("_pairs"), F.col("pattern"))))
     broken = parsing.breaks_compatibly(F.col("_text"), F.col("pattern"), F.col("fields")) if options.mode == "compat" else F.lit(False)
-    return found.withColumn("broken", broken).withColumn("ok", F.col("fields").isNotNull() & ~F.col("broken")).drop("_text", "_pairs")
+    return found.withColumn("broken", broken).withColumn("ok", F.col("fields").isNotNull() & ~F.col("broken")).drop("_line", "_text", "_pairs")
 
 
 def normalise(lines: DataFrame, options: Options = Options()) -> DataFrame:
@@ -65,7 +65,7 @@ def normalise(lines: DataFrame, options: Options = Options()) -> DataFrame:
     reason = F.when(missing, "missing_required_fields").when(F.col("broken"), "processing_error").otherwise("no_pattern_match")
     domain = F.when(missing | F.col("broken"), "core_api").otherwise(F.col("domain"))
     failed = envelope(timestamp, F.when(~F.col("broken"), message), domain, reason, options.defaults)
-    return done.withColumn("record", F.when(F.col("record").isNotNull(), stamped).otherwise(failed))
+    return done.withColumn("record", sealed(F.when(F.col("record").isNotNull(), stamped).otherwise(failed)))
 
 
 def validate(records: DataFrame, options: Options = Options()) -> DataFrame:

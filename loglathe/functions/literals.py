@@ -10,7 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 RECORD = "map<string,string>"
-NULL = F.lit("null")
+
+
+def null() -> Column:
+    return F.lit("null")
 
 
 def quoted(text: Column) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.literals import NULL, drop, falsy, field, obj, overlay, put, quoted, record, sealed, text_of, word
+from ..functions.literals import null, drop, falsy, field, obj, overlay, put, quoted, record, sealed, text_of, word
 from ..functions.units import clean_numeric, duration_ms
 from ..functions.vocabulary import canonical, canonical_flags
 
@@ -123,7 +123,7 @@ def synonyms(fields: Column, domain: str) -> Column:
         outcome = F.coalesce(_table(F.lower(get("status")), STATUS_OUTCOMES), F.when(level == "error", "failure").otherwise("success"))
     else:
         outcome = F.lit(None).cast("string")
-    none = F.coalesce(field(fields, "outcome"), NULL) == "null"
+    none = F.coalesce(field(fields, "outcome"), null()) == "null"
     told, table = SUB_CATEGORIES[domain]
     sub = _table(event if told == "event_type" else get(told), table)
     return put(

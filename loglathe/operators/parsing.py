@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.literals import NULL, field, obj, overlay, quoted, record, strip, text_of, word
+from ..functions.literals import null, field, obj, overlay, quoted, record, strip, text_of, word
 from ..functions.pairs import has_empty_value, pairs
 
 LEVELS = "INFO|WARNING|ERROR|DEBUG|WARN"
@@ -78,7 +78,7 @@ def _http(line: Column) -> Column:
 
 def _http_short(line: Column) -> Column:
     g = lambda i: _group(line, HTTP_SHORT, i)
-    return record(action=quoted(g(1)), endpoint=quoted(g(2)), http_status=_integer(g(3)), response_time=F.coalesce(_integer(g(4)), NULL), category=word("http"), event_type=word("http_request"), level=word("info"), message=quoted(line))
+    return record(action=quoted(g(1)), endpoint=quoted(g(2)), http_status=_integer(g(3)), response_time=F.coalesce(_integer(g(4)), null()), category=word("http"), event_type=word("http_request"), level=word("info"), message=quoted(line))
 
 
 def _health(line: Column) -> Column:
@@ -284,7 +284,7 @@ def _tool(line: Column) -> Column:
     g = lambda i: _group(line, TOOL, i)
     message = F.regexp_extract(line, TOOL, 4)
     level = F.coalesce(quoted(F.lower(g(1))), _level(message, ("error", "failed")))
-    return record(level=level, action=F.coalesce(quoted(g(2)), NULL), tool_name=quoted(g(3)), message=quoted(message), category=word("tool"), step_kind=word("tool_call"))
+    return record(level=level, action=F.coalesce(quoted(g(2)), null()), tool_name=quoted(g(3)), message=quoted(message), category=word("tool"), step_kind=word("tool_call"))
 
 
 def _chain(line: Column) -> Column:
@@ -335,7 +335,7 @@ def _vision(line: Column) -> Column:
     second = F.upper(g(2)).isin(LEVELS.split("|"))
     level = F.coalesce(quoted(F.lower(F.coalesce(g(3), F.when(second, g(2))))), _level(g(4), ("error", "failed")))
     outcome = F.when(level == '"error"', word("failure")).otherwise(word("success"))
-    part = F.when(~F.coalesce(second, F.lit(False)), F.coalesce(quoted(g(2)), NULL))
+    part = F.when(~F.coalesce(second, F.lit(False)), F.coalesce(quoted(g(2)), null()))
     return record(component=quoted(g(1)), subcomponent=part, level=level, message=quoted(g(4)), category=word("cv"), phase=_choice(F.lower(g(1)), PHASES, F.lit(None).cast("string")), outcome=outcome)
 
 

@@ -68,18 +68,20 @@ def _half(seed: int) -> Column:
         return F.struct(after["need"].alias("need"), after["rest"].alias("rest"), F.array_append(state["left"], after["got"]).alias("left"))
 
     zero = F.struct(F.floor(total / 2).alias("need"), total.alias("rest"), F.array().cast("array<bigint>").alias("left"))
-    return F.aggregate(F.sequence(F.lit(0), F.size("counts") - 1), zero, draw, lambda s: s["left"])
+    each = F.when(F.size("counts") > 0, F.sequence(F.lit(0), F.size("counts") - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(each, zero, draw, lambda s: s["left"])
 
 
 def split_quotas(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
     """Rows (rank, shard, first, last): of the quota of blocks of each source (rank, quota) those in
     [first, last) go to the shard; there are 2**depth shards."""
-    nodes = quotas.agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "quota"))), lambda x: x["quota"]).alias("counts")).select(F.lit(0).alias("node"), F.lit(0).alias("level"), "counts")
+    listed = quotas.agg(F.sort_array(F.collect_list(F.struct("rank", "quota"))).alias("x"))
+    nodes = listed.select(F.lit(0).alias("node"), F.lit(0).alias("level"), F.col("x.rank").alias("ranks"), F.col("x.quota").alias("counts"))
     for level in range(depth):
         halves = nodes.withColumn("half", _half(seed))
         right = F.zip_with("counts", "half", lambda a, b: a - b)
-        nodes = halves.select(F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.lit(level + 1).alias("level"), F.col("half").alias("counts")), F.struct((F.col("node") * 2 + 1).alias("node"), F.lit(level + 1).alias("level"), right.alias("counts")))).alias("x")).select("x.*")
-    each = nodes.select(F.col("node").alias("shard"), F.posexplode("counts").alias("rank", "n")).where("n > 0")
+        nodes = halves.select("ranks", F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.lit(level + 1).alias("level"), F.col("half").alias("counts")), F.struct((F.col("node") * 2 + 1).alias("node"), F.lit(level + 1).alias("level"), right.alias("counts")))).alias("x")).select("ranks", "x.*")
+    each = nodes.select(F.col("node").alias("shard"), F.explode(F.arrays_zip("ranks", "counts")).alias("x")).select("shard", F.col("x.ranks").alias("rank"), F.col("x.counts").alias("n")).where("n > 0")
     last = F.sum("n").over(Window.partitionBy("rank").orderBy("shard"))
     return each.select("rank", "shard", (last - F.col("n")).alias("first"), last.alias("last"))
 

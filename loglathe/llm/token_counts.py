@@ -3,7 +3,7 @@ pre-token frequencies and summed; no token id is ever kept.
 
 White space parts a text into words, words into the vocabulary's pre-tokens.  Where a vocabulary's
 pre-tokens hold white space themselves (byte-level ones whose words start with it) whole texts are
-parted instead.  Words that hold one of the vocabulary's special strings stay whole, so that the
+parted instead, and where a library has no pre-tokens whole texts are what is counted once each.  Words that hold one of the vocabulary's special strings stay whole, so that the
 library handles these as it does by default.
 """
 
@@ -36,6 +36,7 @@ class Vocabulary:
 
             whole = sentencepiece.SentencePieceProcessor(model_file=path)
             self.whole = lambda words: [len(x) for x in whole.encode(words, num_threads=1)]
+            self.spaced = True  # runs of spaces can be pieces
             return
         from tokenizers import Tokenizer
 
@@ -58,7 +59,10 @@ class Vocabulary:
         if self.model is None:
             return [RAW + x for x in words], np.arange(len(words))
         every = "\n".join(words)
-        odd = [i for i, x in enumerate(words) if any(s in x for s in self.special)] if any(s in every for s in self.special) else []
+        odd = []
+        if any(s in every for s in self.special) or (not self.spaced and len(every.split()) != len(words)):
+            # special strings, and white space beyond ASCII, which the vocabulary may part words at
+            odd = [i for i, x in enumerate(words) if any(s in x for s in self.special) or (not self.spaced and len(x.split()) != 1)]
         if len(odd) == len(words):
             return [RAW + x for x in words], np.arange(len(words))
         plain = sorted(set(range(len(words))) - set(odd)) if odd else range(len(words))

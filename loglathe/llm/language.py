@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import cut, prepare
 
 #: Labelled documents of a language that are learned from, at most: the bound of the sample.
 SAMPLE = 1500
@@ -23,6 +23,8 @@ SAMPLE = 1500
 BUCKETS, LONGEST = 1 << 16, 4
 #: Log-likelihood that a switch of language costs, and the weight of an n-gram (they overlap).
 SWITCH, WEIGHT = 12.0, 0.5
+#: Bytes of text that are labelled at a time; bounds a worker's memory.
+PART = 3 << 19
 #: Share of a language's letters in a script from which the script is one of the language's.
 OWN_SCRIPT = 0.02
 UNDETERMINED = "und"
@@ -97,6 +99,16 @@ class Words:
         return np.concatenate(parts), np.concatenate(of), letters, script
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about PART bytes of text, a document at least."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes) // PART
+        edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), batch.num_rows)
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def _split(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     split = pc.utf8_split_whitespace(pc.fill_null(text, ""))
     words, doc = split.flatten(), pc.list_parent_indices(split)
@@ -107,7 +119,7 @@ def _split(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n-grams and letters by script of each language in a task's part of the sample."""
     parse, grams, scripts = Words(), {}, {}
-    for batch in batches:
+    for batch in _slices(batches):
         coded, doc = _split(batch.column("text"))
         words = coded.dictionary.to_pylist()
         if not words:
@@ -140,13 +152,19 @@ class Model:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` rows of each language of docs (doc_id, text, lang): those whose
     ids hash lowest.  Only sums of a fixed size come to the driver."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
     rows = docs.where("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    chosen = rows.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "lang").distinct()
-    taken = rows.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text").mapInArrow(_count, "lang string, grams array<double>, scripts array<double>")
+    # hashes are spread evenly: among the lowest 2 * sample of n are the lowest sample, so that a very
+    # frequent language isn't ranked as a whole
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    low = rows.select("doc_id", "lang").join(sizes, "lang").where(place / float(1 << 53) <= 2.0 * sample / F.col("n")).select("doc_id", "lang")
+    chosen = low.withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "lang").distinct()
+    # written first, so that Spark sees how few they are; then a handful of tasks count the sample alone
+    taken = rows.join(cut(chosen, "sample"), ["doc_id", "lang"], "left_semi").select("lang", "text").repartition(8).mapInArrow(_count, "lang string, grams array<double>, scripts array<double>")
     grams: dict[str, np.ndarray] = {}
     scripts: dict[str, np.ndarray] = {}
-    for row in taken.coalesce(8).toLocalIterator():  # a task's sums at a time
+    for row in taken.toLocalIterator():  # a task's sums at a time
         grams[row["lang"]] = grams.get(row["lang"], 0) + np.array(row["grams"])
         scripts[row["lang"]] = scripts.get(row["lang"], 0) + np.array(row["scripts"])
     langs = sorted(grams)
@@ -197,7 +215,7 @@ def _label(model: Model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parse = Words()
         size = len(model.langs)
-        for batch in batches:
+        for batch in _slices(batches):
             coded, doc = _split(batch.column("text"))
             n, words = batch.num_rows, coded.dictionary.to_pylist()
             best, share = np.full(n, -1), np.zeros(n)

@@ -112,7 +112,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, longest: int = 64) -> DataF
 def representatives(docs: DataFrame, width: int = 3, longest: int = 64) -> DataFrame:
     """docs without the near-copies: of each component the document named by it stays, once, and
     with it every row that has no doc_id.  Columns stay as they are."""
-    names = near_duplicates(docs, width, longest).where("doc_id = component_id").select("doc_id").distinct()
+    return first_of_each(docs, near_duplicates(docs, width, longest))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs reduced to the documents that name a component of the rows (doc_id, component_id), each
+    once, and the rows that have no doc_id."""
+    names = found.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(cut(names, "kept"), "doc_id", "left_semi")
     once = kept.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy(*(c for c in docs.columns if c != "doc_id")))).where("_row = 1").drop("_row")
     return once.unionByName(docs.where("doc_id is null"))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loglathe.llm import decontaminate, language, licenses, mixing, repeats, simhash
+from loglathe.llm import decontaminate, language, licenses, mixing, repeats, similar, simhash
 from loglathe.llm.token_counts import token_counts
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -66,6 +66,37 @@ def test_simhash_of_odd_texts(docs):
     assert simhash.near_duplicates(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("longest", [16, 1])
+def test_similar_documents(spark, docs, longest):
+    """Near-copies on both sides of 0.8 against all pairs, and what the pipeline's stage keeps of them."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    texts = {}
+    for _ in range(8):
+        base = words(rng, rng.randrange(20, 120)).split()
+        for _ in range(10):
+            copy = list(base)
+            for _ in range(rng.randrange(5)):
+                copy[rng.randrange(len(copy))] = f"new{rng.randrange(10**6)}"
+            texts[len(texts)] = " ".join(copy).upper() if rng.random() < 0.2 else " ".join(copy)
+    texts |= {100: "two words", 101: "TWO  words", 102: "", 103: None, 104: texts[7]}
+    sets = {i: (lambda w: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))))((t or "").lower().split()) for i, t in texts.items()}
+    root = {i: i for i in texts}
+    for _ in texts:
+        for i in texts:
+            for j in texts:
+                if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                    root[i] = root[j] = min(root[i], root[j])
+    table = docs([*texts.items(), (104, texts[7]), (None, texts[7])])
+    got = [(r.doc_id, r.component_id) for r in similar.similar(table, longest=longest).collect()]
+    assert len(got) == len(texts) + 2 and {i: c for i, c in got if i is not None} == root
+    assert 8 < len(set(root.values())) < len(texts) - 10
+    kept = [r.doc_id for r in corpus_pipeline.near_copies(spark, table, "").collect()]
+    assert sorted(i for i in kept if i is not None) == sorted(set(root.values())) and kept.count(None) == 1
+    assert similar.similar(docs([])).count() == 0
+
+
 def test_repeats(docs, monkeypatch):
     rng = random.Random(2)
     passages = [words(rng, 40) for _ in range(4)]

@@ -1,12 +1,15 @@
 """Licence scans by sentences: a text's sentences are normalised, mapped to identifiers of known
 licence sentences, and the sequence of identifiers is matched against ordered licence rules.
 
+A sentence may run over several lines of a paragraph; it starts and ends with a line or sentence.
 DataFrame functions only; everything happens within a row, so there is no shuffle and nothing for a
 frequent licence to skew.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,9 +88,42 @@ RULES = (
     ("All-Rights-Reserved", "all_rights"),
 )
 
+_FSF = r" as published by the free software foundation(?: inc)?"
+_MODIFY = r"(?:[a-z0-9 ]{1,100} free software )?(?:you (?:can|may) )?redistribute (?:it|them|this [a-z ]{1,40}) and or modify (?:it|them|this [a-z ]{1,40}) under (?:the )?(?:terms of (?:the )?)?"
+_OR_LATER = r" or (?:at your option )?(?:any later version|later(?: versions?)?)"
+
+
+def _notice(family: str, version: str, later: bool) -> str:
+    """The standard notice of a licence of the GPL family, in the orders of words that are in use."""
+    numbered = rf"(?: either)? version {version}(?: of the licen[cs]e)?"
+    end = _OR_LATER if later else "(?: only)?"
+    return rf"(?:{_GRANT}|{_MODIFY})gnu {family} public licen[cs]e(?:{_FSF}{numbered}{end}|{numbered}{end}(?:{_FSF})?)"
+
+
+#: Notices of the GPL family: tried before SENTENCES, which hold none of them but as plain grants.
+NOTICES = tuple(
+    (f"{key}_{'later_' if later else ''}notice", _notice(family, version, later))
+    for key, family, version in (
+        ("gpl2", "general", r"2(?:\.0)?"),
+        ("gpl3", "general", r"3(?:\.0)?"),
+        ("lgpl2", "(?:library|lesser) general", r"2(?:\.0)?"),
+        ("lgpl21", "lesser general", r"2\.1"),
+        ("lgpl3", "lesser general", r"3(?:\.0)?"),
+        ("agpl3", "affero general", r"3(?:\.0)?"),
+    )
+    for later in (True, False)
+)
+NOTICE_RULES = (
+    ("GPL-2.0-or-later", "gpl2_later_notice"),
+    ("GPL-2.0-only", "gpl2_notice"),
+    ("GPL-3.0-or-later", "gpl3_later_notice"),
+    ("GPL-3.0-only", "gpl3_notice"),
+    *((name, f"{key}_{kind}") for key, name in (("lgpl2", "LGPL-2.0"), ("lgpl21", "LGPL-2.1"), ("lgpl3", "LGPL-3.0"), ("agpl3", "AGPL-3.0")) for kind in ("later_notice", "notice")),
+)
+
 #: Every known sentence holds one of these; sentences without are not looked at further.
 HINT = r"licen[cs]e|reserved|permission|redistribution|neither the name|in no event|as is|public domain|cc0|cc by|creative commons"
-#: Ends of sentences: line ends, and . ; ! ? before white space (a version number's dot is none).
+#: Ends of sentences in SQL, which goes by lines: line ends, and . ; ! ? before white space (a version number's dot is none).
 _ENDS, _MARK = r"[.;!?]+(?:[\x20\x09-\x0D]+|$)|[\n\r]+", "\n"
 #: What normal() makes a space: all but ASCII letters, digits, and dots between digits.
 _NOISE = r"[^a-z0-9.]+"
@@ -98,24 +134,50 @@ def _pattern(rule: str) -> str:
     return "".join(f"(?:,{x[1:-1]},)?" if x[0] == "[" else f",{x}," for x in rule.split())
 
 
+#: Ends of sentences: . ; ! ? before white space, a colon at a line's end, and lines without letters or digits.
+_BREAKS, _BREAK = r"[.;!?]+(?:[\x20\x09-\x0D]+|$)|:[\x20\x09]*\n|\n(?:[^\p{L}\p{N}\n]*\n)+", "\x01"
+#: The semicolon of the GPL's notice before its version.
+_NOTICE_SEMICOLON = r"(free[^a-z0-9]+software[^a-z0-9]+foundation(?:, *inc\.?)?) *;(?=[^a-z0-9]+(?:either[^a-z0-9]+)?version)"
+#: Lines that an open text within a sentence may run over.
+_LINES = 30
+
+
+def _scanner() -> str:
+    """A pattern that finds the known sentences in the lines of a sentence: each starts and ends with
+    a line.  An open end stays within its line, and an open text within the sentence doesn't run
+    over a line that is a whole sentence itself."""
+    known = (*NOTICES, *SENTENCES)
+    whole = "|".join(p for _, p in known if ".*" not in p)
+
+    def over_lines(pattern: str) -> str:
+        pattern = re.sub(r"\.\*(?= )", "\x02", pattern).replace(".*", "\x03").replace(" ", r"[ \n]")
+        return pattern.replace("\x02", rf"[^\n]*?(?:\n(?!(?:{whole})(?:\n|$))[^\n]*?){{0,{_LINES}}}?").replace("\x03", r"[^\n]*")
+
+    return r"(?:^|(?<=\n))(?:" + "|".join(over_lines(p) for _, p in known) + r")(?=\n|$)"
+
+
 def sentences(text: Column) -> Column:
     """The normalised sentences of a text that hold a hint, in order: lower case, words separated by
-    one space, without punctuation."""
-    parts = F.split(F.regexp_replace(F.lower(text), _ENDS, _MARK), _MARK)
-    plain = F.transform(F.filter(parts, lambda s: F.regexp_like(s, F.lit("(?:" + HINT.replace(" ", r"[^a-z0-9]+") + ")"))), lambda s: F.trim(F.regexp_replace(s, _NOISE, " ")))
-    return F.transform(plain, lambda s: F.regexp_replace(s, r"^\.+ ?| ?\.+$", ""))
+    one space or line end, without punctuation."""
+    lower = F.regexp_replace(F.regexp_replace(F.lower(text), "\x01", " "), r"\r\n?", "\n")
+    parts = F.split(F.regexp_replace(F.regexp_replace(lower, _NOTICE_SEMICOLON, "$1,"), _BREAKS, _BREAK), _BREAK)
+    plain = F.filter(parts, lambda s: F.regexp_like(s, F.lit("(?:" + HINT.replace(" ", r"[^a-z0-9]+") + ")")))
+    plain = F.transform(plain, lambda s: F.regexp_replace(s, r"[^a-z0-9.\n]+", " "))
+    return F.transform(plain, lambda s: F.regexp_replace(s, r"(?m)^ ?(?:\.+ ?)?|(?: ?\.+)? ?$", ""))
 
 
 def identifiers(text: Column) -> Column:
     """``,id,,id,``: the known sentences of a text in order."""
+    scanner = _scanner()
 
     def name(s: Column) -> Column:
         chain = F
-        for key, pattern in SENTENCES:
+        for key, pattern in (*NOTICES, *SENTENCES):
             chain = chain.when(F.regexp_like(s, F.lit(f"^(?:{pattern})$")), F.lit(f",{key},"))
         return chain.otherwise(F.lit(""))
 
-    return F.array_join(F.transform(sentences(text), name), "")
+    found = F.flatten(F.transform(sentences(text), lambda s: F.regexp_extract_all(s, F.lit(scanner), F.lit(0))))
+    return F.array_join(F.transform(found, lambda s: name(F.translate(s, "\n", " "))), "")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -127,15 +189,16 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     rest = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.regexp_like(F.lower("text"), F.lit("(?:" + HINT.replace(" ", r"[^a-z0-9]+") + ")")))
     rest = rest.select("doc_id", identifiers(F.col("text")).alias("rest")).where("rest <> ''")
-    names = list(dict.fromkeys(x for x, _ in RULES))
-    for i, (_, rule) in enumerate(RULES):
+    rules = (*RULES, *NOTICE_RULES)
+    names = list(dict.fromkeys(x for x, _ in rules))
+    for i, (_, rule) in enumerate(rules):
         rest = rest.withColumn(f"n{i}", F.regexp_count("rest", F.lit(_pattern(rule)))).withColumn("rest", F.regexp_replace("rest", _pattern(rule), ""))
-    counts = F.array(*(F.struct(F.lit(x).alias("license"), sum(F.col(f"n{i}") for i, (y, _) in enumerate(RULES) if y == x).cast("long").alias("n")) for x in names))
+    counts = F.array(*(F.struct(F.lit(x).alias("license"), sum(F.col(f"n{i}") for i, (y, _) in enumerate(rules) if y == x).cast("long").alias("n")) for x in names))
     return rest.select("doc_id", F.explode(F.filter(counts, lambda c: c["n"] > 0)).alias("found")).select("doc_id", "found.license", "found.n")
 
 
 def scan_sql(table: str = "documents") -> str:
-    """The same scan in DuckDB's SQL."""
+    """The scan in DuckDB's SQL, by single lines and without the GPL family's notices."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     hint = quote(HINT.replace(" ", "[^a-z0-9]+"))
     name = "case " + " ".join(f"when regexp_matches(s, {quote(f'^(?:{p})$')}) then ',{k},'" for k, p in SENTENCES) + " else '' end"

@@ -188,6 +188,59 @@ def test_licenses(docs):
     assert got == {(1, "MIT", 1), (1, "All-Rights-Reserved", 1), (4, "GPL-3.0-only", 1), (None, "CC-BY-NC-4.0", 1)}
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. Nobody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM."""
+ISC = """ * Permission to use, copy, modify, and/or distribute this software for any
+ * purpose with or without fee is hereby granted, provided that the above
+ * copyright notice appears in all copies."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must
+   retain the above copyright notice.
+2. Redistributions in binary
+   form must reproduce the above copyright notice.
+"""
+GPL = """# This program is free software{} you can redistribute it and/or modify
+# it under the terms of the GNU {} Public License as published by
+# the Free Software Foundation{} either version {} of the License, or
+# (at your option) any later version."""
+
+
+def test_licenses_over_lines(docs):
+    texts = [
+        (MIT, {("MIT", 1)}),
+        (MIT.replace("\n", "\r\n"), {("MIT", 1)}),
+        (ISC, {("ISC", 1)}),
+        (BSD, {("BSD-2-Clause", 1)}),
+        (BSD + "3. Neither the\n   name of X may be used.\n", {("BSD-3-Clause", 1)}),
+        (GPL.format(":", "General", ",", "3"), {("GPL-3.0-or-later", 1)}),
+        (GPL.format(";", "General", ";", "2"), {("GPL-2.0-or-later", 1)}),
+        (GPL.format(";", "Lesser General", ";", "2.1"), {("LGPL-2.1", 1)}),
+        (GPL.format(":", "Affero General", ",", "3"), {("AGPL-3.0", 1)}),
+        ("Licensed under the terms of the GNU General\nPublic License version 2 as published by the Free Software Foundation.", {("GPL-2.0-only", 1)}),
+        ("Licensed under the GNU General Public License version 2\nor any later version", {("GPL-2.0-or-later", 1)}),
+        ("In no event shall we stop\nReleased under the MIT License\nor be liable for it\nAll rights reserved\nLicensed under CC BY 4.0", {("MIT", 1), ("All-Rights-Reserved", 1), ("CC-BY-4.0", 1)}),
+        ("Released under the\n\nMIT License", set()),
+        ("permission is hereby granted\n" * 3000, set()),
+    ]
+    got = {}
+    for r in licenses.scan(docs([(i, t) for i, (t, _) in enumerate(texts)])).collect():
+        got.setdefault(r.doc_id, set()).add((r.license, r.n))
+    assert [got.get(i, set()) for i in range(len(texts))] == [w for _, w in texts]
+
+
 def test_decontamination(docs, spark):
     rng = random.Random(6)
     question = "A train leaves Boston at 40 miles per hour and reaches Denver after 12 hours how far does the train from Boston travel"

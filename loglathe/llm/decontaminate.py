@@ -23,7 +23,8 @@ from .common import cut, prepare
 
 #: Words of a window; a question with fewer words is one window of its own length.
 WIDTH = 10
-#: Literal words without which a template window says too little; shorter questions have no window.
+#: Literal words without which a template window of WIDTH words says too little; a shorter question, as one
+#: window, needs the same share of its words, and below LITERAL words it has its literal window only.
 LITERAL = 5
 #: Bits of the filter of the benchmark's windows that goes to every task: its size, and so its bound.
 FILTER_BITS = 22
@@ -110,7 +111,7 @@ def _windows(words: Words, batch: pa.RecordBatch, widths: list[int], short: bool
             chosen = at
             if not as_literal:
                 mixed = plain[at + width] - plain[at]
-                chosen = at[(mixed >= LITERAL) & (mixed < width)]
+                chosen = at[(mixed >= width * LITERAL // WIDTH) & (mixed < width)] if width >= LITERAL else at[:0]
             yield _mix(h[chosen]), row[chosen], place[chosen], as_literal, width, literal, kind, chosen
 
 
@@ -144,8 +145,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     n_words: words that the windows of the best diagonal cover; exact: they are literally the same
     but for case and punctuation, otherwise values differ consistently.  Equal questions count as the
-    one with the smallest item_id.  A question of fewer than LITERAL words has no windows, nor have
-    null or empty texts; rows without an id take no part; repeated rows count once.  Columns other
+    one with the smallest item_id.  A question of fewer than LITERAL words is only found literally;
+    null or empty texts have no windows; rows without an id take no part; repeated rows count once.  Columns other
     than the named ones are not read.
 
     Every window of every document is looked up in a filter of the benchmark's windows, whose size is
@@ -156,7 +157,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     items = benchmark.where("item_id is not null and text is not null").groupBy("text").agg(F.min("item_id").cast("bigint").alias("item_id")).select("item_id", "text")
-    asked = items.mapInArrow(_rows("item_id", list(range(LITERAL, WIDTH + 1)), True, None), _SCHEMA).distinct()
+    asked = items.mapInArrow(_rows("item_id", list(range(1, WIDTH + 1)), True, None), _SCHEMA).distinct()
     asked = cut(asked.select("hash", F.col("id").alias("item_id"), F.col("place").alias("item_place"), "literal", "width", F.col("slots").alias("item_slots")), "asked")
     widths = sorted(r[0] for r in asked.select("width").distinct().collect())  # at most WIDTH
     filled = asked.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)  # at most 2**FILTER_BITS

@@ -255,5 +255,13 @@ def test_decontamination(docs, spark):
     assert {13, 14, 15, None} <= kept and not kept & {10, 11, 16}
 
 
+def test_decontamination_of_short_questions(docs, spark):
+    items = spark.createDataFrame([(1, "What is 17 plus 25 times 3"), (2, "name the capital"), (3, "Why?"), (4, "how far is Paris from Rome"), (5, "!"), (6, "Is 5 odd")], "item_id long, text string")
+    rows = [(10, "so: What is 18 plus 26 times 4 then"), (11, "what is 17 plus 25 times 3"), (12, "Name the CAPITAL, please"), (13, "and why not"), (14, "how far is Madrid from Oslo"), (15, "how far is Madrid from Madrid")]
+    rows += [(16, "What is 18 plus 18 times 4"), (17, "What is 17 minus 25 times 3"), (18, "name a capital"), (19, "Is 7 odd"), (20, "is 5 odd"), (21, "! .")]
+    got = {(r.doc_id, r.item_id, r.n_words, r.exact) for r in decontaminate.contaminated(docs(rows), items).collect()}
+    assert got == {(10, 1, 7, False), (11, 1, 7, True), (12, 2, 3, True), (13, 3, 1, True), (14, 4, 6, False), (20, 6, 3, True)}
+
+
 def test_digest_of_whole_texts():
     assert repeats.brute_force({1: b"x"})[1] == (0, 0, hashlib.sha256(b"x").hexdigest())

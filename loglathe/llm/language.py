@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import cut, prepare, slices
 
 #: Labelled documents of a language that are learned from, at most: the bound of the sample.
 SAMPLE = 1500
@@ -99,16 +99,6 @@ class Words:
         return np.concatenate(parts), np.concatenate(of), letters, script
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of about PART bytes of text, a document at least."""
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(sizes) // PART
-        edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), batch.num_rows)
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            yield batch.slice(a, b - a)
-
-
 def _split(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     split = pc.utf8_split_whitespace(pc.fill_null(text, ""))
     words, doc = split.flatten(), pc.list_parent_indices(split)
@@ -119,7 +109,7 @@ def _split(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n-grams and letters by script of each language in a task's part of the sample."""
     parse, grams, scripts = Words(), {}, {}
-    for batch in _slices(batches):
+    for batch in slices(batches, PART):
         coded, doc = _split(batch.column("text"))
         words = coded.dictionary.to_pylist()
         if not words:
@@ -141,12 +131,14 @@ class Model:
 
     def __init__(self, langs: list[str], grams: np.ndarray, scripts: np.ndarray):
         self.langs = langs
+        if not langs:
+            self.table, self.allowed = np.zeros((BUCKETS, 0), np.float32), np.ones((len(NAMES), 0), bool)
+            return
         known = np.log((grams + 0.5) / (grams.sum(axis=1, keepdims=True) + 0.5 * BUCKETS))
         self.table = np.ascontiguousarray((known - known.mean(axis=0)).T * WEIGHT).astype(np.float32)
         share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
         allowed = (share >= OWN_SCRIPT).T
         self.allowed = allowed | ~allowed.any(axis=1, keepdims=True)  # a script of no language rules none out
-        self.common = int(scripts.sum(axis=1).argmax()) if len(langs) else -1
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
@@ -156,8 +148,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
     rows = docs.where("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     # hashes are spread evenly: among the lowest 2 * sample of n are the lowest sample, so that a very
-    # frequent language isn't ranked as a whole
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    # frequent language isn't ranked as a whole; the sizes are written first, so that Spark sees that
+    # they are few and bounds the rows where they are read, before any shuffle
+    sizes = cut(rows.groupBy("lang").agg(F.count("*").alias("n")), "sizes")
     low = rows.select("doc_id", "lang").join(sizes, "lang").where(place / float(1 << 53) <= 2.0 * sample / F.col("n")).select("doc_id", "lang")
     chosen = low.withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "lang").distinct()
     # written first, so that Spark sees how few they are; then a handful of tasks count the sample alone
@@ -186,8 +179,8 @@ def viterbi(scores: np.ndarray, doc: np.ndarray) -> np.ndarray:
         return label
     alive = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # documents with more than t words
     values = scores[starts].astype(np.float64)
-    back = np.zeros(scores.shape, np.int8)
-    own = np.arange(scores.shape[1], dtype=np.int8)
+    own = np.arange(scores.shape[1], dtype=np.min_scalar_type(scores.shape[1]))
+    back = np.zeros(scores.shape, own.dtype)
     end = np.empty(len(starts), np.int64)
     for t in range(1, len(alive)):
         n, before = alive[t], alive[t - 1]
@@ -215,7 +208,7 @@ def _label(model: Model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parse = Words()
         size = len(model.langs)
-        for batch in _slices(batches):
+        for batch in slices(batches, PART):
             coded, doc = _split(batch.column("text"))
             n, words = batch.num_rows, coded.dictionary.to_pylist()
             best, share = np.full(n, -1), np.zeros(n)

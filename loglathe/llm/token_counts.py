@@ -10,7 +10,9 @@ library handles these as it does by default.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import cut, prepare, slices
 
-_BLOCK = "block string, ids array<bigint>, sizes array<bigint>, matrix binary, words array<string>"
+_BLOCK = "ids array<bigint>, sizes array<bigint>, matrix binary, words array<string>"
+#: Bytes of text of a block: what a task parts at a time, which bounds its memory.
+BLOCK = 4 << 20
+#: Characters that a vocabulary may take for white space besides the ASCII ones that part words (fixed
+#: values: the White_Space property, separators and zero-width spaces).
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 #: Stands before a word that is left to the library as it is; no pre-token starts with it.
 RAW = " "
 
@@ -50,32 +57,35 @@ class Vocabulary:
             self.model = whole.model
             self.normalize = whole.normalizer.normalize_str if whole.normalizer is not None else lambda x: x
             self.part = whole.pre_tokenizer.pre_tokenize_str
-            self.spaced = any(not x.isalpha() or len(x) > 1 for x, _ in self.part(self.normalize("a b  c")))
-            # stops at a word's end are pre-tokens of their own: such words can be parted before they are told apart
+            # special strings with white space in them would be lost with the words
+            self.spaced = any(not x.isalpha() or len(x) > 1 for x, _ in self.part(self.normalize("a b  c"))) or any(len(x.split()) != 1 for x in self.special)
+            # stops after an ASCII letter at a word's end are pre-tokens of their own: such words can be parted before they are told apart
             self.stops = not self.spaced and [x for x, _ in self.part(self.normalize("ab., ab"))] == ["ab", ".,", "ab"] and not any(c in x for x in self.special for c in ".,")
 
     def pre_tokens(self, words: list[str]) -> tuple[list[str], np.ndarray]:
         """The pre-tokens of words, and the index of the word that each is of."""
         if self.model is None:
             return [RAW + x for x in words], np.arange(len(words))
+        # words with special strings, or with white space beyond ASCII that the vocabulary may part them at, go to the library whole
         every = "\n".join(words)
-        odd = []
-        if any(s in every for s in self.special) or (not self.spaced and len(every.split()) != len(words)):
-            # special strings, and white space beyond ASCII, which the vocabulary may part words at
-            odd = [i for i, x in enumerate(words) if any(s in x for s in self.special) or (not self.spaced and len(x.split()) != 1)]
+        odd: list[int] = []
+        if any(x in every for x in self.special):
+            odd = [i for i, w in enumerate(words) if any(x in w for x in self.special)]
+        if not self.spaced and _ODD.search(every):
+            odd = sorted({*odd, *(i for i, w in enumerate(words) if _ODD.search(w))})
         if len(odd) == len(words):
             return [RAW + x for x in words], np.arange(len(words))
-        plain = sorted(set(range(len(words))) - set(odd)) if odd else range(len(words))
-        if self.spaced:
+        plain = np.delete(np.arange(len(words)), odd)
+        text = None if self.spaced else self.normalize(" ".join(words[i] for i in plain))
+        if text is None or text.count(" ") != len(plain) - 1:
             found = [[x for x, _ in self.part(self.normalize(words[i]))] for i in plain]
-            of = np.repeat(np.fromiter(plain, np.int64), [len(x) for x in found])
+            of = np.repeat(plain, [len(x) for x in found])
             parts = [x for y in found for x in y]
         else:
-            text = self.normalize(" ".join(words[i] for i in plain))
             found = self.part(text)
             parts = [x for x, _ in found]
             spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32)
-            of = np.fromiter(plain, np.int64)[np.searchsorted(spaces, np.fromiter((at for _, (at, _) in found), np.int64))]
+            of = plain[np.searchsorted(spaces, np.fromiter((at for _, (at, _) in found), np.int64))]
         return parts + [RAW + words[i] for i in odd], np.concatenate([of, np.asarray(odd, np.int64)])
 
     def pieces(self, parts: list[str]) -> np.ndarray:
@@ -87,6 +97,12 @@ class Vocabulary:
         return out
 
 
+@lru_cache(maxsize=2)
+def _vocabulary(path: str) -> Vocabulary:
+    """The vocabulary, read once by each worker."""
+    return Vocabulary(path)
+
+
 def _pack(rows: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> bytes:
     """A sparse matrix, by row and code: codes as differences, numbers as planes of bytes, compressed."""
     steps = np.diff(codes, prepend=0)
@@ -108,17 +124,13 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _blocks(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        vocabulary = Vocabulary(path)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        vocabulary = _vocabulary(path)
+        for batch in slices(batches, BLOCK):
             text = pc.fill_null(batch.column("text"), "")
             if vocabulary.spaced:
                 words, doc = text, np.arange(len(text))
             else:
-                split = pc.ascii_split_whitespace(pc.replace_substring_regex(text, r"(\pL)([.,]+)(\s|$)", r"\1 \2\3") if vocabulary.stops else text)
+                split = pc.ascii_split_whitespace(pc.replace_substring_regex(text, r"([A-Za-z])([.,]+)(\s|$)", r"\1 \2\3") if vocabulary.stops else text)
                 words, doc = split.flatten(), pc.list_parent_indices(split)
                 kept = pc.not_equal(words, "")
                 words, doc = words.filter(kept), doc.filter(kept).to_numpy().astype(np.int64)
@@ -142,19 +154,16 @@ def _blocks(path: str) -> Callable:
             matrix = _pack(keys // wide, keys % wide, np.bincount(group, np.repeat(counts, much), len(keys)).astype(np.int64))
             names = part.dictionary.take(pa.array(order))
             ids = batch.column("doc_id")
-            name = xxhash.xxh3_128(matrix)
-            name.update("\n".join(names.to_pylist()))
-            name.update(repr(ids.to_pylist()))
             sizes = pc.binary_length(text).cast(pa.int64())
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            yield pa.RecordBatch.from_arrays([pa.array([name.hexdigest()]), one(ids), one(sizes), pa.array([matrix], pa.binary()), one(names)], ["block", "ids", "sizes", "matrix", "words"])
+            yield pa.RecordBatch.from_arrays([one(ids), one(sizes), pa.array([matrix], pa.binary()), one(names)], ["ids", "sizes", "matrix", "words"])
 
     return run
 
 
 def _counted(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(path)
+        vocabulary = _vocabulary(path)
         last: tuple = (None, 0)  # words come in order: only the last of a batch can go on in the next
         for batch in batches:
             coded = batch.column("word").dictionary_encode()
@@ -178,7 +187,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 per = np.full(max(len(per), known.field("code").to_numpy().max(initial=-1) + 1), -1, np.int64)
                 per[known.field("code").to_numpy()] = known.field("pieces").to_numpy()
             if (per < 0).any():
-                raise ValueError("the documents changed between two reads of them")
+                raise ValueError("a pre-token of a block has no count")
             n = np.zeros(len(ids), np.int64)
             np.add.at(n, rows, per[codes] * counts)
             yield pa.RecordBatch.from_arrays([ids, batch.column("sizes")[r].values, pa.array(n)], ["doc_id", "n_bytes", "n_tokens"])
@@ -192,16 +201,17 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
     and no tokens; repeated rows have a row each; a null doc_id stays null; columns other than doc_id
     and text are not read.
 
-    Pre-tokens are coded per block of documents (at most an Arrow batch), so a very frequent one has a
-    row per block and none per document.  Only (block, code, pre-token) goes out to be counted, where
-    equal pre-tokens meet in order, and only (block, code, pieces) comes back to the block's
-    frequencies.  Blocks are named by a digest of what they hold, since they are made twice; a source
-    that returns other rows when read again is an error, not a wrong count.
+    Pre-tokens are coded per block of documents (at most BLOCK bytes or one document), so a very
+    frequent one has a row per block and none per document.  Blocks are written to the shared folder
+    once.  Only (block, code, pre-token) goes out to be counted, where equal pre-tokens meet in order;
+    the order is dealt out by ranges of (pre-token, block), so that the most frequent one takes several
+    tasks, each of which counts it once.  Only (block, code, pieces) comes back to the blocks.
     """
     prepare(docs.sparkSession)
-    blocks = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_blocks(vocabulary), _BLOCK)
-    words = blocks.select("block", F.posexplode("words").alias("code", "word")).repartition("word").sortWithinPartitions("word")
-    pieces = words.mapInArrow(_counted(vocabulary), "block string, code int, pieces int")
+    made = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_blocks(vocabulary), _BLOCK)
+    blocks = cut(made.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    words = blocks.select("block", F.posexplode("words").alias("code", "word")).repartitionByRange("word", "block").sortWithinPartitions("word")
+    pieces = words.mapInArrow(_counted(vocabulary), "block bigint, code int, pieces int")
     known = pieces.groupBy("block").agg(F.collect_list(F.struct("code", "pieces")).alias("known"))
     joined = blocks.drop("words").join(known, "block", "left").select("ids", "sizes", "matrix", "known")
     counted = joined.mapInArrow(_summed, "doc_id bigint, n_bytes bigint, n_tokens bigint")

@@ -4,9 +4,11 @@ A vector is represented by its nearest pivots in order, and posted in the invert
 POSTED of them.  A query goes to the files of its first VISITED pivots; a file's vectors are ranked
 by the footrule distance between the two orders, and the best are reranked by cosine.
 
-Equal vectors are one class in the index, with as many of its smallest ids as a query can need, so
-that a very frequent vector neither fills a file nor crowds out others.  Files are dealt out in
-shards of bounded size, so no file is ever gathered whole.
+Vectors of one direction are one class in the index, with as many of its smallest ids as a query can
+need, so that a very frequent vector neither fills a file nor crowds out others; queries of one
+direction are asked once.  Files are dealt out in shards of bounded size, so no file is ever gathered
+whole.  Scores are added up in the order of the components, so that equal scores are equal everywhere
+and ties go by id.
 """
 
 from __future__ import annotations
@@ -22,9 +24,13 @@ from .common import cut, prepare
 
 #: Pivots for n distinct vectors: PIVOTS_BY_ROOT times their root, between these bounds.  The pivots
 #: are the sample that the index is fitted on: at most MOST_PIVOTS vectors, whose ids hash lowest.
-PIVOTS_BY_ROOT, LEAST_PIVOTS, MOST_PIVOTS = 2.0, 16, 4096
+PIVOTS_BY_ROOT, LEAST_PIVOTS, MOST_PIVOTS = 2.0, 16, 1 << 16
 #: Pivots of an order, files that a vector is posted in, and files that a query visits.
 ORDER, POSTED, VISITED = 48, 8, 48
+#: Numbers of a block of distances to pivots that a task holds at a time.
+BLOCK = 1 << 22
+#: What rounding can change of a cosine, with room to spare.
+MARGIN = 1e-9
 #: Of a file's shard, vectors at least and their share that are reranked for a query; a shard's size aimed at.
 RERANKED, RERANKED_SHARE, SHARD = 96, 0.2, 4096
 
@@ -38,28 +44,41 @@ def _orders(pivots: np.ndarray, posted: int) -> Callable:
                 continue
             x = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            near = x @ pivots.T
-            k = min(ORDER, near.shape[1])
-            order = np.argsort(-near, axis=1, kind="stable")[:, :k].astype(np.int32)
+            k = min(ORDER, len(pivots))
+            order, step = np.empty((len(x), k), np.int32), max(1, BLOCK // len(pivots))
+            for i in range(0, len(x), step):
+                near = -(x[i : i + step] @ pivots.T)
+                first = np.argpartition(near, k - 1, axis=1)[:, :k]
+                by = np.argsort(np.take_along_axis(near, first, 1), axis=1, kind="stable")
+                order[i : i + step] = np.take_along_axis(first, by, 1)
             out = frame.assign(order=list(order)).iloc[np.repeat(np.arange(len(frame)), min(posted, k))]
             yield out.assign(file=order[:, : min(posted, k)].ravel())
 
     return run
 
 
+def _dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products of the rows of x with y (a row, or as many), added in the order of the components."""
+    total = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        total += x[:, j] * y[..., j]
+    return total
+
+
 def _visit(k: int) -> Callable:
-    """Of a file's shard the classes that hold each query's best."""
+    """Of a file's shard the k + 1 nearest classes to each query: one of them may be the query alone."""
 
     def run(key, found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "class": np.zeros(0, np.int64), "score": np.zeros(0)})
+        none = pd.DataFrame({"asked": np.zeros(0, np.int64), "class": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(found) or not len(asked):
             return none
         x = np.stack(found["embedding"].to_numpy()).astype(np.float64)
-        norm = np.linalg.norm(x, axis=1)
+        norm = np.sqrt(_dot(x, x))
+        name = found["class"].to_numpy()
         order = np.stack(found["order"].to_numpy())
         places, most = np.arange(order.shape[1], dtype=np.int32), max(RERANKED, int(RERANKED_SHARE * len(x)))
         parts = []
-        for query, vector, own in zip(asked["query_id"], asked["embedding"], asked["order"], strict=True):
+        for query, vector, own in zip(asked["asked"], asked["embedding"], asked["order"], strict=True):
             q = np.asarray(vector, np.float64)
             at = np.full(max(int(order.max()), int(own.max())) + 1, len(own), np.int32)
             at[own] = places[: len(own)]
@@ -67,18 +86,22 @@ def _visit(k: int) -> Callable:
             # the footrule over both orders: a pivot of one only counts as standing behind the other's last
             rule = np.abs(there - places).sum(axis=1) - (len(own) - there).sum(axis=1)
             chosen = np.argpartition(rule, most)[:most] if len(rule) > most else np.arange(len(rule))
-            score = (x[chosen] @ q) / (norm[chosen] * np.linalg.norm(q))
-            top = np.argsort(-score, kind="stable")[: k + 1]
-            parts.append((np.full(len(top), query), found["class"].to_numpy()[chosen[top]], score[top]))
-        return pd.DataFrame(dict(zip(("query_id", "class", "score"), (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True)))
+            size = np.sqrt(_dot(q[None], q[None]))[0]
+            about = (x[chosen] @ q) / (norm[chosen] * size)
+            kept = min(k + 1, len(chosen))
+            chosen = chosen[about >= np.partition(about, -kept)[-kept] - MARGIN]
+            score = _dot(x[chosen], q) / (norm[chosen] * size)
+            top = np.lexsort((name[chosen], -score))[:kept]
+            parts.append((np.full(len(top), query), name[chosen[top]], score[top]))
+        return pd.DataFrame(dict(zip(("asked", "class", "score"), (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True)))
 
     return run
 
 
-def _cosine(a: str, b: str):
-    """Cosine in double precision, terms added in order."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: i.cast("double") * j.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def directed(rows: DataFrame) -> DataFrame:
+    """rows with dims and direction: the vector by its largest component, alike for positive multiples."""
+    largest = F.aggregate("embedding", F.lit(0.0), lambda s, v: F.greatest(s, F.abs(v).cast("double")))
+    return rows.withColumn("dims", F.size("embedding")).withColumn("_most", largest).withColumn("direction", F.transform("embedding", lambda v: v.cast("double") / F.col("_most"))).drop("_most")
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -94,36 +117,48 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     A query's own row (by id) is no candidate.  Vectors that are null, empty, zero, or hold null or
     non-finite components take no part; vectors of another length than the query's are no candidates;
-    repeated rows count once; fewer candidates than k are all given; no queries or no vectors give no
-    rows.  Columns other than the named ones are not read.
+    repeated rows count once; positive multiples of a vector have one score, that of the one with the
+    smallest id; fewer candidates than k are all given; no queries or no vectors give no rows.
+    Columns other than the named ones are not read.
     """
     spark: SparkSession = vectors.sparkSession
     prepare(spark)
-    rows = usable(vectors).withColumn("dims", F.size("embedding"))
     # k + 1 ids of a class are enough: the query's own may be among them
-    few = rows.distinct().withColumn("n", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("n") <= k + 1)
-    classes = cut(few.groupBy("dims", "embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("class", F.col("ids")[0]), "classes")
-    asked = cut(usable(queries).withColumn("dims", F.size("embedding")).withColumnRenamed("vec_id", "query_id").distinct(), "asked")
+    few = directed(usable(vectors)).distinct().withColumn("n", F.row_number().over(Window.partitionBy("dims", "direction").orderBy("vec_id"))).where(F.col("n") <= k + 1)
+    classes = few.groupBy("dims", "direction").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.min_by("embedding", F.struct("vec_id", "embedding")).alias("embedding"))
+    classes = cut(classes.drop("direction").withColumn("class", F.col("ids")[0]), "classes")
+    every = directed(usable(queries)).withColumnRenamed("vec_id", "query_id").distinct()
+    asked = cut(every.groupBy("dims", "direction").agg(F.min("query_id").alias("asked"), F.min_by("embedding", F.struct("query_id", "embedding")).alias("embedding")), "asked")
     sizes = {r["dims"]: r["n"] for r in classes.groupBy("dims").agg(F.count("*").alias("n")).collect()}
+    queried = {r["dims"]: r["n"] for r in asked.groupBy("dims").agg(F.count("*").alias("n")).collect()}
+    element = classes.schema["embedding"].dataType.elementType.simpleString()
+    ordered = f"embedding array<{element}>, order array<int>, file int"
+    part = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n))
+    parts = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     found = None
-    for dims, n in sorted(sizes.items()):
-        some, own = classes.where(F.col("dims") == dims), asked.where(F.col("dims") == dims)
+    for dims in sorted(sizes.keys() & queried.keys()):
+        some, own, n = classes.where(F.col("dims") == dims), asked.where(F.col("dims") == dims), sizes[dims]
         wanted = int(min(max(PIVOTS_BY_ROOT * n**0.5, LEAST_PIVOTS), MOST_PIVOTS))
         pivots = np.array([r[0] for r in some.orderBy(F.xxhash64("class"), "class").limit(wanted).select("embedding").collect()], np.float64)
         pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
-        shards = max(1, round(n * POSTED / len(pivots) / SHARD))
-        element = classes.schema["embedding"].dataType.elementType.simpleString()
-        posted = some.select("class", "embedding").mapInPandas(_orders(pivots, POSTED), f"class bigint, embedding array<{element}>, order array<int>, file int").withColumn("shard", F.pmod(F.xxhash64("class"), F.lit(shards)))
-        visits = own.select("query_id", "embedding").mapInPandas(_orders(pivots, VISITED), f"query_id bigint, embedding array<{element}>, order array<int>, file int")
-        visits = visits.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-        part = posted.groupBy("file", "shard").cogroup(visits.groupBy("file", "shard")).applyInPandas(_visit(k), "query_id bigint, class bigint, score double")
-        found = part if found is None else found.unionByName(part)
+        shards, rounds = (max(1, round(m * each / len(pivots) / SHARD)) for m, each in ((n, POSTED), (queried[dims], VISITED)))
+        posted = some.select("class", "embedding").mapInPandas(_orders(pivots, POSTED), f"class bigint, {ordered}")
+        posted = posted.withColumn("shard", part("class", shards)).withColumn("round", parts(rounds))
+        visits = own.select("asked", "embedding").mapInPandas(_orders(pivots, VISITED), f"asked bigint, {ordered}")
+        visits = visits.withColumn("shard", parts(shards)).withColumn("round", part("asked", rounds))
+        met = posted.groupBy("file", "shard", "round").cogroup(visits.groupBy("file", "shard", "round")).applyInPandas(_visit(k), "asked bigint, class bigint, score double")
+        found = met if found is None else found.unionByName(met)
     if found is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    best = found.groupBy("query_id", "class").agg(F.max("score").alias("about"))
-    # classes within a rounding error of the last place stay for the exact comparison
-    best = best.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("about"), "class"))).where(F.col("n") <= k + 3)
-    exact = best.join(classes.select("class", "ids", F.col("embedding").alias("other")), "class").join(asked.select("query_id", "embedding"), "query_id")
-    exact = exact.withColumn("score", _cosine("embedding", "other")).select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id").distinct()
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return exact.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def best(rows: DataFrame, by: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), by))
+        return rows.withColumn("n", rank).where(F.col("n") <= k + 1).drop("n")
+
+    top = best(found.distinct(), "class").join(classes.select("class", "ids"), "class").select("asked", "score", F.explode("ids").alias("vec_id"))
+    top = best(top.groupBy("asked", "vec_id").agg(F.max("score").alias("score")), "vec_id")
+    lists = top.groupBy("asked").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("down"), "vec_id", "score"))).alias("near"))
+    members = every.join(asked.select("dims", "direction", "asked"), ["dims", "direction"]).select("query_id", "asked").distinct()
+    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    listed = members.join(lists, "asked").select("query_id", F.posexplode(others).alias("at", "x"))
+    return listed.select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score")

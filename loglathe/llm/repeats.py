@@ -77,7 +77,10 @@ def triggers(hashes: np.ndarray, width: int) -> np.ndarray:
     """For each run of width hashes the index of the least, the first of equals."""
     n = len(hashes)
     bits = np.uint64(max(1, int(n).bit_length()))
-    keys = ((hashes >> bits) << bits) | np.arange(n, dtype=np.uint64)
+    by = np.argsort(hashes)
+    rank = np.empty(n, np.uint64)
+    rank[by] = np.cumsum(np.diff(hashes[by], prepend=hashes[by[:1]]) != 0)
+    keys = (rank << bits) | np.arange(n, dtype=np.uint64)  # whole hashes decide, then the index
     rows = -(-n // width)
     grid = np.concatenate([keys, np.full(rows * width - n, ~np.uint64(0))]).reshape(rows, width)
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
@@ -334,17 +337,30 @@ def without_repeats(docs: DataFrame, keep: tuple[str, ...] = (), as_text: bool =
     what is left of characters that were cut; n_spans: maximal runs of removed bytes.
 
     Null texts count as empty.  A text under LENGTH bytes has no repeats.  A row without doc_id has
-    no place in the order: it stays whole and removes nothing.  A row that repeats another's doc_id
-    is the same document and neither removes from the other; such rows should have the same text.
-    Columns other than doc_id, text and keep's are not read.
+    no place in the order: it stays whole and removes nothing.  Rows that share doc_id and text are
+    one document; rows that share a doc_id only are documents of their own, in the order of their
+    texts' MD5 digests.  Columns other than doc_id, text and keep's are not read.
     """
-    spans = repeated_spans(docs)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *keep, F.col("text").cast("binary").alias("text"))
+    keyed = _keyed(texts)
+    spans = repeated_spans(keyed.select(F.col("_key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_key")
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1])
-    joined = texts.join(spans, "doc_id", "left").select(*texts.columns, "repeats")
+    joined = keyed.join(spans, "_key", "left").select(*texts.columns, "repeats")
     return joined.mapInArrow(_removal(len(keep) + 1, as_text), f"{own}, n_bytes bigint, n_removed bigint, n_spans bigint, kept {'string' if as_text else 'binary'}")
 
 
+def _keyed(texts: DataFrame) -> DataFrame:
+    """texts with _key, a number for each document in their order: doc_id, unless texts share one."""
+    digest = F.md5(F.coalesce("text", F.lit(b"")))
+    digests = texts.where("doc_id is not null").select("doc_id", digest.alias("_digest"))
+    shared = digests.groupBy("doc_id").agg((F.min("_digest") < F.max("_digest")).alias("differ")).where("differ")
+    if shared.isEmpty():
+        return texts.withColumn("_key", F.col("doc_id"))
+    order = digests.distinct().repartitionByRange("doc_id", "_digest").sortWithinPartitions("doc_id", "_digest")
+    order = cut(order.withColumn("_key", F.monotonically_increasing_id()), "order")  # ascends with the ranges
+    return cut(texts.withColumn("_digest", digest).join(order, ["doc_id", "_digest"], "left").drop("_digest"), "keyed")
+
+
 def brute_force(texts: dict[int, bytes]) -> dict[int, tuple[int, int, str]]:
     """{doc_id: (n_removed, n_spans, digest of the rest)} of a small corpus, by a dictionary of all strings."""
     first: dict[bytes, tuple[int, int]] = {}

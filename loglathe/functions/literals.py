@@ -6,12 +6,41 @@ field.  Every operator is an expression over such a map, so a whole chain of the
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import functools
+from collections.abc import Callable
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 RECORD = "map<string,string>"
 
 
+def compiled(build: Callable) -> Callable:
+    """Keeps the columns that a function builds of columns, text and flat values: a chain of patterns or
+    rules is put together once in a session, not once in a query."""
+    known: dict = {}
+
+    @functools.wraps(build)
+    def wrapped(*args):
+        session = SparkSession.getActiveSession()
+        key = (id(getattr(session, "_jvm", None)), *(str(a) if isinstance(a, Column) else a for a in args))
+        if key not in known:
+            known[key] = build(*args)
+        return known[key]
+
+    return wrapped
+
+
+def among(text: Column, words) -> Column:
+    """Whether a text is one of many words; one literal, folded by the optimiser."""
+    return F.array_contains(F.split(F.lit("\n".join(words)), "\n"), text)
+
+
+def looked_up(text: Column, table: dict[str, str]) -> Column:
+    """The value of a text in a table, or SQL NULL; one literal, folded by the optimiser."""
+    return F.element_at(F.str_to_map(F.lit("\n".join(f"{k}\t{v}" for k, v in table.items())), F.lit("\n"), F.lit("\t")), text)
+
+
 def null() -> Column:
     return F.lit("null")
 
@@ -44,8 +73,8 @@ def obj(**members: Column) -> Column:
 
 def record(**fields: Column) -> Column:
     """A record of those fields that aren't SQL NULL."""
-    pairs = [x for k, v in fields.items() for x in (F.lit(k), v.cast("string"))]
-    return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
+    made = F.map_from_arrays(F.split(F.lit("\n".join(fields)), "\n"), F.array(*fields.values()))
+    return F.map_filter(made, lambda _, v: v.isNotNull())
 
 
 def overlay(base: Column, over: Column) -> Column:
@@ -59,7 +88,7 @@ def put(base: Column, **fields: Column) -> Column:
 
 
 def drop(base: Column, *names: str) -> Column:
-    return F.map_filter(base, lambda k, _: ~k.isin(*names))
+    return F.map_filter(base, lambda k, _: ~among(k, names))
 
 
 def field(base: Column, name: str) -> Column:
@@ -71,12 +100,6 @@ def falsy(literal: Column) -> Column:
     return literal.isNull() | literal.isin("null", "false", '""', "{}", "[]") | literal.rlike(r"^-?0(\.0*)?([eE].*)?$")
 
 
-def sealed(value: Column) -> Column:
-    """The same value, which the optimiser doesn't copy into the predicates and projections that use
-    it: long expressions are computed once, in their own projection."""
-    return F.when(F.rand(0) >= 0, value)
-
-
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 

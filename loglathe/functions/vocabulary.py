@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .literals import quoted, strip
+from .literals import looked_up, quoted, strip
 
 #: Words of each field (fixed values).
 WORDS = {
@@ -31,8 +31,7 @@ ERROR_CODE = r"^ULOG-[A-Z]{2,10}-[0-9]{3}$"
 
 def canonical(name: str, text: Column) -> Column:
     """The vocabulary's word for a text, or SQL NULL."""
-    known = F.create_map(*(F.lit(x) for w in WORDS[name] for x in (w.lower(), w)))
-    return F.element_at(known, F.lower(strip(text)))
+    return looked_up(F.lower(strip(text)), {w.lower(): w for w in WORDS[name]})
 
 
 def canonical_flags(flags: Column) -> Column:

@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.literals import sealed, text_of
+from ..functions.literals import compiled, text_of
 from ..functions.vocabulary import ERROR_CODE, WORDS
 
 _TEXT = {"type": "string", "minLength": 1}
@@ -131,6 +131,7 @@ def _rows(spec: dict[str, Any], path: str, under: str | None, form: str | None)
     return out
 
 
+@compiled
 def _table(domain: str) -> Column:
     rows = _rows(CONTRACTS[domain], "", None, None)
     return F.from_json(F.lit(json.dumps(rows)), _ROW)
@@ -199,13 +200,13 @@ def check(rows: DataFrame, name: str, domain: Column) -> DataFrame:
     table = F
     for d in CONTRACTS:
         table = table.when(domain == d, _table(d))
-    rows = rows.withColumn("_contract", sealed(table))
+    rows = rows.withColumn("_contract", table)
     top = F.map_from_entries(F.transform(F.map_entries(rec), lambda e: F.struct(F.concat(F.lit("/"), e["key"]).alias("key"), e["value"].alias("value"))))
-    rows = rows.withColumn("_top", sealed(top)).withColumn("_second", sealed(flat(F.col("_top")))).withColumn("_third", sealed(flat(F.col("_second"))))
-    rows = rows.withColumn("_values", sealed(F.map_concat("_top", "_second", "_third")))
+    rows = rows.withColumn("_top", top).withColumn("_second", flat(F.col("_top"))).withColumn("_third", flat(F.col("_second")))
+    rows = rows.withColumn("_values", F.map_concat("_top", "_second", "_third"))
     values = F.col("_values")
     broken = F.filter(F.col("_contract"), lambda r: ~_keeps(values, r))
-    rows = rows.withColumn("_broken", sealed(broken))
+    rows = rows.withColumn("_broken", broken)
     # of a oneOf exactly one form has to be kept
     def one(r: Column) -> Column:
         bad = F.filter(F.array_distinct(F.filter(F.col("_broken.forms"), lambda f: f.isNotNull())), lambda f: F.split_part(f, F.lit(" "), F.lit(1)) == r["path"])
@@ -217,4 +218,4 @@ def check(rows: DataFrame, name: str, domain: Column) -> DataFrame:
     )
     said = F.transform(fail, lambda r: F.struct(r["path"].alias("path"), r["keyword"].alias("keyword"), r["text"].alias("text")))
     none = F.array(F.struct(F.lit("").alias("path"), F.lit("schema").alias("keyword"), F.lit("no contract").alias("text")))
-    return rows.withColumn("failures", sealed(F.coalesce(said, none))).drop("_contract", "_top", "_second", "_third", "_values", "_broken")
+    return rows.withColumn("failures", F.coalesce(said, none)).drop("_contract", "_top", "_second", "_third", "_values", "_broken")

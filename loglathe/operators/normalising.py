@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.literals import null, drop, falsy, field, obj, overlay, put, quoted, record, sealed, text_of, word
+from ..functions.literals import among, compiled, looked_up, null, drop, falsy, field, obj, overlay, put, quoted, record, text_of, word
 from ..functions.units import clean_numeric, duration_ms
 from ..functions.vocabulary import canonical, canonical_flags
 
@@ -79,7 +79,7 @@ def required(domain: str, defaults: Defaults) -> dict[str, Column]:
 
 
 def _table(text: Column, table: dict[str, str]) -> Column:
-    return F.element_at(F.create_map(*(F.lit(x) for p in table.items() for x in p)), text)
+    return looked_up(text, table)
 
 
 def units(fields: Column) -> Column:
@@ -182,10 +182,10 @@ def complete(fields: Column, domain: str, defaults: Defaults) -> Column:
 
 def relocate(fields: Column, domain: str) -> Column:
     """Fields that the domain doesn't know, in metadata."""
-    unknown = F.map_filter(fields, lambda k, _: ~k.isin(ALLOWED[domain]))
+    unknown = F.map_filter(fields, lambda k, _: ~among(k, ALLOWED[domain]))
     before = F.transform_values(F.coalesce(F.try_parse_json(F.coalesce(field(fields, "metadata"), F.lit("{}"))).cast("map<string,variant>"), F.create_map().cast("map<string,variant>")), lambda _, v: F.coalesce(F.to_json(v), F.lit("null")))
     every = overlay(before, unknown)
-    return F.when(F.size(unknown) > 0, put(F.map_filter(fields, lambda k, _: k.isin(ALLOWED[domain])), metadata=literal(every))).otherwise(fields)
+    return F.when(F.size(unknown) > 0, put(F.map_filter(fields, lambda k, _: among(k, ALLOWED[domain])), metadata=literal(every))).otherwise(fields)
 
 
 def literal(fields: Column) -> Column:
@@ -211,6 +211,13 @@ def normalise(rows: DataFrame, name: str = "fields", domain: str = "domain", def
     """Rows with the record in the column ``name`` normalised as the domain in the column ``domain``
     asks.  Each step is a projection of its own, so that what it reads is computed once."""
 
+    for column, value in _steps(name, domain, defaults):
+        rows = rows.withColumn(column, value)
+    return rows.drop("_bad")
+
+
+@compiled
+def _steps(name: str, domain: str, defaults: Defaults) -> list[tuple[str, Column]]:
     def by_domain(step) -> Column:
         chain = F
         for d in ALLOWED:
@@ -218,15 +225,14 @@ def normalise(rows: DataFrame, name: str = "fields", domain: str = "domain", def
         return chain
 
     rec = F.col(name)
-    rows = rows.withColumn(name, sealed(units(rec))).withColumn("_bad", unit_errors(rec)).withColumn(name, sealed(with_errors(rec, F.col("_bad"))))
-    rows = rows.withColumn(name, sealed(by_domain(lambda d: synonyms(rec, d))))
-    rows = rows.withColumn("_bad", sealed(unknown_words(rec)))
     noted = put(with_errors(vocabulary(rec), word_errors(rec, F.col("_bad"))), unparsed_reason=F.when(~F.map_contains_key(rec, "unparsed_reason"), first_reason(F.col("_bad"))))
-    rows = rows.withColumn(name, sealed(F.when(F.size("_bad") > 0, noted).otherwise(vocabulary(rec))))
-    rows = rows.withColumn(name, F.when(F.col(domain) == "cv", one_flag(rec)).otherwise(rec))
-    for step in (lambda d: complete(rec, d, defaults), lambda d: relocate(rec, d), lambda d: conditional(rec, d)):
-        rows = rows.withColumn(name, sealed(by_domain(step)))
-    return rows.drop("_bad")
+    return [
+        (name, units(rec)), ("_bad", unit_errors(rec)), (name, with_errors(rec, F.col("_bad"))),
+        (name, by_domain(lambda d: synonyms(rec, d))),
+        ("_bad", unknown_words(rec)), (name, F.when(F.size("_bad") > 0, noted).otherwise(vocabulary(rec))),
+        (name, F.when(F.col(domain) == "cv", one_flag(rec)).otherwise(rec)),
+        (name, by_domain(lambda d: complete(rec, d, defaults))), (name, by_domain(lambda d: relocate(rec, d))), (name, by_domain(lambda d: conditional(rec, d))),
+    ]
 
 
 __all__ = ["ALLOWED", "Defaults", "drop", "normalise", "record"]

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.literals import null, field, obj, overlay, quoted, record, strip, text_of, word
+from ..functions.literals import compiled, looked_up, null, field, obj, overlay, quoted, record, strip, text_of, word
 from ..functions.pairs import has_empty_value, pairs
 
 LEVELS = "INFO|WARNING|ERROR|DEBUG|WARN"
@@ -47,10 +47,9 @@ def _level(message: Column, errors: tuple[str, ...], warnings: tuple[str, ...] =
 
 def _choice(text: Column, table: dict[str, str], other: Column) -> Column:
     """The value of the first of a table's lists of names that holds the text."""
-    chain = F
-    for value, names in table.items():
-        chain = chain.when(text.isin(names.split()), word(value) if value != "=" else quoted(text))
-    return chain.otherwise(other)
+    own = table.get("=", "").split()
+    value = looked_up(text, {name: f'"{value}"' for value, names in table.items() if value != "=" for name in names.split()})
+    return F.coalesce(value, F.when(text.isin(own), quoted(text)) if own else value, other)
 
 
 # --- patterns of the core domain (regular expressions are fixed values) ---
@@ -290,7 +289,7 @@ def _tool(line: Column) -> Column:
 def _chain(line: Column) -> Column:
     inner, starts = _group(line, CHAIN, 1), line.rlike(CHAIN)
     kind = F.when(inner.contains("Entering new"), "chain_start").when(inner.contains("Finished") & inner.contains("chain"), "chain_end").otherwise("step")
-    step = F.element_at(F.create_map(*(F.lit(x) for p in CHAIN_STEPS.items() for x in p)), _group(line, CHAIN_STEP, 1))
+    step = looked_up(_group(line, CHAIN_STEP, 1), CHAIN_STEPS)
     return record(
         category=word("workflow"), level=word("info"), message=F.when(starts, quoted(inner)).otherwise(quoted(F.regexp_extract(line, CHAIN_STEP, 2))), step_kind=quoted(F.when(starts, kind).otherwise(step)),
         chain_name=F.when(starts & (kind == "chain_start"), quoted(_group(inner, r"Entering new\s+([A-Za-z0-9_]+)\s+chain", 1))),
@@ -355,6 +354,7 @@ def registry() -> list[dict]:
     return [{"domain": d, "pattern_id": p.name, "confidence": p.confidence, "parser_name": f"{d}_parser", "parser_version": VERSION} for d, ps in PATTERNS.items() for p in ps]
 
 
+@compiled
 def pattern_of(line: Column, domain: Column) -> Column:
     """The name of the pattern that a line of a domain matches, or SQL NULL."""
     chain = F
@@ -367,9 +367,10 @@ def pattern_of(line: Column, domain: Column) -> Column:
 
 
 def confidence_of(pattern: Column) -> Column:
-    return F.element_at(F.create_map(*(x for ps in PATTERNS.values() for p in ps for x in (F.lit(p.name), F.lit(p.confidence)))), pattern)
+    return looked_up(pattern, {p.name: str(p.confidence) for ps in PATTERNS.values() for p in ps}).cast("double")
 
 
+@compiled
 def fields_of(line: Column, pattern: Column) -> Column:
     """The fields that a line's pattern reads, without the message's pairs."""
     chain = F
@@ -379,6 +380,7 @@ def fields_of(line: Column, pattern: Column) -> Column:
     return chain
 
 
+@compiled
 def pairs_of(message: Column, pattern: Column) -> Column:
     """The pairs of a message, in the form of its pattern; SQL NULL where the pattern has none."""
     by: dict[str, list[str]] = {}
@@ -392,6 +394,7 @@ def pairs_of(message: Column, pattern: Column) -> Column:
     return chain
 
 
+@compiled
 def with_pairs(fields: Column, found: Column, pattern: Column) -> Column:
     """fields with a message's pairs, which may overwrite any of them; a tool's outcome is judged by
     the level that the pairs may have set."""

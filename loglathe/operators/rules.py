@@ -17,7 +17,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.literals import field, number_of, obj, overlay, quoted, record, sealed, text_of, word
+from ..functions.literals import compiled, field, number_of, obj, overlay, quoted, record, text_of, word
 from .ruleset import ALIASES, RULES, RULES_VERSION
 
 OPERATORS = "exists eq neq gt gte lt lte in nin regex contains starts_with ends_with extract_ms extract_number extract_percent".split()
@@ -197,10 +197,18 @@ def first_rule(rows: DataFrame, name: str = "record", dialect: str = "production
     rules = RULES if rules is None else rules
     if found := problems(rules):
         raise ValueError("; ".join(found))
+    values, chain = _chain(name, dialect, json.dumps(rules))
+    return rows.withColumn("_read", values).withColumn("rule", chain).drop("_read")
+
+
+@compiled
+def _chain(name: str, dialect: str, text: str) -> tuple[Column, Column]:
+    """What rules look at in a record, as one struct ``_read``, and the place of the first that it meets."""
+    rules = json.loads(text)
     paths, rec = paths_of(rules), F.col(name)
     domain = domain_of(rec) if dialect == "production" else text_of(field(rec, "schema_id"))
     domain = F.when(domain == "computer_vision", "cv").otherwise(domain)
-    read = rows.withColumn("_read", sealed(F.struct(domain.alias("domain"), *(value_at(rec, p).alias(f"p{i}") for i, p in enumerate(paths)))))
+    read = F.struct(domain.alias("domain"), *(value_at(rec, p).alias(f"p{i}") for i, p in enumerate(paths)))
     values = {p: F.col(f"_read.p{i}") for i, p in enumerate(paths)}
     chain = F
     for domain_name in ("core_api", "llm", "agentic", "cv"):
@@ -217,7 +225,7 @@ def first_rule(rows: DataFrame, name: str = "record", dialect: str = "production
                 inner = inner.when(condition(values, r["when"], dialect), F.lit(i))
         if inner is not F:
             chain = inner if chain is F else chain.otherwise(F.when(~F.coalesce(F.col("_read.domain"), F.lit("")).isin("core_api", "llm", "agentic", "cv"), inner))
-    return read.withColumn("rule", F.lit(None).cast("int") if chain is F else sealed(chain)).drop("_read")
+    return read, F.lit(None).cast("int") if chain is F else chain
 
 
 LABELS = ("level", "category", "sub_category", "outcome", "tags")
@@ -228,20 +236,26 @@ def classify(rows: DataFrame, name: str = "record", dialect: str = "production",
     """Rows whose record has its first rule's labels and provenance; where no rule is met the default's
     labels fill what is missing.  Adds the column ``rule``."""
     rules = RULES if rules is None else rules
-    return first_rule(rows, name, dialect, rules).withColumn(name, sealed(labelled(F.col(name), F.col("rule"), dialect, rules)))
+    return first_rule(rows, name, dialect, rules).withColumn(name, _labels(name, dialect, json.dumps(rules)))
+
+
+@compiled
+def _labels(name: str, dialect: str, rules: str) -> Column:
+    return labelled(F.col(name), F.col("rule"), dialect, json.loads(rules))
 
 
 def labelled(fields: Column, index: Column, dialect: str = "production", rules: list[dict] | None = None) -> Column:
     rules = RULES if rules is None else rules
 
-    def action(r: dict) -> Column:
-        labels = {k: F.lit(json.dumps(r["action"][k])) for k in LABELS if k in r["action"]}
+    def action(r: dict) -> dict[str, str]:
         if dialect == "label":
-            return record(**labels, provenance=obj(rule_id=word(r["id"])))
-        source = obj(parser_rule_id=word(r["id"]), rule_version=word(r.get("version", "1.0.0")), rule_name=word(r.get("name", r["id"])))
-        return record(**labels, provenance=source)
+            source = {"rule_id": r["id"]}
+        else:
+            source = {"parser_rule_id": r["id"], "rule_version": r.get("version", "1.0.0"), "rule_name": r.get("name", r["id"])}
+        labels = {k: r["action"][k] for k in LABELS if k in r["action"]} | {"provenance": source}
+        return {k: json.dumps(v, ensure_ascii=False) for k, v in labels.items()}
 
-    actions = F.array(*map(action, rules))
+    actions = F.from_json(F.lit(json.dumps([action(r) for r in rules])), "array<map<string,string>>")
     found = F.try_element_at(actions, index + 1)
     default = record(**{k: word(v) for k, v in DEFAULT.items()})
     if dialect == "production":

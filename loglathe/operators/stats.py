@@ -30,13 +30,15 @@ def processing_stats(rows: DataFrame, name: str = "record") -> DataFrame:
         parse_ok(rec).alias("ok"), checked.alias("checked"), F.get_json_object(meta, "$.validation.skipped").alias("skipped"), field(rec, "provenance").isNotNull().alias("classified"),
         F.coalesce(text_of(field(rec, "unparsed_reason")), F.get_json_object(meta, "$.parse.error"), F.lit("parse_error")).alias("reason"),
     )
-    sums = told.agg(
-        F.count("*").alias("total"), F.count_if("ok").alias("parsed"), F.count_if(~F.col("ok")).alias("failed"), F.count_if(F.col("checked") == "true").alias("validated"),
+    # by reason first, so that one pass gives both the sums and the counts of reasons
+    by = told.groupBy(F.when(~F.col("ok"), F.col("reason")).alias("reason")).agg(
+        F.count("*").alias("total"), F.count_if("ok").alias("parsed"), F.count_if(F.col("checked") == "true").alias("validated"),
         F.count_if(F.col("checked") == "false").alias("validation_failed"), F.count_if(F.col("skipped") == "true").alias("validation_skipped"), F.count_if("classified").alias("classified"),
     )
-    reasons = told.where(~F.col("ok")).groupBy("reason").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("reason", "n"))).alias("failure_reasons"))
+    reasons = F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("reason", F.col("total").alias("n"))))
+    sums = by.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "parsed", "validated", "validation_failed", "validation_skipped", "classified")), F.map_from_entries(reasons).alias("failure_reasons"))
     rate = F.when(F.col("total") > 0, 100.0 * F.col("parsed") / F.col("total")).otherwise(0.0)
-    return sums.withColumn("parse_rate", rate).crossJoin(reasons)  # one row each
+    return sums.select("total", "parsed", (F.col("total") - F.col("parsed")).alias("failed"), "validated", "validation_failed", "validation_skipped", "classified", rate.alias("parse_rate"), "failure_reasons")
 
 
 def domain_stats(rows: DataFrame, domain: str = "domain", ok: str = "ok", thresholds: dict[str, float] = THRESHOLDS) -> DataFrame:

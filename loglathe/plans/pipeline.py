@@ -7,13 +7,14 @@ where no parse is noted, and fails records with empty quoted values.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.literals import field as at
-from ..functions.literals import obj, overlay, parsed, put, quoted, record, sealed, text_of
+from ..functions.literals import obj, overlay, parsed, put, quoted, record, text_of
 from ..operators import parsing, rules
 from ..operators.contracts import check
 from ..operators.normalising import Defaults
@@ -39,17 +40,39 @@ def _column(df: DataFrame, name: str) -> Column:
     return df[f"`{name}`"].cast("string") if name in df.columns else F.lit(None).cast("string")
 
 
+def fenced(rows: DataFrame, stage: str) -> DataFrame:
+    """rows with a count of them among the run's observed metrics.  Filters above stay above: the
+    optimiser would else copy a whole chain of expressions into each predicate over its results."""
+    return rows.observe(f"loglathe-{stage}-{uuid.uuid4().hex}", F.count("*").alias("rows"))
+
+
+def match(lines: DataFrame, options: Options = Options()) -> DataFrame:
+    """Adds domain and pattern (SQL NULL where none matches) to lines with the column ``@message``, and
+    the message as ``_line``."""
+    routed = route(lines.withColumn("_line", _column(lines, "@message")), F.col("_line"), options.domain)
+    return routed.withColumn("pattern", parsing.pattern_of(F.col("_line"), F.col("domain")))
+
+
 def parse(lines: DataFrame, options: Options = Options()) -> DataFrame:
     """Adds domain, pattern, confidence, fields (a record, SQL NULL where no pattern matches) and ok
     to lines with the columns ``@timestamp`` and ``@message``."""
-    message = F.col("_line")
-    routed = route(lines.withColumn("_line", sealed(_column(lines, "@message"))), message, options.domain)
-    matched = routed.withColumn("pattern", sealed(parsing.pattern_of(message, F.col("domain"))))
-    found = matched.withColumn("fields", sealed(parsing.fields_of(message, F.col("pattern")))).withColumn("confidence", parsing.confidence_of(F.col("pattern")))
+    message, matched = F.col("_line"), match(lines, options)
+    found = matched.withColumn("fields", parsing.fields_of(message, F.col("pattern"))).withColumn("confidence", parsing.confidence_of(F.col("pattern")))
     found = found.withColumn("_text", text_of(at(F.col("fields"), "message"))).withColumn("_pairs", parsing.pairs_of(F.col("_text"), F.col("pattern")))
-    found = found.withColumn("fields", sealed(parsing.with_pairs(F.col("fields"), F.col("_pairs"), F.col("pattern"))))
+    found = found.withColumn("fields", parsing.with_pairs(F.col("fields"), F.col("_pairs"), F.col("pattern")))
     broken = parsing.breaks_compatibly(F.col("_text"), F.col("pattern"), F.col("fields")) if options.mode == "compat" else F.lit(False)
-    return found.withColumn("broken", broken).withColumn("ok", F.col("fields").isNotNull() & ~F.col("broken")).drop("_line", "_text", "_pairs")
+    return fenced(found.withColumn("broken", broken).withColumn("ok", F.col("fields").isNotNull() & ~F.col("broken")).drop("_line", "_text", "_pairs"), "parsed")
+
+
+def unparsed(lines: DataFrame, options: Options = Options()) -> DataFrame:
+    """The lines that no pattern matches or that lack a timestamp or message, with their envelopes in
+    record; what parsing does besides isn't done for them."""
+    timestamp = _column(lines, "@timestamp")
+    missing = (F.coalesce(timestamp, F.lit("")) == "") | (F.coalesce(F.col("_line"), F.lit("")) == "")
+    failed = fenced(match(lines, options), "matched").withColumn("_missing", missing).where(F.col("_missing") | F.col("pattern").isNull())
+    reason = F.when(F.col("_missing"), "missing_required_fields").otherwise("no_pattern_match")
+    domain = F.when(F.col("_missing"), "core_api").otherwise(F.col("domain"))
+    return failed.withColumn("record", envelope(timestamp, F.col("_line"), domain, reason, options.defaults)).drop("_line", "_missing")
 
 
 def normalise(lines: DataFrame, options: Options = Options()) -> DataFrame:
@@ -65,7 +88,7 @@ def normalise(lines: DataFrame, options: Options = Options()) -> DataFrame:
     reason = F.when(missing, "missing_required_fields").when(F.col("broken"), "processing_error").otherwise("no_pattern_match")
     domain = F.when(missing | F.col("broken"), "core_api").otherwise(F.col("domain"))
     failed = envelope(timestamp, F.when(~F.col("broken"), message), domain, reason, options.defaults)
-    return done.withColumn("record", sealed(F.when(F.col("record").isNotNull(), stamped).otherwise(failed)))
+    return fenced(done.withColumn("record", F.when(F.col("record").isNotNull(), stamped).otherwise(failed)), "normalised")
 
 
 def validate(records: DataFrame, options: Options = Options()) -> DataFrame:
@@ -84,7 +107,7 @@ def validate(records: DataFrame, options: Options = Options()) -> DataFrame:
 
 
 def classify(records: DataFrame, options: Options = Options()) -> DataFrame:
-    return rules.classify(records, "record", options.dialect)
+    return fenced(rules.classify(records, "record", options.dialect), "labelled")
 
 
 def classify_lines(lines: DataFrame, options: Options = Options()) -> DataFrame:

@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import units
-from ..functions.literals import field, sealed, text_of
+from ..functions.literals import field, text_of
 from ..functions.pairs import FORMS, pairs, pattern
 from ..operators import comparing, joining, parsing, routing, stats
 from ..operators.contracts import check
 from ..operators.records import canonical_json
-from ..sources.lines import hint_of_name
-from .pipeline import Options, classify_lines, normalise, parse, validate
+from ..sources.lines import hint_of_name, spread
+from .pipeline import Options, classify_lines, normalise, parse, unparsed, validate
 
 LINES = """
 select event_id, user_id, event_type, case
@@ -42,8 +42,7 @@ _SQL = LINES.format(events="events").replace("as string)", "as varchar)")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = spark.sql(LINES, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
-    return made.withColumn("line", sealed(F.col("line")))
+    return spark.sql(LINES, events=spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +191,7 @@ def processing_stats(spark, sf_dir):
 
 
 def unparsed_lines(spark, sf_dir):
-    rows = _normalised(spark, sf_dir).where(~F.col("ok"))
+    rows = unparsed(events(spark, sf_dir))
     get = lambda n: text_of(field(F.col("record"), n)).alias(n)
     return rows.select(F.col("_seq").alias("event_id"), get("category"), get("unparsed_reason"), get("event_type"), get("outcome"))
 

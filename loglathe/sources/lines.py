@@ -15,6 +15,13 @@ from ..operators.records import canonical_json, parse_ok
 NAME_HINTS = (("agentic", "agentic"), ("core_api", "core_api"), ("computer_vision", "cv"), ("cv", "cv"), ("llm", "llm"), ("api", "core_api"))
 
 
+def spread(rows: DataFrame, key: str = "_seq") -> DataFrame:
+    """Rows of a scan over all cores, where its files have fewer parts than there are: labelling a line
+    costs far more than moving it."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Rows (_seq, source_file, value, given) of JSONL files: blank lines and lines that aren't JSON are
     left out.  _seq orders lines as the files do."""

@@ -24,7 +24,7 @@ from .common import cut, prepare, slices
 
 _BLOCK = "ids array<bigint>, sizes array<bigint>, matrix binary, words array<string>"
 #: Bytes of text of a block: what a task parts at a time, which bounds its memory.
-BLOCK = 4 << 20
+BLOCK = 8 << 20
 #: Characters that a vocabulary may take for white space besides the ASCII ones that part words (fixed
 #: values: the White_Space property, separators and zero-width spaces).
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")

@@ -18,7 +18,7 @@ from ..operators import comparing, joining, parsing, routing, stats
 from ..operators.contracts import check
 from ..operators.records import canonical_json
 from ..sources.lines import hint_of_name, spread
-from . import pattern_queries
+from . import pattern_queries, record_queries
 from .pipeline import Options, classify_lines, normalise, parse, unparsed, validate
 
 LINES = """
@@ -262,11 +262,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "classified_json": classified_json,
     "run_digest": run_digest,
     **pattern_queries.QUERIES,
+    **record_queries.QUERIES,
 }
 
 _STATUS = f"regexp_extract(line, {_q(parsing.HTTP_LINE)}, 7)"
 ORACLE_SQL: dict[str, str] = {
     **pattern_queries.ORACLE_SQL,
+    **record_queries.ORACLE_SQL,
     "route_domain": f"{_ROUTED} select event_type, domain, count(*) as n from d group by all",
     "best_pattern": f"""{_PARSED} select domain, pattern, count(*) as n, max(case pattern {' '.join(f"when '{x['pattern_id']}' then {x['confidence']}::double" for x in parsing.registry())} end) as confidence from p group by domain, pattern""",
     "parse_http_access": _group_sql(parsing.HTTP_LINE, _HTTP_WHERE, level="lower($1))", client_ip="$2)", client_port="$3)", action="$4)", endpoint="$5)", http_version="$6)", http_status="$7)", status_text="$8)"),

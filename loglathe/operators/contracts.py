@@ -132,8 +132,8 @@ def _rows(spec: dict[str, Any], path: str, under: str | None, form: str | None)
 
 
 @compiled
-def _table(domain: str) -> Column:
-    rows = _rows(CONTRACTS[domain], "", None, None)
+def _table(contract: str) -> Column:
+    rows = _rows(json.loads(contract), "", None, None)
     return F.from_json(F.lit(json.dumps(rows)), _ROW)
 
 
@@ -190,7 +190,7 @@ def _keeps(values: Column, row: Column) -> Column:
     return ~there | F.coalesce(met, F.lit(False))
 
 
-def check(rows: DataFrame, name: str, domain: Column) -> DataFrame:
+def check(rows: DataFrame, name: str, domain: Column, contracts: dict[str, dict] = CONTRACTS) -> DataFrame:
     """Rows with the column ``failures``: an array of (path, keyword, text), empty for a record in the
     column ``name`` that keeps to the contract of its domain, and one ``schema`` failure without one.
 
@@ -198,8 +198,8 @@ def check(rows: DataFrame, name: str, domain: Column) -> DataFrame:
     """
     rec = F.col(name)
     table = F
-    for d in CONTRACTS:
-        table = table.when(domain == d, _table(d))
+    for d, contract in contracts.items():
+        table = table.when(domain == d, _table(json.dumps(contract)))
     rows = rows.withColumn("_contract", table)
     top = F.map_from_entries(F.transform(F.map_entries(rec), lambda e: F.struct(F.concat(F.lit("/"), e["key"]).alias("key"), e["value"].alias("value"))))
     rows = rows.withColumn("_top", top).withColumn("_second", flat(F.col("_top"))).withColumn("_third", flat(F.col("_second")))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.literals import among, compiled, looked_up, null, drop, falsy, field, obj, overlay, put, quoted, record, text_of, word
+from ..functions.literals import among, compiled, looked_up, null, parsed, drop, falsy, field, obj, overlay, put, quoted, record, text_of, word
 from ..functions.units import clean_numeric, duration_ms
 from ..functions.vocabulary import canonical, canonical_flags
 
@@ -20,6 +21,11 @@ class Defaults:
     env: str = "development"
     model: str = "unknown-model"
 
+    @classmethod
+    def from_environment(cls, prefix: str = "LOGLATHE_") -> Defaults:
+        """The driver's variables PREFIX + SERVICE, ENV and MODEL where they are set and not empty."""
+        return cls(**{f.name: os.environ[prefix + f.name.upper()] for f in fields(cls) if os.environ.get(prefix + f.name.upper())})
+
 
 #: Fields that hold durations, and those that hold numbers with separators (fixed values).
 DURATIONS = "latency_ms duration_ms ttft_ms latency duration ttft".split()
@@ -82,17 +88,34 @@ def _table(text: Column, table: dict[str, str]) -> Column:
     return looked_up(text, table)
 
 
-def units(fields: Column) -> Column:
-    """Durations in milliseconds and numbers without separators; what isn't one stays as it is."""
+#: Objects within objects that units() looks into, from the top.
+DEPTH = 3
+
+
+def units(fields: Column, depth: int = DEPTH) -> Column:
+    """Durations in milliseconds and numbers without separators, also in objects and lists of objects
+    below; what isn't one stays as it is."""
+    named = rf'"({"|".join(DURATIONS + NUMBERS)})"\s*:\s*"'
+
+    def inner(literal: Column) -> Column:
+        below = lambda x: _object_of(units(parsed(x), depth - 1))
+        items = F.transform(F.try_parse_json(literal).cast("array<variant>"), lambda x: F.when(F.to_json(x).startswith("{"), below(F.to_json(x))).otherwise(F.coalesce(F.to_json(x), F.lit("null"))))
+        return F.when(literal.startswith("{"), below(literal)).otherwise(F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]")))
 
     def value(name: Column, literal: Column) -> Column:
         text = F.when(literal.startswith('"'), text_of(literal))
         done = F.when(name.isin(DURATIONS), duration_ms(text).cast("string")).when(name.isin(NUMBERS), clean_numeric(text))
-        return F.when(name.isin(DURATIONS + NUMBERS), F.coalesce(done, literal)).otherwise(literal)
+        known = F.when(~literal.startswith("{") & ~literal.startswith("[") & among(name, DURATIONS + NUMBERS), F.coalesce(done, literal))
+        return (known.when(literal.rlike(r"^[{\[]") & literal.rlike(named), inner(literal)) if depth > 1 else known).otherwise(literal)
 
     return F.transform_values(fields, value)
 
 
+def _object_of(fields: Column) -> Column:
+    members = F.transform(F.map_entries(fields), lambda e: F.concat(quoted(e["key"]), F.lit(": "), e["value"]))
+    return F.concat(F.lit("{"), F.array_join(members, ", "), F.lit("}"))
+
+
 def unit_errors(fields: Column) -> Column:
     """What units() had to leave: strings in fields of durations and numbers."""
     left = F.map_keys(F.map_filter(fields, lambda k, v: k.isin(DURATIONS + NUMBERS) & v.startswith('"')))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.literals import falsy, field, obj, overlay, put, quoted, record, text_of, word
+from ..functions.literals import among, falsy, field, obj, overlay, put, quoted, record, text_of, word
 from .normalising import Defaults
 from .parsing import VERSION
 
@@ -16,14 +16,18 @@ ORDER = (
     "version error error_code safety_flags latency_ms duration_ms metrics python_path stack_frames sub_category tags metadata meta provenance "
     "validation unparsed_reason"
 ).split()
-#: Fields that only classified records have; the parse surface leaves them out (fixed values).
-CLASSIFIED = "tags provenance validation classifier rule_id rule_version rule_name".split()
+#: Fields that classifying and validating give or need; the parse surface leaves them out (fixed values).
+CLASSIFIED = (
+    "category event_type service env level tags provenance validation component module endpoint action request_id http_status latency_ms "
+    "duration_ms error error_code version safety_flags metadata sub_category outcome phase model_name dataset_id image_count metrics "
+    "batch_size hardware result pipeline_stage model usage sampler finish_reason ttft_ms"
+).split()
 
 
 def canonical_json(fields: Column) -> Column:
     """The record as one JSON object, in canonical order at its top."""
-    others = F.array_sort(F.filter(F.map_keys(fields), lambda k: ~k.isin(ORDER)))
-    keys = F.concat(F.filter(F.array(*map(F.lit, ORDER)), lambda k: F.map_contains_key(fields, k)), others)
+    others = F.array_sort(F.filter(F.map_keys(fields), lambda k: ~among(k, ORDER)))
+    keys = F.concat(F.filter(F.split(F.lit(" ".join(ORDER)), " "), lambda k: F.map_contains_key(fields, k)), others)
     return F.concat(F.lit("{"), F.array_join(F.transform(keys, lambda k: F.concat(quoted(k), F.lit(": "), F.element_at(fields, k))), ", "), F.lit("}"))
 
 
@@ -36,7 +40,7 @@ def with_provenance(fields: Column) -> Column:
 
 
 def unclassified(fields: Column) -> Column:
-    return F.map_filter(fields, lambda k, _: ~k.isin(CLASSIFIED))
+    return F.map_filter(fields, lambda k, _: ~among(k, CLASSIFIED))
 
 
 def is_normalised(fields: Column) -> Column:

@@ -35,7 +35,7 @@ def value_at(fields: Column, path: str) -> Column:
     return F.when(top != "null", top)
 
 
-def paths_of(rules: list[dict]) -> list[str]:
+def paths_of(rules: list[dict], aliases: dict[str, list[str]] = ALIASES) -> list[str]:
     """The paths that rules look at, aliases resolved."""
     found: dict[str, None] = {}
 
@@ -43,17 +43,17 @@ def paths_of(rules: list[dict]) -> list[str]:
         for x in [*spec.get("all", []), *spec.get("any", []), *([spec["not"]] if "not" in spec else [])]:
             walk(x)
         for name in [spec["field"]] if "field" in spec else spec.get("field_any", []):
-            found.update(dict.fromkeys(ALIASES.get(name, []) if name.startswith("@") else [name]))
+            found.update(dict.fromkeys(aliases.get(name, []) if name.startswith("@") else [name]))
 
     for r in rules:
         walk(r["when"])
     return list(found)
 
 
-def resolve(values: dict[str, Column], name: str) -> Column:
+def resolve(values: dict[str, Column], name: str, aliases: dict[str, list[str]] = ALIASES) -> Column:
     """The literal of a field, or of the first that an alias finds."""
     if name.startswith("@"):
-        return F.coalesce(*(values[p] for p in ALIASES[name])) if name in ALIASES else F.lit(None).cast("string")
+        return F.coalesce(*(values[p] for p in aliases[name])) if aliases.get(name) else F.lit(None).cast("string")
     return values[name]
 
 
@@ -122,24 +122,24 @@ def atom(value: Column, op: str, spec: dict, dialect: str) -> Column:
     return F.coalesce(met, F.lit(False))
 
 
-def condition(values: dict[str, Column], spec: dict, dialect: str = "production") -> Column:
+def condition(values: dict[str, Column], spec: dict, dialect: str = "production", aliases: dict[str, list[str]] = ALIASES) -> Column:
     """A condition tree over the values of its paths, as a column that is true or false, never SQL NULL."""
     if "all" in spec:
         met = F.lit(True)
         for x in spec["all"]:
-            met = met & condition(values, x, dialect)
+            met = met & condition(values, x, dialect, aliases)
         return met
     if "any" in spec:
         met = F.lit(False)
         for x in spec["any"]:
-            met = met | condition(values, x, dialect)
+            met = met | condition(values, x, dialect, aliases)
         return met
     if "not" in spec:
-        return ~condition(values, spec["not"], dialect)
+        return ~condition(values, spec["not"], dialect, aliases)
     paths = [spec["field"]] if "field" in spec else spec.get("field_any", [])
     met = F.lit(False)
     for p in paths:
-        met = met | atom(resolve(values, p), spec["op"], spec, dialect)
+        met = met | atom(resolve(values, p, aliases), spec["op"], spec, dialect)
     return met
 
 
@@ -185,7 +185,7 @@ def problems(rules: list[dict]) -> list[str]:
     return found
 
 
-def first_rule(rows: DataFrame, name: str = "record", dialect: str = "production", rules: list[dict] | None = None) -> DataFrame:
+def first_rule(rows: DataFrame, name: str = "record", dialect: str = "production", rules: list[dict] | None = None, aliases: dict[str, list[str]] = ALIASES) -> DataFrame:
     """Rows with the column ``rule``: the place of the first rule that the record in the column
     ``name`` meets, or SQL NULL.
 
@@ -197,15 +197,15 @@ def first_rule(rows: DataFrame, name: str = "record", dialect: str = "production
     rules = RULES if rules is None else rules
     if found := problems(rules):
         raise ValueError("; ".join(found))
-    values, chain = _chain(name, dialect, json.dumps(rules))
+    values, chain = _chain(name, dialect, json.dumps(rules), json.dumps(aliases))
     return rows.withColumn("_read", values).withColumn("rule", chain).drop("_read")
 
 
 @compiled
-def _chain(name: str, dialect: str, text: str) -> tuple[Column, Column]:
+def _chain(name: str, dialect: str, text: str, names: str) -> tuple[Column, Column]:
     """What rules look at in a record, as one struct ``_read``, and the place of the first that it meets."""
-    rules = json.loads(text)
-    paths, rec = paths_of(rules), F.col(name)
+    rules, aliases = json.loads(text), json.loads(names)
+    paths, rec = paths_of(rules, aliases), F.col(name)
     domain = domain_of(rec) if dialect == "production" else text_of(field(rec, "schema_id"))
     domain = F.when(domain == "computer_vision", "cv").otherwise(domain)
     read = F.struct(domain.alias("domain"), *(value_at(rec, p).alias(f"p{i}") for i, p in enumerate(paths)))
@@ -215,14 +215,14 @@ def _chain(name: str, dialect: str, text: str) -> tuple[Column, Column]:
         inner, own = F, {domain_name, {"cv": "computer_vision"}.get(domain_name, domain_name)}
         for i, r in enumerate(rules):
             if r.get("enabled", True) and (not r.get("applies_to") or own & set(r["applies_to"])):
-                inner = inner.when(condition(values, r["when"], dialect), F.lit(i))
+                inner = inner.when(condition(values, r["when"], dialect, aliases), F.lit(i))
         if inner is not F:
             chain = chain.when(F.col("_read.domain") == domain_name, inner)
     if dialect == "label":  # a record of no domain can still meet rules that apply to all
         inner = F
         for i, r in enumerate(rules):
             if r.get("enabled", True) and not r.get("applies_to"):
-                inner = inner.when(condition(values, r["when"], dialect), F.lit(i))
+                inner = inner.when(condition(values, r["when"], dialect, aliases), F.lit(i))
         if inner is not F:
             chain = inner if chain is F else chain.otherwise(F.when(~F.coalesce(F.col("_read.domain"), F.lit("")).isin("core_api", "llm", "agentic", "cv"), inner))
     return read, F.lit(None).cast("int") if chain is F else chain
@@ -232,19 +232,19 @@ LABELS = ("level", "category", "sub_category", "outcome", "tags")
 DEFAULT = {"level": "info", "category": "core_api", "outcome": "success"}
 
 
-def classify(rows: DataFrame, name: str = "record", dialect: str = "production", rules: list[dict] | None = None) -> DataFrame:
+def classify(rows: DataFrame, name: str = "record", dialect: str = "production", rules: list[dict] | None = None, aliases: dict[str, list[str]] = ALIASES, default_action: dict = DEFAULT) -> DataFrame:
     """Rows whose record has its first rule's labels and provenance; where no rule is met the default's
     labels fill what is missing.  Adds the column ``rule``."""
     rules = RULES if rules is None else rules
-    return first_rule(rows, name, dialect, rules).withColumn(name, _labels(name, dialect, json.dumps(rules)))
+    return first_rule(rows, name, dialect, rules, aliases).withColumn(name, _labels(name, dialect, json.dumps(rules), json.dumps(default_action)))
 
 
 @compiled
-def _labels(name: str, dialect: str, rules: str) -> Column:
-    return labelled(F.col(name), F.col("rule"), dialect, json.loads(rules))
+def _labels(name: str, dialect: str, rules: str, default_action: str) -> Column:
+    return labelled(F.col(name), F.col("rule"), dialect, json.loads(rules), json.loads(default_action))
 
 
-def labelled(fields: Column, index: Column, dialect: str = "production", rules: list[dict] | None = None) -> Column:
+def labelled(fields: Column, index: Column, dialect: str = "production", rules: list[dict] | None = None, default_action: dict = DEFAULT) -> Column:
     rules = RULES if rules is None else rules
 
     def action(r: dict) -> dict[str, str]:
@@ -257,7 +257,7 @@ def labelled(fields: Column, index: Column, dialect: str = "production", rules:
 
     actions = F.from_json(F.lit(json.dumps([action(r) for r in rules])), "array<map<string,string>>")
     found = F.try_element_at(actions, index + 1)
-    default = record(**{k: word(v) for k, v in DEFAULT.items()})
+    default = record(**{k: F.lit(json.dumps(v, ensure_ascii=False)) for k, v in default_action.items()})
     if dialect == "production":
         default = overlay(default, record(provenance=obj(parser_rule_id=word("default"), rule_version=word(RULES_VERSION), rule_name=word("Default action"))))
         provenance = record(provenance=obj(parser_rule_id=word("default"), rule_version=word(RULES_VERSION), rule_name=word("Default action")))

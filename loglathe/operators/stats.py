@@ -52,6 +52,26 @@ def domain_stats(rows: DataFrame, domain: str = "domain", ok: str = "ok", thresh
     return joined.select("domain", total.alias("total"), parsed.alias("parsed"), (total - parsed).alias("failed"), rate.alias("rate"), "threshold", ((total == 0) | (rate >= F.col("threshold"))).alias("met"))
 
 
+def overall(stats: DataFrame) -> DataFrame:
+    """One row (total, parsed, rate) over the domains of domain_stats(); no lines have the rate 0."""
+    sums = stats.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("parsed"), F.lit(0)).alias("parsed"))
+    return sums.withColumn("rate", F.when(F.col("total") > 0, 100.0 * F.col("parsed") / F.col("total")).otherwise(0.0))
+
+
+def domain_metrics(rows: DataFrame, name: str = "record", domain: str = "domain", raw: Column | None = None) -> DataFrame:
+    """Rows (domain, total, parse_ok, parse_error, schema_violation, raw_total, raw_ok, parse_rate,
+    overall_parse_rate) of validated records; raw: which of them came as lines (null: all)."""
+    came = F.lit(True) if raw is None else raw
+    ok, kept = parse_ok(F.col(name)), F.get_json_object(field(F.col(name), "meta"), "$.validation.ok")
+    told = rows.select(F.col(domain).alias("domain"), ok.alias("ok"), came.alias("raw"), (kept == "false").alias("broken"))
+    sums = told.groupBy("domain").agg(
+        F.count("*").alias("total"), F.count_if("ok").alias("parse_ok"), F.count_if(~F.col("ok")).alias("parse_error"), F.count_if(F.col("ok") & F.col("broken")).alias("schema_violation"),
+        F.count_if("raw").alias("raw_total"), F.count_if(F.col("raw") & F.col("ok")).alias("raw_ok"),
+    )
+    share = lambda a, b: F.when(F.col(b) > 0, 100.0 * F.col(a) / F.col(b)).otherwise(0.0)
+    return sums.withColumn("parse_rate", share("raw_ok", "raw_total")).withColumn("overall_parse_rate", share("parse_ok", "total"))
+
+
 def top_reasons(rows: DataFrame, reason: str = "reason", order: str = "_seq", domain: str = "domain", k: int = 3) -> DataFrame:
     """The k most common reasons of each domain; of equally common ones those seen first."""
     counts = rows.where(F.col(reason).isNotNull()).groupBy(domain, reason).agg(F.count("*").alias("n"), F.min(order).alias("first"))

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.literals import field, parsed, text_of
-from ..operators import rules
-from ..operators.records import canonical_json, unclassified, with_provenance
+from ..operators import inference, rules, stats
+from ..operators.normalising import units
+from ..operators.records import CLASSIFIED, canonical_json, unclassified, with_provenance
 from ..sources.lines import spread
-from .pipeline import Options, classify_records
+from .pipeline import Options, classify_records, normalise, parse, validate
 
 #: Records, as templates in which # is the event's number, and the rule that each one meets.
 RULE_CASES = (
@@ -65,9 +66,7 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    templates = F.from_json(F.lit(json.dumps([x[0] for x in RULE_CASES])), "array<string>")
-    made = F.replace(F.element_at(templates, (F.col("event_id") % len(RULE_CASES) + 1).cast("int")), F.lit("#"), F.col("event_id").cast("string"))
-    rows = rules.classify(_numbered(spark, sf_dir).withColumn("record", parsed(made)))
+    rows = rules.classify(_templates(spark, sf_dir, RULE_CASES))
     return rows.select("event_id", F.get_json_object(field(F.col("record"), "provenance"), "$.parser_rule_id").alias("rule_id"), text_of(field(F.col("record"), "level")).alias("level"))
 
 
@@ -136,11 +135,76 @@ def record_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbered(spark, sf_dir).select("event_id", canonical_json(rec).alias("json"))
 
 
-QUERIES = {"rule_cases": rule_cases, "rule_operators": rule_operators, "records_in": records_in, "record_order": record_order}
+#: Records, the domains that the chain, the contract check and the statistics tell them to be of.
+DOMAIN_CASES = (
+    ('{"meta": {"parse": {"domain": "cv"}}, "event_type": "x"}', "cv", "core_api", "core_api"),
+    ('{"service": "s#"}', "core_api", "", ""),
+    ('{"request_id": "#", "category": "agentic"}', "llm", "agentic", "agentic"),
+    ('{"workflow_id": "#"}', "agentic", "", ""),
+    ('{"phase": "inference", "category": "none"}', "cv", "cv", "cv"),
+    ('{"phase": "ingest", "event_type": "x"}', "core_api", "core_api", "core_api"),
+    ('{"step_kind": "x", "pipeline_stage": "y"}', "llm", "agentic", "llm"),
+    ('{"meta": {"parse": {"pattern_id": "Agent_x"}, "raw_message": "[Planner] step #"}}', "agentic", "", "agentic"),
+    ('{"meta": {"parse": {"pattern_id": "kv_cache_x"}, "raw_message": "[Tokenizer] #"}}', "llm", "", "llm"),
+    ('{"meta": {"parse": {"pattern_id": "apprunner_event"}, "raw_message": "nothing #"}}', "core_api", "", "core_api"),
+    ('{"meta": {"parse": {"pattern_id": "batch"}}}', "cv", "", ""),
+    ('{"other": "#"}', "", "", ""),
+)
+
+
+def _templates(spark: SparkSession, sf_dir: str, cases) -> DataFrame:
+    templates = F.from_json(F.lit(json.dumps([x[0] for x in cases])), "array<string>")
+    made = F.replace(F.element_at(templates, (F.col("event_id") % len(cases) + 1).cast("int")), F.lit("#"), F.col("event_id").cast("string"))
+    return _numbered(spark, sf_dir).withColumn("record", parsed(made))
+
+
+def domain_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec = F.col("record")
+    return _templates(spark, sf_dir, DOMAIN_CASES).select("event_id", inference.by_parse(rec).alias("by_parse"), inference.by_contract(rec).alias("by_contract"), inference.by_shape(rec).alias("by_shape"))
+
+
+def parse_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of a record without the fields that classifying gives."""
+    rec = parsed(F.concat(F.lit("{"), F.lit(", ".join(f'"{x}": 1' for x in CLASSIFIED)), F.lit(', "timestamp": "t", "message": "m'), F.col("event_id").cast("string"), F.lit('"}')))
+    return _numbered(spark, sf_dir).select("event_id", canonical_json(unclassified(rec)).alias("json"))
+
+
+#: Records with units, at the top, in objects and in lists of objects, and their normalised form.
+UNIT_CASES = (
+    ('{"latency_ms": "7#s"}', '{"latency_ms": 7#000.0}'),
+    ('{"status_code": "1,0#", "note": "5s"}', '{"note": "5s", "status_code": 10#}'),
+    ('{"metrics": {"duration": "2m", "deep": {"tokens": "1_00#"}}}', '{"metrics": {"deep": {"tokens": 100#}, "duration": 120000.0}}'),
+    ('{"list": [{"ttft": "1h"}, 5, "10s"]}', '{"list": [{"ttft": 3600000.0}, 5, "10s"]}'),
+    ('{"duration": "x#", "size": "y"}', '{"duration": "x#", "size": "y"}'),
+)
+
+
+def unit_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _templates(spark, sf_dir, UNIT_CASES).select("event_id", canonical_json(units(F.col("record"))).alias("json"))
+
+
+def overall_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.overall(stats.domain_stats(parse(_lines(spark, sf_dir), Options())))
+
+
+def domain_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.domain_metrics(validate(normalise(_lines(spark, sf_dir), Options())))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .queries import events
+
+    return events(spark, sf_dir)
+
+
+QUERIES = {
+    "domain_inference": domain_inference, "parse_surface": parse_surface, "unit_fields": unit_fields, "overall_rate": overall_rate, "domain_metrics": domain_metrics,
+    "rule_cases": rule_cases, "rule_operators": rule_operators, "records_in": records_in, "record_order": record_order,
+}
 
 
-def _cases(i: int) -> str:
-    return " ".join(f"when {k} then '{x[i]}'" for k, x in enumerate(RULE_CASES))
+def _cases(i: int, cases=RULE_CASES) -> str:
+    return f"case event_id % {len(cases)} " + " ".join(f"when {k} then nullif(replace('{x[i]}', '#', cast(event_id as varchar)), '')" for k, x in enumerate(cases)) + " end"
 
 
 #: What kind of line LINES makes of an event.
@@ -149,7 +213,14 @@ KINDS = """k as (select event_id, event_type, case event_type when 'click' then
  d as (select *, case when kind in ('tokenizer', 'prompt') then 'llm' when kind in ('tool', 'planner') then 'agentic' when kind in ('data', 'infer') then 'cv' else 'core_api' end as domain,
    kind in ('prompt', 'data', 'error', 'trace', 'broken build', 'deployment', 'ill', 'unknown') or kind in ('tokenizer', 'tool') and event_id % 5 = 0 as bad from k)"""
 ORACLE_SQL = {
-    "rule_cases": f"select event_id, case event_id % {len(RULE_CASES)} {_cases(1)} end as rule_id, case event_id % {len(RULE_CASES)} {_cases(2)} end as level from events",
+    "domain_inference": f"select event_id, {_cases(1, DOMAIN_CASES)} as by_parse, {_cases(2, DOMAIN_CASES)} as by_contract, {_cases(3, DOMAIN_CASES)} as by_shape from events",
+    "parse_surface": """select event_id, '{"timestamp": "t", "message": "m' || event_id || '"}' as json from events""",
+    "unit_fields": f"select event_id, {_cases(1, UNIT_CASES)} as json from events",
+    "overall_rate": "select count(*) as total, count(*) - count(*) filter (where event_type = 'error' and event_id % 6 = 5) as parsed, 100.0::double * (count(*) - count(*) filter (where event_type = 'error' and event_id % 6 = 5)) / count(*) as rate from events",
+    "domain_metrics": f"""with {KINDS}, s as (select domain, kind <> 'unknown' as ok, kind in ('http', 'error', 'trace', 'build', 'well', 'data') as kept from d)
+      select domain, count(*) as total, count(*) filter (where ok) as parse_ok, count(*) filter (where not ok) as parse_error, count(*) filter (where ok and not kept) as schema_violation, count(*) as raw_total, count(*) filter (where ok) as raw_ok,
+        100.0::double * count(*) filter (where ok) / count(*) as parse_rate, 100.0::double * count(*) filter (where ok) / count(*) as overall_parse_rate from s group by domain""",
+    "rule_cases": f"select event_id, {_cases(1)} as rule_id, {_cases(2)} as level from events",
     "rule_operators": " union all ".join(f"select n, '{k}' as condition, count(*) as rows, count(*) filter (where {met}) as met from (select event_id % 10 as n from events) group by n" for k, (_, met) in CONDITIONS.items()),
     "records_in": """select event_id, case event_id % 4 when 0 then 'startup' when 1 then 'http_request' else 'exception' end as event_type, case when event_id % 4 = 1 then '/' || event_id end as endpoint,
       case event_id % 4 when 2 then 'missing_required_fields' when 3 then 'invalid_normalized_record' end as reason,

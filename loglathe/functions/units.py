@@ -21,6 +21,12 @@ def duration_ms(text: Column) -> Column:
     return F.when(number.rlike(r"^(\d+\.?\d*|\.\d+)$"), number.cast("double") * chain.otherwise(F.lit(None).cast("double")))
 
 
+def plain(number: Column) -> Column:
+    """The literal of a double; whole ones up to 1e16 without an exponent."""
+    whole = (number == F.floor(number)) & (F.abs(number) < 1e16)
+    return F.when(whole, F.concat(number.cast("bigint").cast("string"), F.lit(".0"))).otherwise(number.cast("string"))
+
+
 def clean_numeric(text: Column) -> Column:
     """The literal of a number without its separators; SQL NULL for what isn't one."""
     bare = F.regexp_replace(text, "[,_]", "")

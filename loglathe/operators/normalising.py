@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.literals import among, compiled, looked_up, null, parsed, drop, falsy, field, obj, overlay, put, quoted, record, text_of, word
-from ..functions.units import clean_numeric, duration_ms
+from ..functions.units import clean_numeric, duration_ms, plain
 from ..functions.vocabulary import canonical, canonical_flags
 
 
@@ -104,7 +104,7 @@ def units(fields: Column, depth: int = DEPTH) -> Column:
 
     def value(name: Column, literal: Column) -> Column:
         text = F.when(literal.startswith('"'), text_of(literal))
-        done = F.when(name.isin(DURATIONS), duration_ms(text).cast("string")).when(name.isin(NUMBERS), clean_numeric(text))
+        done = F.when(name.isin(DURATIONS), plain(duration_ms(text))).when(name.isin(NUMBERS), clean_numeric(text))
         known = F.when(~literal.startswith("{") & ~literal.startswith("[") & among(name, DURATIONS + NUMBERS), F.coalesce(done, literal))
         return (known.when(literal.rlike(r"^[{\[]") & literal.rlike(named), inner(literal)) if depth > 1 else known).otherwise(literal)
 

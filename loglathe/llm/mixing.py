@@ -101,7 +101,7 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = (), depth: int = 4, seed: int =
     only read if keep names them.
     """
     sized = docs.select("doc_id", "source", *(c for c in keep if c not in ("doc_id", "source")), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
-    sized = cut(sized, "sized")
+    sized = cut(sized.withColumn("_row", F.monotonically_increasing_id()), "sized")  # written once, and so a row keeps its number
     per = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats), "targets")
     all_words = F.sum("source_size").over(Window.partitionBy(F.lit(0)))
     per = per.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.greatest(F.lit(BLOCK_WORDS), F.ceil(all_words / BLOCKS)))).cast("long"))
@@ -111,10 +111,13 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = (), depth: int = 4, seed: int =
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("blocks")))
     drawn = cut(_drawn(rows.groupBy("rank", "block").agg(F.sum("size").alias("words")), per, depth, seed), "drawn")
     rows = rows.join(drawn, ["rank", "block"], "left").withColumn("whole", F.coalesce("whole", F.array().cast(drawn.schema["whole"].dataType)))
-    rows = rows.where("part is null").drop("part").unionByName(_cut_block(rows.where("part is not null"), seed))
+    partly = rows.where("part is not null")
+    added = _cut_block(partly.select("_row", "doc_id", "size", "rank", "block", "part"), seed)
+    partly = partly.join(added, "_row", "left").withColumn("whole", F.when(F.col("added").isNull(), F.col("whole")).otherwise(F.array_append("whole", F.col("added"))))
+    rows = rows.where("part is null").drop("part").unionByName(partly.drop("part", "added"))
     copies = F.transform("whole", lambda c: F.struct(c["shard"].alias("shard"), c["round"].alias("round"), F.xxhash64(F.lit(seed), c["shard"], c["round"], F.col("doc_id")).alias("place")))
     rows = rows.withColumn("copies", copies).withColumn("taken", F.col("size") * F.size("copies"))
-    return rows.select(*sized.columns, "source_size", "target", "copies", "taken")
+    return rows.select(*(c for c in sized.columns if c != "_row"), "source_size", "target", "copies", "taken")
 
 
 def _drawn(blocks: DataFrame, per: DataFrame, depth: int, seed: int) -> DataFrame:
@@ -138,9 +141,10 @@ def _drawn(blocks: DataFrame, per: DataFrame, depth: int, seed: int) -> DataFram
 
 
 def _cut_block(rows: DataFrame, seed: int) -> DataFrame:
-    """Of the blocks in which targets are met: documents in a permuted order while room for one
-    of the largest is left, then a few times the largest that still fits, then the one that comes
-    nearest to the words left over, if that is nearer than none."""
+    """Rows (_row, added): the round and shard that take a document of the blocks in which targets are
+    met.  These are documents in a permuted order while room for one of the largest is left, then a few
+    times the largest that still fits, then the one that comes nearest to the words left over, if that
+    is nearer than none.  Only ids and sizes go through the windows, texts don't."""
     block = Window.partitionBy("rank", "block")
     chance = F.xxhash64(F.lit(seed + 1), F.col("doc_id"))
     rows = rows.withColumn("upto", F.sum("size").over(block.orderBy(chance, "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
@@ -152,7 +156,7 @@ def _cut_block(rows: DataFrame, seed: int) -> DataFrame:
         rows = rows.withColumn("able", able).withColumn("first", F.row_number().over(block.orderBy(F.col("able").desc(), off, chance, "doc_id")))
         rows = rows.withColumn("in", F.col("in") | (F.col("able") & (F.col("first") == 1)))
     added = F.struct(F.col("part.round").alias("round"), F.col("part.shard").alias("shard"))
-    return rows.withColumn("whole", F.when(F.col("in"), F.array_append("whole", added)).otherwise(F.col("whole"))).drop("upto", "in", "over", "able", "first", "part")
+    return rows.where(F.col("in")).select("_row", added.alias("added"))
 
 
 def shards(mixed: DataFrame) -> DataFrame:

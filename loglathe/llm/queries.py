@@ -26,7 +26,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,10 +58,11 @@ def records(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
     return rows.select("page_id", F.concat(head.cast("binary"), block, F.lit("\r\n\r").cast("binary")).alias("record"))
 
 
-def write(pages: DataFrame, path: str, least: int = LEAST_PAYLOAD) -> None:
-    """Write the pages' records to files under path, a header and payload for each row."""
+def write(pages: DataFrame, path: str, least: int = LEAST_PAYLOAD, compression: str = "gzip") -> None:
+    """Write the pages' records to files under path, a header and payload for each row.  Compressed files
+    are read by one task each; with compression "none" a file's splits are read apart."""
     rows = records(pages, least).select(F.col("record").cast("string").alias("value"))
-    rows.write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
+    rows.write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", compression).text(path)
 
 
 def _jump(chains: pd.DataFrame) -> pd.DataFrame:

@@ -139,13 +139,20 @@ def _rows(id_column: str, widths: list[int], short: bool, bits) -> Callable:
     return run
 
 
+def questions(benchmark: DataFrame) -> DataFrame:
+    """Rows (item_id, question_id) of benchmark (item_id, text, ...): the smallest item_id with an equal
+    text, under which contaminated() names all of them.  Rows without an id or a text have none."""
+    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
+    return rows.join(rows.groupBy("text").agg(F.min("item_id").alias("question_id")), "text").select("item_id", "question_id")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows (doc_id, item_id, n_words, exact): the documents of docs (doc_id, text, ...) that hold a
+    """Rows (doc_id, item_id, n_words, exact, n_items): the documents of docs (doc_id, text, ...) that hold a
     window of a question of benchmark (item_id, text, ...), once for each such question.
 
     n_words: words that the windows of the best diagonal cover; exact: they are literally the same
-    but for case and punctuation, otherwise values differ consistently.  Equal questions count as the
-    one with the smallest item_id.  A question of fewer than LITERAL words is only found literally;
+    but for case and punctuation, otherwise values differ consistently.  Equal questions, of
+    which there are n_items, go by the smallest item_id; questions() tells which they are.  A question of fewer than LITERAL words is only found literally;
     null or empty texts have no windows; rows without an id take no part; repeated rows count once.  Columns other
     than the named ones are not read.
 
@@ -156,8 +163,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     prepare(spark)
-    items = benchmark.where("item_id is not null and text is not null").groupBy("text").agg(F.min("item_id").cast("bigint").alias("item_id")).select("item_id", "text")
-    asked = items.mapInArrow(_rows("item_id", list(range(1, WIDTH + 1)), True, None), _SCHEMA).distinct()
+    items = benchmark.where("item_id is not null and text is not null").groupBy("text").agg(F.min("item_id").cast("bigint").alias("item_id"), F.count_distinct("item_id").alias("n_items"))
+    items = cut(items.select("item_id", "text", "n_items"), "items")
+    asked = items.select("item_id", "text").mapInArrow(_rows("item_id", list(range(1, WIDTH + 1)), True, None), _SCHEMA).distinct()
     asked = cut(asked.select("hash", F.col("id").alias("item_id"), F.col("place").alias("item_place"), "literal", "width", F.col("slots").alias("item_slots")), "asked")
     widths = sorted(r[0] for r in asked.select("width").distinct().collect())  # at most WIDTH
     filled = asked.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)  # at most 2**FILTER_BITS
@@ -177,7 +185,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     words = lambda windows: F.size(F.array_distinct(F.flatten(F.transform(windows, lambda w: F.sequence(w["place"], w["place"] + w["width"] - 1)))))
     judged = diagonal.select("doc_id", "item_id", F.when(one_to_one, words(F.col("windows"))).otherwise(words(literal)).alias("n_words"), (words(literal) == words(F.col("windows"))).alias("exact"))
     best = judged.where("n_words > 0").groupBy("doc_id", "item_id").agg(F.max(F.struct("n_words", "exact")).alias("best"))
-    return best.select("doc_id", "item_id", "best.n_words", "best.exact")
+    return best.join(items.select("item_id", "n_items"), "item_id").select("doc_id", "item_id", "best.n_words", "best.exact", "n_items")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes and rows of one Arrow batch handed to Python; bounds a worker's memory.
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 4096
 #: Bytes that separate words: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Columns that an operator hands through, in one struct.
+KEPT = "_kept"
+
+_tables = threading.local()
 
 
 def prepare(spark: SparkSession) -> None:
@@ -60,20 +65,52 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark._jvm.System.gc()  # the driver lets go of shuffles that no plan needs any more, executors delete them
     table = spark.read.schema(df.schema).parquet(path)
     table._loglathe_path = path
+    written().append(path)
     return table
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table that cut() wrote and that no plan still to run reads."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table._loglathe_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(table.sparkSession, table._loglathe_path)
+
+
+def written() -> list[str]:
+    """Paths that this thread wrote by cut(), in order, without those that sweep() deleted."""
+    if not hasattr(_tables, "paths"):
+        _tables.paths = []
+    return _tables.paths
+
+
+def sweep(kept: DataFrame, since: int) -> None:
+    """Delete what this thread wrote by cut() but for its first ``since`` tables and kept; call it once
+    kept is written, since no plan reads the tables on the way to it any more."""
+    paths = written()
+    for path in paths[since:]:
+        if path != kept._loglathe_path:
+            _delete(kept.sparkSession, path)
+    paths[since:] = [kept._loglathe_path]
+
+
+def packed(docs: DataFrame, *own: str) -> DataFrame:
+    """docs with the columns of other names than own in one struct, so that no name of theirs can be one
+    that an operator adds."""
+    others = [c for c in docs.columns if c not in own]
+    return docs.select(*own, F.struct(*others).alias(KEPT) if others else F.lit(0).alias(KEPT))
+
+
+def unpacked(columns: list[str], *own: str) -> list[Column]:
+    """The columns again, in their order, from rows that packed() was given with own."""
+    return [F.col(c) if c in own else F.col(KEPT).getField(c).alias(c) for c in columns]
 
 
 def remove_shared(spark: SparkSession) -> None:
     """Delete what this application wrote by cut(); call it once no result is read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_folder(spark))
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:

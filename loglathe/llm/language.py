@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import cut, prepare, slices
 
@@ -255,8 +256,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     """
     prepare(docs.sparkSession)
     rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(_label(model), f"{fields}, {_ADDED}")
+    return rows.mapInArrow(_label(model), StructType([*rows.schema.fields, *StructType.fromDDL(_ADDED).fields]))
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import cut, discard, prepare
 
@@ -344,9 +345,9 @@ def without_repeats(docs: DataFrame, keep: tuple[str, ...] = (), as_text: bool =
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *keep, F.col("text").cast("binary").alias("text"))
     keyed = _keyed(texts)
     spans = repeated_spans(keyed.select(F.col("_key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_key")
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1])
     joined = keyed.join(spans, "_key", "left").select(*texts.columns, "repeats")
-    return joined.mapInArrow(_removal(len(keep) + 1, as_text), f"{own}, n_bytes bigint, n_removed bigint, n_spans bigint, kept {'string' if as_text else 'binary'}")
+    added = StructType.fromDDL(f"n_bytes bigint, n_removed bigint, n_spans bigint, kept {'string' if as_text else 'binary'}")
+    return joined.mapInArrow(_removal(len(keep) + 1, as_text), StructType([*texts.schema.fields[:-1], *added.fields]))
 
 
 def _keyed(texts: DataFrame) -> DataFrame:

@@ -148,6 +148,21 @@ def test_mixing(docs, spark):
     assert abs(sum(t for _, t in {(r.source, r.target) for r in got}) - total) < 1
     assert all(r.taken <= 3 * r.size and len({(c.shard, c.round) for c in r.copies}) == len(r.copies) for r in got)
     assert mixing.mix(docs([])).count() == 0
+    held = mixing.shards(mixing.mix(table)).select("doc_id", "shard", "round", "place", "size").collect()
+    assert sorted((r.doc_id, r.shard, r.round) for r in held) == sorted((r.doc_id, c.shard, c.round) for r in got for c in r.copies)
+    assert sum(r["size"] for r in held) == sum(r.taken for r in got) and {r.shard for r in held} <= set(range(16))
+
+
+def test_mixing_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 16)  # many blocks, so that every shard has some
+    rows = [(i % 40, "w " * (1 + i % 7), "ab"[i % 2]) for i in range(400)] + [(None, "x y z", "a")] * 9
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(table, keep=("text",)).collect()
+    assert {r.shard for r in mixing.shards(mixing.mix(table)).collect()} == set(range(16))
+    assert len(got) == len(rows) and all(r["size"] == len(r.text.split()) and r.taken <= 3 * r["size"] for r in got)
+    for source in "ab":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 7
 
 
 def test_targets_stop_at_the_cap(spark):
@@ -250,6 +265,8 @@ def test_decontamination(docs, spark):
     rows = [(10, words(rng, 50) + " " + question + " " + words(rng, 50)), (11, "x " + other), (12, mixed), (13, words(rng, 200)), (14, None), (15, ""), (16, two.upper() + "!"), (16, two.upper() + "!"), (None, question)]
     got = {(r.doc_id, r.item_id, r.exact) for r in decontaminate.contaminated(docs(rows), items).collect()}
     assert {(10, 1, True), (11, 1, False), (16, 2, True)} <= got and {i for i, *_ in got} <= {10, 11, 12, 16}
+    assert {r.n_items for r in decontaminate.contaminated(docs(rows), items).where("item_id = 1").collect()} == {2}
+    assert {(r.item_id, r.question_id) for r in decontaminate.questions(items).collect()} == {(1, 1), (2, 2), (3, 3), (4, 4), (6, 1)}
     kept = {r.doc_id for r in decontaminate.clean(docs(rows), items).collect()}
     assert {13, 14, 15, None} <= kept and not kept & {10, 11, 16}
 

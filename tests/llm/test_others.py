@@ -91,3 +91,50 @@ def test_pipeline(spark, tmp_path):
         counts.append(sorted(r.doc_id for r in docs.select("doc_id").collect()))
     assert not {21, 22} & set(counts[0]) and 20 not in counts[1] and 23 not in counts[3]
     assert counts[3] == counts[4] and set(range(12)) >= set(counts[4])
+
+
+def test_pipeline_of_clashing_names_and_of_no_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    added = ["score", "lang_pred", "component_id", "component", "n_bytes", "kept", "repeats", "phrases", "hash", "size", "target", "taken", "copies", "rank", "block"]
+    fields = ", ".join(f"{c} int" for c in added)
+    words = lambda i: " ".join(f"word{chr(97 + i)}{chr(97 + k)} is" for k in range(25))
+    rows = [(i, words(i), "en", "s", -1, *range(len(added))) for i in range(4)] + [(7, None, None, None, None, *[None] * len(added))]
+    documents = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {fields}")
+    items = spark.createDataFrame([(1, "who asks for a word that no one here has ever said at all", 0)], "item_id long, text string, doc_id int")
+    for name, some, found in (("whole", documents, {0, 1, 2, 3}), ("none", documents.where("doc_id > 99"), set())):
+        folder = str(tmp_path / name)
+        some.write.parquet(f"{folder}/documents.parquet")
+        items.write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, folder)
+        assert got.columns[: len(documents.columns)] == documents.columns and {"mix_taken", "mix_size", "source_size"} <= set(got.columns)
+        got = got.collect()
+        assert {r.doc_id for r in got} == found
+        assert all(tuple(r[c] for c in added) == tuple(range(len(added))) and r.mix_size == 50 and r.n_chars == len(r.text) for r in got)
+
+
+def test_a_run_leaves_its_result_only(spark):
+    from loglathe.llm import common
+
+    before = common.cut(spark.range(2), "before")
+    since = len(common.written())
+    common.cut(spark.range(3), "way")
+    result = common.cut(spark.range(4), "result")
+    common.sweep(result, since)
+    assert (before.count(), result.count()) == (2, 4) and common.written()[since - 1 :] == [before._loglathe_path, result._loglathe_path]
+
+
+def test_warc_chains_cross_splits(spark, tmp_path):
+    trap = "x" * 700 + warc.MAGIC + "WARC-Type: response\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n" + warc.MAGIC + "y" * 900
+    rows = [(i, "u", trap + f" {i}" if i % 3 else f"p{i}" * (1 + i * 7)) for i in range(60)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "archive"), compression="none")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in old:
+            spark.conf.set(k, "1000")
+        assert warc.candidates(spark, str(tmp_path / "archive")).select("split").distinct().count() > 50
+        got = warc.read(spark, str(tmp_path / "archive")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted((int(r.record_id[10:-1]), bytes(r.payload).decode()) for r in got) == [(i, h) for i, _, h in rows]

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 4096
 #: Bytes that separate words: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Rows of a table that may be broadcast, of some 100 bytes each.
+BROADCAST_ROWS = 100_000
 #: Columns that an operator hands through, in one struct.
 KEPT = "_kept"
 
@@ -69,6 +71,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def bounded(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A side of a join that cut() wrote: broadcast if its counted rows are few, else joined by sort and
+    merge.  Left alone, Spark goes by the size of its compressed files, which says little."""
+    return F.broadcast(table) if table.count() <= rows else table.hint("merge")
+
+
 def _delete(spark: SparkSession, name: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path
+from .common import bounded, cut, fresh_path
 
 MAGIC = "WARC/1.1\r\n"
 #: Bytes that a payload needs for equal ones to be stored once.
@@ -39,7 +39,7 @@ def records(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
     rows = rows.withColumn("bytes", F.octet_length("payload").cast("bigint")).withColumn("digest", F.sha1("payload"))
     large = rows.where((F.col("bytes") >= least) & F.col("page_id").isNotNull())
     last = cut(large.groupBy("digest", "bytes").agg(F.max("page_id").alias("first"), F.min("page_id").alias("other")).where("first <> other").drop("other"), "originals")
-    rows = rows.join(last, ["digest", "bytes"], "left")
+    rows = rows.join(bounded(last), ["digest", "bytes"], "left")
     revisit = F.coalesce(F.col("first") != F.col("page_id"), F.lit(False))
     block = F.when(revisit, F.to_binary(F.lit(""), F.lit("utf-8"))).otherwise(F.col("payload"))
     head = F.concat(
@@ -128,14 +128,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     placed = cut(placed.select("file", "offset", "number", "whole", place.alias("place")), "placed")
     chains = placed.select("file", "offset", F.coalesce(F.col("offset") + len(MAGIC) + F.col("whole"), F.lit(-1)).alias("successor"), "number", "place")
     found = cut(chains.groupBy("file").applyInPandas(_jump, "file string, offset bigint, successor bigint, number bigint, place int, reached boolean, pieces bigint").where("reached").select("file", "number", "place", "pieces"), "records")
-    one = pieces.join(found.where("pieces = 1").select("file", "number"), ["file", "number"]).select("value", "whole", "length", "head")
-    one = one.where("length >= whole")
+    # payloads stay where they are: pieces that aren't a record of their own are few unless payloads hold the magic line
+    others = cut(light.select("number").join(found.where("pieces = 1").select("number"), "number", "left_anti"), "others")
+    one = pieces.join(bounded(others), "number", "left_anti").where("length >= whole").select("value", "whole", "head")
     # payloads that hold the magic line: their pieces together again
     more = found.where("pieces > 1").select("file", F.col("place").alias("start"), F.explode(F.expr("sequence(place, place + cast(pieces as int) - 1)")).alias("place"))
-    more = more.join(placed.select("file", "place", "number"), ["file", "place"])
-    joined = pieces.join(more, ["file", "number"]).groupBy("file", "start").agg(F.sort_array(F.collect_list(F.struct("place", "value", "whole", "head"))).alias("x"))
+    more = cut(more.join(placed.select("file", "place", "number"), ["file", "place"]).select("file", "start", "place", "number"), "more")
+    joined = pieces.drop("file").join(bounded(more), "number").groupBy("file", "start").agg(F.sort_array(F.collect_list(F.struct("place", "value", "whole", "head"))).alias("x"))
     joined = joined.select(F.array_join("x.value", MAGIC).alias("value"), F.col("x")[0]["whole"].alias("whole"), F.col("x")[0]["head"].alias("head")).where(F.octet_length("value") >= F.col("whole"))
-    every = one.select("value", "whole", "head").unionByName(joined)
+    every = one.unionByName(joined)
     get = lambda name: F.nullif(_header(F.col("value"), name), F.lit(""))
     payload = F.substring(F.col("value").cast("binary"), F.col("head").cast("int") + 1, (F.col("whole") - F.col("head") - 4).cast("int"))
     return every.select(

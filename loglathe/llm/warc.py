@@ -20,7 +20,7 @@ MAGIC = "WARC/1.1\r\n"
 #: Bytes that a payload needs for equal ones to be stored once.
 LEAST_PAYLOAD = 1000
 #: Records of a file at most.
-RECORDS_PER_FILE = 2000
+RECORDS_PER_FILE = 65_536
 
 
 def _line(name: str, value: Column) -> Column:
@@ -58,9 +58,9 @@ def records(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
     return rows.select("page_id", F.concat(head.cast("binary"), block, F.lit("\r\n\r").cast("binary")).alias("record"))
 
 
-def write(pages: DataFrame, path: str, least: int = LEAST_PAYLOAD, compression: str = "gzip") -> None:
-    """Write the pages' records to files under path, a header and payload for each row.  Compressed files
-    are read by one task each; with compression "none" a file's splits are read apart."""
+def write(pages: DataFrame, path: str, least: int = LEAST_PAYLOAD, compression: str = "none") -> None:
+    """Write the pages' records to files under path, a header and payload for each row.  A file's splits
+    are read apart; files compressed as wholes (compression "gzip") are read by one task each."""
     rows = records(pages, least).select(F.col("record").cast("string").alias("value"))
     rows.write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", compression).text(path)
 

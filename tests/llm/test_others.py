@@ -31,7 +31,7 @@ def test_chat_round_trip(spark):
     assert chat.pack(table.where("conv_id > 99")).count() == 0
 
 
-def test_warc_round_trip(spark):
+def test_warc_round_trip(spark, monkeypatch):
     long = "<html>" + "x" * 1200
     trap = "before " + warc.MAGIC + "Content-Length: 3\r\n\r\nabc\r\n\r\n" + warc.MAGIC
     rows = [(1, "u", long), (2, "u\r\nX: y", long), (3, None, trap), (4, "u", None), (5, "u", "short"), (6, "u", "short"), (7, "u", long + trap), (8, "u", "é" * 700), (2, "u", long), (None, "u", "z")]
@@ -44,6 +44,9 @@ def test_warc_round_trip(spark):
         want.append((i, len(b), hashlib.sha1(b).hexdigest(), "revisit" if revisit else "response", 2 if revisit else None))
     assert got == sorted(want, key=repr)
     assert warc.round_trip(pages.where("page_id > 99")).count() == 0
+    monkeypatch.setattr(warc, "bounded", lambda table: table.hint("merge"))  # as beyond the bound
+    merged = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()]
+    assert sorted(merged, key=repr) == got
 
 
 def test_pointer_jumping_rejects_what_no_chain_reaches():
@@ -127,7 +130,7 @@ def test_a_run_leaves_its_result_only(spark):
 def test_warc_chains_cross_splits(spark, tmp_path):
     trap = "x" * 700 + warc.MAGIC + "WARC-Type: response\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n" + warc.MAGIC + "y" * 900
     rows = [(i, "u", trap + f" {i}" if i % 3 else f"p{i}" * (1 + i * 7)) for i in range(60)]
-    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "archive"), compression="none")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "archive"))
     old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     try:
         for k in old:

@@ -25,6 +25,9 @@ from .common import cut, prepare, slices
 _BLOCK = "ids array<bigint>, sizes array<bigint>, matrix binary, words array<string>"
 #: Bytes of text of a block: what a task parts at a time, which bounds its memory.
 BLOCK = 8 << 20
+#: Words that are parted, and pairs of document and word that are spread over pre-tokens, at a time: both
+#: only bound the memory on the way to a block.
+WORDS, PAIRS = 1 << 13, 1 << 17
 #: Characters that a vocabulary may take for white space besides the ASCII ones that part words (fixed
 #: values: the White_Space property, separators and zero-width spaces).
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
@@ -88,6 +91,15 @@ class Vocabulary:
             of = plain[np.searchsorted(spaces, np.fromiter((at for _, (at, _) in found), np.int64))]
         return parts + [RAW + words[i] for i in odd], np.concatenate([of, np.asarray(odd, np.int64)])
 
+    def coded(self, words: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The pre-tokens of words as in pre_tokens(), some words at a time."""
+        parts, of = [pa.array([], pa.string())], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), WORDS):
+            found, word = self.pre_tokens(words.slice(at, WORDS).to_pylist())
+            parts.append(pa.array(found, pa.string()))
+            of.append(word + at)
+        return pa.concat_arrays(parts).dictionary_encode(), np.concatenate(of)
+
     def pieces(self, parts: list[str]) -> np.ndarray:
         out = np.zeros(len(parts), np.int64)
         raw = [i for i, x in enumerate(parts) if x.startswith(RAW)]
@@ -122,6 +134,30 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, total - np.repeat(base, np.diff(np.append(fresh, n))), counts
 
 
+def _spread(pairs: np.ndarray, counts: np.ndarray, of: np.ndarray, place: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The matrix of documents x words times that of words x pre-tokens, both sparse, by runs of whole
+    documents: arrays of document, pre-token, count.
+
+    pairs: document * width + word, sorted, with their counts; of: the word of each pre-token;
+    place: the code of each pre-token.
+    """
+    by = np.argsort(of, kind="stable")
+    each = np.bincount(of, minlength=width)
+    start = np.cumsum(each) - each
+    wide = int(place.max(initial=0)) + 1
+    document = pairs // width
+    ends = np.append(np.flatnonzero(np.diff(document)) + 1, len(pairs))
+    a = 0
+    while a < len(pairs):
+        b = int(ends[min(np.searchsorted(ends, a + PAIRS), len(ends) - 1)])
+        word = pairs[a:b] % width
+        much = each[word]
+        at = np.repeat(start[word] - (np.cumsum(much) - much), much) + np.arange(much.sum())
+        keys, group = np.unique(np.repeat(document[a:b], much) * wide + place[by[at]], return_inverse=True)
+        yield keys // wide, keys % wide, np.bincount(group, np.repeat(counts[a:b], much), len(keys)).astype(np.int64)
+        a = b
+
+
 def _blocks(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(path)
@@ -134,28 +170,25 @@ def _blocks(path: str) -> Callable:
                 words, doc = split.flatten(), pc.list_parent_indices(split)
                 kept = pc.not_equal(words, "")
                 words, doc = words.filter(kept), doc.filter(kept).to_numpy().astype(np.int64)
+                del split, kept
             coded = words.dictionary_encode()
             width = max(1, len(coded.dictionary))
             pairs, counts = np.unique(doc * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
-            parts, of = vocabulary.pre_tokens(coded.dictionary.to_pylist()) if len(coded.dictionary) else ([], np.zeros(0, np.int64))
-            part = pa.array(parts, pa.string()).dictionary_encode()
-            # documents x words times words x pre-tokens, both sparse
-            by = np.argsort(of, kind="stable")
-            each = np.bincount(of, minlength=width)
-            start = np.cumsum(each) - each
-            word, much = pairs % width, each[pairs % width]
-            at = np.repeat(start[word] - (np.cumsum(much) - much), much) + np.arange(much.sum())
+            distinct = coded.dictionary
+            del words, doc, coded
+            part, of = vocabulary.coded(distinct)
             rank = part.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             order = np.argsort(-np.bincount(rank, minlength=len(part.dictionary)), kind="stable")
             place = np.empty_like(order)
             place[order] = np.arange(len(order))
-            wide = max(1, len(order))
-            keys, group = np.unique(np.repeat(pairs // width, much) * wide + place[rank[by][at]], return_inverse=True)
-            matrix = _pack(keys // wide, keys % wide, np.bincount(group, np.repeat(counts, much), len(keys)).astype(np.int64))
+            cells = [(np.zeros(0, np.int64),) * 3, *_spread(pairs, counts, of, place[rank], width)]
+            matrix = _pack(*(np.concatenate(x) for x in zip(*cells, strict=True)))
             names = part.dictionary.take(pa.array(order))
             ids = batch.column("doc_id")
             sizes = pc.binary_length(text).cast(pa.int64())
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            del distinct, pairs, counts, of, rank, cells
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([one(ids), one(sizes), pa.array([matrix], pa.binary()), one(names)], ["ids", "sizes", "matrix", "words"])
 
     return run

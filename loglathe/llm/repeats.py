@@ -20,7 +20,9 @@ The order is a range partitioning on the full key, so that neither a frequent ph
 trigger fills one task.  Where a partition starts or ends within a trigger's phrases these count as
 met elsewhere and hand in their grams too, which costs work, never results.
 
-Strings are compared by hashes: 64 bits beside the trigger's 64 for phrases, 96 bits for grams.
+Rolling hashes only say where to look: what two different strings' equal hashes cost is work.  What is
+called a repeat is told by BLAKE2b digests of the bytes themselves, of 64 bits (beside the trigger's
+hash) for phrases and of 96 bits for grams, since polynomial hashes modulo 2**64 are alike for some texts.
 The suffix arrays of the method are kept as these sorted tables: no task ever needs a whole one.
 """
 
@@ -44,7 +46,9 @@ CORE = LENGTH - REACH
 #: Bytes that are hashed at a time; longer documents go in pieces that overlap.
 CHUNK = 1 << 20
 #: Odd multipliers and seeds of the rolling hashes: any odd values do.
-_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Bytes of the digest of a phrase and of a gram.
+PHRASE_BYTES, GRAM_BYTES = 8, 12
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -74,6 +78,12 @@ class Rolling:
         return _mix((self.sums[n:] - self.sums[:-n]) * self.down[: len(self.sums) - n] + np.uint64(n))
 
 
+def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, size: int) -> bytes:
+    """The digests, of size bytes each, of the substrings [start, end) of data."""
+    whole = memoryview(data.tobytes())
+    return b"".join([hashlib.blake2b(whole[a:b], digest_size=size).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+
+
 def triggers(hashes: np.ndarray, width: int) -> np.ndarray:
     """For each run of width hashes the index of the least, the first of equals."""
     n = len(hashes)
@@ -130,7 +140,7 @@ _SPAN_SCHEMA = "doc_id bigint, start bigint, extent int"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    windows, whole = Rolling(0), Rolling(1)
+    windows = Rolling(0)
     for batch in batches:
         data, ends = _bytes(batch)
         ids, starts = batch.column("doc_id").to_numpy(), np.concatenate([[0], ends[:-1]])
@@ -140,7 +150,6 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             piece = data[low:high]
             keys = windows.load(piece).windows(WINDOW)
-            whole.load(piece)
             trigger = triggers(keys, LENGTH - WINDOW + 1)
             doc = np.searchsorted(ends, low + np.arange(len(trigger)), side="right")
             fits = low + np.arange(len(trigger)) + LENGTH <= ends[doc]
@@ -150,7 +159,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.flatnonzero(np.concatenate([[True], (trigger[gram][1:] != trigger[gram][:-1]) | (doc[gram][1:] != doc[gram][:-1])]))
             last = np.concatenate([first[1:], [len(gram)]]) - 1
             a, b = gram[first], gram[last]
-            parts.append((keys[trigger[a]].view(np.int64), whole.of(a, b + LENGTH).view(np.int64), ids[doc[a]], low + a - starts[doc[a]], (b - a + 1 + 128 * (trigger[a] - a)).astype(np.int32)))
+            parts.append((keys[trigger[a]].view(np.int64), np.frombuffer(_digests(piece, a, b + LENGTH, PHRASE_BYTES), np.int64), ids[doc[a]], low + a - starts[doc[a]], (b - a + 1 + 128 * (trigger[a] - a)).astype(np.int32)))
         if not parts:
             continue
         key, phrase, doc, start, extent = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -240,7 +249,6 @@ _GRAM_SCHEMA = "gram bigint, other int, doc_id bigint, start bigint, extent int"
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The grams of the listed phrases: of equals in a batch the first, and runs of the others as repeats, without hashes."""
-    one, two = Rolling(1), Rolling(2)
     for batch in batches:
         data, ends, doc, low, extent = _listed(batch)
         ids, origin = batch.column("doc_id").to_numpy(), np.concatenate([[0], ends[:-1]])
@@ -249,8 +257,8 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
         for i, piece, chosen in _within(data, ends, at):
             p = at[chosen] - i
-            one.load(piece), two.load(piece)
-            parts.append((one.of(p, p + LENGTH).view(np.int64), (two.of(p, p + LENGTH) >> np.uint64(32)).astype(np.uint32).view(np.int32), ids[doc[chosen]], at[chosen] - origin[doc[chosen]]))
+            digest = np.frombuffer(_digests(piece, p, p + LENGTH, GRAM_BYTES), np.dtype([("gram", np.int64), ("other", np.int32)]))
+            parts.append((digest["gram"], digest["other"], ids[doc[chosen]], at[chosen] - origin[doc[chosen]]))
         if not parts:
             continue
         g, h, d, s = (np.concatenate(x) for x in zip(*parts, strict=True))

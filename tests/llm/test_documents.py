@@ -113,6 +113,18 @@ def test_repeats(docs, monkeypatch):
     assert repeats.without_repeats(docs([])).count() == 0
 
 
+def test_repeats_of_texts_whose_rolling_hashes_are_equal(docs):
+    """Polynomials modulo 2**64 are alike for Thue-Morse words and their complements, whatever the base."""
+    turned = lambda a, b, flip: "".join((a, b)[i.bit_count() % 2 ^ flip] for i in range(64))
+    texts = {i: f"{turned('f', 'D', i)}.cilhzyxohflwqfzkhfgmrvchispltviu......{turned('K', 'B', i)}...." for i in (0, 1)}
+    texts |= {i + 2: "".join("ab"[(j + i).bit_count() % 2] for j in range(700)) for i in range(3)}
+    expected = repeats.brute_force({i: t.encode() for i, t in texts.items()})
+    assert expected[1][0] == 0
+    for table in (docs(texts.items()).coalesce(1), docs(texts.items()).repartition(5)):
+        got = {r.doc_id: (r.n_removed, r.n_spans, r.sha) for r in repeats.without_repeats(table).withColumn("sha", F.sha2("kept", 256)).collect()}
+        assert got == expected
+
+
 def test_repeats_in_pieces(monkeypatch):
     """Long documents go through in pieces; phrases and cores stay within them."""
     import pyarrow as pa

@@ -40,6 +40,17 @@ def slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
             yield batch.slice(a, b - a)
 
 
+def parts(text: bytes, size: int) -> Iterator[bytes]:
+    """The text in parts of about size bytes, cut where white space stands, so that no word is cut."""
+    at = 0
+    while at < len(text):
+        end = min(at + size, len(text))
+        while end < len(text) and text[end] not in b" \t\n\v\f\r":
+            end += 1
+        yield text[at:end] if at or end < len(text) else text
+        at = end
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, read from the session.
 

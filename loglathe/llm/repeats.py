@@ -351,14 +351,14 @@ def without_repeats(docs: DataFrame, keep: tuple[str, ...] = (), as_text: bool =
     texts' MD5 digests.  Columns other than doc_id, text and keep's are not read.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *keep, F.col("text").cast("binary").alias("text"))
-    keyed = _keyed(texts)
-    spans = repeated_spans(keyed.select(F.col("_key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_key")
-    joined = keyed.join(spans, "_key", "left").select(*texts.columns, "repeats")
+    ordered = keyed(texts)
+    spans = repeated_spans(ordered.select(F.col("_key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_key")
+    joined = ordered.join(spans, "_key", "left").select(*texts.columns, "repeats")
     added = StructType.fromDDL(f"n_bytes bigint, n_removed bigint, n_spans bigint, kept {'string' if as_text else 'binary'}")
     return joined.mapInArrow(_removal(len(keep) + 1, as_text), StructType([*texts.schema.fields[:-1], *added.fields]))
 
 
-def _keyed(texts: DataFrame) -> DataFrame:
+def keyed(texts: DataFrame) -> DataFrame:
     """texts with _key, a number for each document in their order: doc_id, unless texts share one."""
     digest = F.md5(F.coalesce("text", F.lit(b"")))
     digests = texts.where("doc_id is not null").select("doc_id", digest.alias("_digest"))

@@ -18,7 +18,7 @@ from ..operators import comparing, joining, parsing, routing, stats
 from ..operators.contracts import check
 from ..operators.records import canonical_json
 from ..sources.lines import hint_of_name, spread
-from . import pattern_queries, record_queries
+from . import file_queries, pattern_queries, record_queries
 from .pipeline import Options, classify_lines, normalise, parse, unparsed, validate
 
 LINES = """
@@ -261,12 +261,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "contract_check": contract_check,
     "classified_json": classified_json,
     "run_digest": run_digest,
+    **file_queries.QUERIES,
     **pattern_queries.QUERIES,
     **record_queries.QUERIES,
 }
 
 _STATUS = f"regexp_extract(line, {_q(parsing.HTTP_LINE)}, 7)"
 ORACLE_SQL: dict[str, str] = {
+    **file_queries.ORACLE_SQL,
     **pattern_queries.ORACLE_SQL,
     **record_queries.ORACLE_SQL,
     "route_domain": f"{_ROUTED} select event_type, domain, count(*) as n from d group by all",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.literals import RECORD, field, parsed, strip, text_of
 from ..operators.records import canonical_json, parse_ok
+from .numbering import numbered_lines
 
 #: Domains by what a file's name holds, in order (fixed values).
 NAME_HINTS = (("agentic", "agentic"), ("core_api", "core_api"), ("computer_vision", "cv"), ("cv", "cv"), ("llm", "llm"), ("api", "core_api"))
@@ -23,9 +23,9 @@ def spread(rows: DataFrame, key: str = "_seq") -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (_seq, source_file, value, given) of JSONL files: blank lines and lines that aren't JSON are
-    left out.  _seq orders lines as the files do."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("_seq"), F.col("_metadata.file_name").alias("source_file"), strip(F.col("value")).alias("value"))
+    """Rows (_seq, source_file, line, value, given) of JSONL files: blank lines and lines that aren't JSON
+    are left out.  _seq numbers all lines in the order of the files' names, line those of a file."""
+    lines = numbered_lines(spark, path).withColumn("value", strip(F.col("value")))
     return lines.where("value <> ''").withColumn("given", parsed(F.col("value"))).where(F.col("given").isNotNull())
 
 
@@ -142,8 +142,4 @@ def write_jsonl(rows: DataFrame, path: str, name: str = "record", by_file: str |
     writer.text(path)
 
 
-def output_name(name: str) -> str:
-    return re.sub(r"\.jsonl$", "", name) + ".classified.jsonl"
-
-
 __all__ = ["RECORD", "read_jsonl"]

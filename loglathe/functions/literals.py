@@ -15,15 +15,27 @@ from pyspark.sql import functions as F
 RECORD = "map<string,string>"
 
 
+def _named(value):
+    """What tells an argument of compiled(): a column by its tree, or None where that holds a table's own column."""
+    if not isinstance(value, Column):
+        return ("", value)
+    tree = getattr(value, "_jc", None) and value._jc.node().normalized().toString()
+    return None if not tree or "ExpressionColumnNode" in tree or ",Some(" in tree else ("column", tree)
+
+
 def compiled(build: Callable) -> Callable:
-    """Keeps the columns that a function builds of columns, text and flat values: a chain of patterns or
-    rules is put together once in a session, not once in a query."""
+    """Keeps the columns that a function builds of names, text and flat values: a chain of patterns or
+    rules is put together once in a session, not once in a query.  Columns count as names where they
+    are; what is built of a table's own column (``table["x"]``) isn't kept, since no other table has it."""
     known: dict = {}
 
     @functools.wraps(build)
     def wrapped(*args):
         session = SparkSession.getActiveSession()
-        key = (id(getattr(session, "_jvm", None)), *(str(a) if isinstance(a, Column) else a for a in args))
+        names = tuple(map(_named, args))
+        if None in names:
+            return build(*args)
+        key = (id(getattr(session, "_jvm", None)), *names)
         if key not in known:
             known[key] = build(*args)
         return known[key]

@@ -7,6 +7,7 @@ expression holds against the record's values; the statements that aren't kept ar
 from __future__ import annotations
 
 import json
+import re
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -87,7 +88,7 @@ CONTRACTS: dict[str, dict] = {
 
 _NUMBER = r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"
 _TYPES = {"string": '^"', "number": _NUMBER, "integer": r"^-?\d+(\.0+)?$", "boolean": "^(true|false)$", "object": r"^\{", "array": r"^\[", "null": "^null$"}
-_ROW = "array<struct<path: string, keyword: string, text: string, number: double, words: array<string>, under: string, forms: string>>"
+_ROW = "array<struct<path: string, keyword: string, text: string, number: double, words: array<string>, under: string, forms: string, like: string>>"
 
 
 def _rows(spec: dict[str, Any], path: str, under: str | None, form: str | None) -> list[dict]:
@@ -96,7 +97,8 @@ def _rows(spec: dict[str, Any], path: str, under: str | None, form: str | None)
     out: list[dict] = []
 
     def add(keyword: str, text: str = "", number: float | None = None, words: list[str] | None = None) -> None:
-        out.append({"path": path, "keyword": keyword, "text": text, "number": number, "words": words or [], "under": under, "forms": form})
+        like = "^" + re.sub(r"\\\[\\\]", r"[0-9]+", re.escape(path)) + "$" if "/[]" in path else None
+        out.append({"path": path, "keyword": keyword, "text": text, "number": number, "words": words or [], "under": under, "forms": form, "like": like})
 
     if "type" in spec:
         add("type", _TYPES[spec["type"]])
@@ -111,8 +113,13 @@ def _rows(spec: dict[str, Any], path: str, under: str | None, form: str | None)
         add("pattern", spec["pattern"])
     if spec.get("uniqueItems"):
         add("uniqueItems")
-    if "enum" in spec.get("items", {}):
-        add("items", words=list(spec["items"]["enum"]))
+    items = spec.get("items", {})
+    if "enum" in items:
+        add("items", words=list(items["enum"]))
+    elif items:  # a statement about each element, by its place
+        if "oneOf" in json.dumps(items):
+            raise ValueError(f"{path}: oneOf within items")
+        out += _rows(items, f"{path}/[]", path or None, form)
     if spec.get("type") == "object":
         for name in spec.get("required", ()):
             add("required", name)
@@ -131,23 +138,31 @@ def _rows(spec: dict[str, Any], path: str, under: str | None, form: str | None)
     return out
 
 
+def _extent(contracts: dict[str, dict]) -> tuple[int, bool]:
+    """How many levels of values the contracts speak of, and whether they speak of lists' elements."""
+    rows = [r for c in contracts.values() for r in _rows(c, "", None, None)]
+    inner = ("required", "additionalProperties", "minProperties", "then")
+    return max([1, *(r["path"].count("/") + (r["keyword"] in inner) for r in rows)]), any(r["like"] for r in rows)
+
+
 @compiled
 def _table(contract: str) -> Column:
     rows = _rows(json.loads(contract), "", None, None)
     return F.from_json(F.lit(json.dumps(rows)), _ROW)
 
 
-def flat(fields: Column) -> Column:
-    """The members of the objects among values by path, by their own paths: ``/meta/parse`` of ``/meta``."""
-
-    def below(values: Column) -> Column:
-        inner = F.transform(
-            F.filter(F.map_entries(values), lambda e: e["value"].startswith("{")),
-            lambda e: F.transform(F.map_entries(F.try_parse_json(e["value"]).cast("map<string,variant>")), lambda m: F.struct(F.concat(e["key"], F.lit("/"), m["key"]).alias("key"), F.coalesce(F.to_json(m["value"]), F.lit("null")).alias("value"))),
-        )
-        return F.map_from_entries(F.flatten(inner))
-
-    return below(fields)
+def flat(values: Column, lists: bool = False) -> Column:
+    """The members of the objects among values by path, by their own paths: ``/meta/parse`` of ``/meta``;
+    lists: also the elements of lists, by place: ``/tags/0``."""
+    text = lambda v: F.coalesce(F.to_json(v), F.lit("null"))
+    own = lambda e, k, v: F.struct(F.concat(e["key"], F.lit("/"), k).alias("key"), text(v).alias("value"))
+    members = lambda e: F.transform(F.map_entries(F.try_parse_json(e["value"]).cast("map<string,variant>")), lambda m: own(e, m["key"], m["value"]))
+    entries = F.filter(F.map_entries(values), lambda e: e["value"].startswith("{"))
+    if not lists:
+        return F.map_from_entries(F.flatten(F.transform(entries, members)))
+    elements = lambda e: F.transform(F.try_parse_json(e["value"]).cast("array<variant>"), lambda v, i: own(e, i.cast("string"), v))
+    entries = F.filter(F.map_entries(values), lambda e: e["value"].rlike(r"^[{\[]"))
+    return F.map_from_entries(F.flatten(F.transform(entries, lambda e: F.when(e["value"].startswith("{"), members(e)).otherwise(elements(e)))))
 
 
 def _names(values: Column, path: Column) -> Column:
@@ -194,7 +209,8 @@ def check(rows: DataFrame, name: str, domain: Column, contracts: dict[str, dict]
     """Rows with the column ``failures``: an array of (path, keyword, text), empty for a record in the
     column ``name`` that keeps to the contract of its domain, and one ``schema`` failure without one.
 
-    A contract is a table of statements, so one expression serves them all.
+    A contract is a table of statements, so one expression serves them all.  Values are looked at as deep
+    as the contracts speak of them; what is said of a list's items holds for each, at ``/list/<place>``.
     """
     rec = F.col(name)
     table = F
@@ -202,8 +218,15 @@ def check(rows: DataFrame, name: str, domain: Column, contracts: dict[str, dict]
         table = table.when(domain == d, _table(json.dumps(contract)))
     rows = rows.withColumn("_contract", table)
     top = F.map_from_entries(F.transform(F.map_entries(rec), lambda e: F.struct(F.concat(F.lit("/"), e["key"]).alias("key"), e["value"].alias("value"))))
-    rows = rows.withColumn("_top", top).withColumn("_second", flat(F.col("_top"))).withColumn("_third", flat(F.col("_second")))
-    rows = rows.withColumn("_values", F.map_concat("_top", "_second", "_third"))
+    depth, lists = _extent(contracts)
+    rows = rows.withColumn("_level1", top)
+    for i in range(2, depth + 1):
+        rows = rows.withColumn(f"_level{i}", flat(F.col(f"_level{i - 1}"), lists))
+    levels = [f"_level{i}" for i in range(1, depth + 1)]
+    rows = rows.withColumn("_values", F.map_concat(*levels))
+    if lists:
+        places = lambda r: F.transform(F.filter(F.map_keys("_values"), lambda k: F.regexp_like(k, r["like"])), lambda k: r.withField("path", k))
+        rows = rows.withColumn("_contract", F.flatten(F.transform("_contract", lambda r: F.when(r["like"].isNull(), F.array(r)).otherwise(places(r)))))
     values = F.col("_values")
     broken = F.filter(F.col("_contract"), lambda r: ~_keeps(values, r))
     rows = rows.withColumn("_broken", broken)
@@ -218,4 +241,4 @@ def check(rows: DataFrame, name: str, domain: Column, contracts: dict[str, dict]
     )
     said = F.transform(fail, lambda r: F.struct(r["path"].alias("path"), r["keyword"].alias("keyword"), r["text"].alias("text")))
     none = F.array(F.struct(F.lit("").alias("path"), F.lit("schema").alias("keyword"), F.lit("no contract").alias("text")))
-    return rows.withColumn("failures", F.coalesce(said, none)).drop("_contract", "_top", "_second", "_third", "_values", "_broken")
+    return rows.withColumn("failures", F.coalesce(said, none)).drop("_contract", *levels, "_values", "_broken")

@@ -88,38 +88,48 @@ def _table(text: Column, table: dict[str, str]) -> Column:
     return looked_up(text, table)
 
 
-#: Objects within objects that units() looks into, from the top.
-DEPTH = 3
+#: The parts of a JSON text: strings, and what stands between them.
+_PARTS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]++'
+#: A member of an object within a value that units() should look at.
+_NAMED = rf'"({"|".join(DURATIONS + NUMBERS)})"\s*:\s*"'
 
 
-def units(fields: Column, depth: int = DEPTH) -> Column:
-    """Durations in milliseconds and numbers without separators, also in objects and lists of objects
-    below; what isn't one stays as it is."""
-    named = rf'"({"|".join(DURATIONS + NUMBERS)})"\s*:\s*"'
+def _in_units(name: Column, text: Column) -> Column:
+    """The literal that a string in a field of that name stands for, or SQL NULL."""
+    return F.when(name.isin(DURATIONS), plain(duration_ms(text))).when(name.isin(NUMBERS), clean_numeric(text))
 
-    def inner(literal: Column) -> Column:
-        below = lambda x: _object_of(units(parsed(x), depth - 1))
-        items = F.transform(F.try_parse_json(literal).cast("array<variant>"), lambda x: F.when(F.to_json(x).startswith("{"), below(F.to_json(x))).otherwise(F.coalesce(F.to_json(x), F.lit("null"))))
-        return F.when(literal.startswith("{"), below(literal)).otherwise(F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]")))
 
-    def value(name: Column, literal: Column) -> Column:
-        text = F.when(literal.startswith('"'), text_of(literal))
-        done = F.when(name.isin(DURATIONS), plain(duration_ms(text))).when(name.isin(NUMBERS), clean_numeric(text))
-        known = F.when(~literal.startswith("{") & ~literal.startswith("[") & among(name, DURATIONS + NUMBERS), F.coalesce(done, literal))
-        return (known.when(literal.rlike(r"^[{\[]") & literal.rlike(named), inner(literal)) if depth > 1 else known).otherwise(literal)
+def _rewritten(literal: Column) -> Column:
+    """The literal of an object or list with the units of all its members, however deep: a string that
+    follows a colon is a value, and the string before that is its name, so no level needs to be known."""
+    tokens = F.regexp_extract_all(F.to_json(F.try_parse_json(literal)), F.lit(_PARTS), F.lit(0))
 
-    return F.transform_values(fields, value)
+    def part(token: Column, i: Column) -> Column:
+        name = text_of(F.get(tokens, i - 2))
+        done = F.when(F.get(tokens, i - 1) == ":", _in_units(name, text_of(token)))
+        return F.when(token.startswith('"'), F.coalesce(done, token)).otherwise(F.regexp_replace(token, "([,:])", "$1 "))
 
+    return F.array_join(F.transform(tokens, part), "")
 
-def _object_of(fields: Column) -> Column:
-    members = F.transform(F.map_entries(fields), lambda e: F.concat(quoted(e["key"]), F.lit(": "), e["value"]))
-    return F.concat(F.lit("{"), F.array_join(members, ", "), F.lit("}"))
+
+def units(fields: Column) -> Column:
+    """Durations in milliseconds and numbers without separators, also in objects and lists below, at any
+    depth; what isn't one stays as it is."""
+
+    def value(name: Column, literal: Column) -> Column:
+        own = F.when(literal.startswith('"') & among(name, DURATIONS + NUMBERS), _in_units(name, text_of(literal)))
+        return F.when(literal.rlike(r"^[{\[]") & literal.rlike(_NAMED), _rewritten(literal)).otherwise(F.coalesce(own, literal))
+
+    return F.transform_values(fields, value)
 
 
 def unit_errors(fields: Column) -> Column:
-    """What units() had to leave: strings in fields of durations and numbers."""
+    """What units() had to leave: strings in fields of durations and numbers, those of objects and lists
+    below after the record's own."""
     left = F.map_keys(F.map_filter(fields, lambda k, v: k.isin(DURATIONS + NUMBERS) & v.startswith('"')))
-    return F.array_join(F.transform(left, lambda k: F.concat(k, F.lit(": not a "), F.when(k.isin(DURATIONS), "duration").otherwise("number"))), "; ")
+    below = F.transform(F.filter(F.map_values(fields), lambda v: v.rlike(r"^[{\[]") & v.rlike(_NAMED)), lambda v: F.regexp_extract_all(v, F.lit(_NAMED), F.lit(1)))
+    every = F.concat(left, F.coalesce(F.flatten(below), F.array().cast("array<string>")))
+    return F.array_join(F.transform(every, lambda k: F.concat(k, F.lit(": not a "), F.when(k.isin(DURATIONS), "duration").otherwise("number"))), "; ")
 
 
 def with_errors(fields: Column, errors: Column) -> Column:

@@ -8,7 +8,8 @@ Vectors of one direction are one class in the index, with as many of its smalles
 need, so that a very frequent vector neither fills a file nor crowds out others; queries of one
 direction are asked once.  Files are dealt out in shards of bounded size, so no file is ever gathered
 whole.  Scores are added up in the order of the components, so that equal scores are equal everywhere
-and ties go by id.
+and ties go by id.  Vectors are scaled by powers of two before anything is squared, which changes no
+score and leaves none without a number; those given out are worked out on the rows' own vectors.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, prepare
@@ -35,6 +36,12 @@ MARGIN = 1e-9
 RERANKED, RERANKED_SHARE, SHARD = 96, 0.2, 4096
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that the largest component of each is from 0.5 to 1: products and sums
+    then neither overflow nor vanish, and cosines are what they are."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _orders(pivots: np.ndarray, posted: int) -> Callable:
     """Adds the order of the nearest pivots, and the file for each of the first ``posted``."""
 
@@ -42,7 +49,7 @@ def _orders(pivots: np.ndarray, posted: int) -> Callable:
         for frame in frames:
             if not len(frame):
                 continue
-            x = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
+            x = _scaled(np.stack(frame["embedding"].to_numpy()).astype(np.float64))
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             k = min(ORDER, len(pivots))
             order, step = np.empty((len(x), k), np.int32), max(1, BLOCK // len(pivots))
@@ -72,14 +79,14 @@ def _visit(k: int) -> Callable:
         none = pd.DataFrame({"asked": np.zeros(0, np.int64), "class": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(found) or not len(asked):
             return none
-        x = np.stack(found["embedding"].to_numpy()).astype(np.float64)
+        x = _scaled(np.stack(found["embedding"].to_numpy()).astype(np.float64))
         norm = np.sqrt(_dot(x, x))
         name = found["class"].to_numpy()
         order = np.stack(found["order"].to_numpy())
         places, most = np.arange(order.shape[1], dtype=np.int32), max(RERANKED, int(RERANKED_SHARE * len(x)))
         parts = []
         for query, vector, own in zip(asked["asked"], asked["embedding"], asked["order"], strict=True):
-            q = np.asarray(vector, np.float64)
+            q = _scaled(np.asarray(vector, np.float64)[None])[0]
             at = np.full(max(int(order.max()), int(own.max())) + 1, len(own), np.int32)
             at[own] = places[: len(own)]
             there = at[order]
@@ -117,16 +124,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     A query's own row (by id) is no candidate.  Vectors that are null, empty, zero, or hold null or
     non-finite components take no part; vectors of another length than the query's are no candidates;
-    repeated rows count once; positive multiples of a vector have one score, that of the one with the
-    smallest id; fewer candidates than k are all given; no queries or no vectors give no rows.
+    repeated rows count once; of positive multiples of a vector those with the smallest ids are found;
+    fewer candidates than k are all given; no queries or no vectors give no rows.
     Columns other than the named ones are not read.
     """
     spark: SparkSession = vectors.sparkSession
     prepare(spark)
     # k + 1 ids of a class are enough: the query's own may be among them
     few = directed(usable(vectors)).distinct().withColumn("n", F.row_number().over(Window.partitionBy("dims", "direction").orderBy("vec_id"))).where(F.col("n") <= k + 1)
-    classes = few.groupBy("dims", "direction").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.min_by("embedding", F.struct("vec_id", "embedding")).alias("embedding"))
-    classes = cut(classes.drop("direction").withColumn("class", F.col("ids")[0]), "classes")
+    classes = few.groupBy("dims", "direction").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("members"))
+    classes = classes.select("dims", F.col("members")[0]["vec_id"].alias("class"), F.col("members")[0]["embedding"].alias("embedding"), F.slice("members", 2, k + 1).alias("others"))
+    classes = cut(classes, "classes")
     every = directed(usable(queries)).withColumnRenamed("vec_id", "query_id").distinct()
     asked = cut(every.groupBy("dims", "direction").agg(F.min("query_id").alias("asked"), F.min_by("embedding", F.struct("query_id", "embedding")).alias("embedding")), "asked")
     sizes = {r["dims"]: r["n"] for r in classes.groupBy("dims").agg(F.count("*").alias("n")).collect()}
@@ -140,6 +148,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         some, own, n = classes.where(F.col("dims") == dims), asked.where(F.col("dims") == dims), sizes[dims]
         wanted = int(min(max(PIVOTS_BY_ROOT * n**0.5, LEAST_PIVOTS), MOST_PIVOTS))
         pivots = np.array([r[0] for r in some.orderBy(F.xxhash64("class"), "class").limit(wanted).select("embedding").collect()], np.float64)
+        pivots = _scaled(pivots)
         pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
         shards, rounds = (max(1, round(m * each / len(pivots) / SHARD)) for m, each in ((n, POSTED), (queried[dims], VISITED)))
         posted = some.select("class", "embedding").mapInPandas(_orders(pivots, POSTED), f"class bigint, {ordered}")
@@ -155,10 +164,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), by))
         return rows.withColumn("n", rank).where(F.col("n") <= k + 1).drop("n")
 
-    top = best(found.distinct(), "class").join(classes.select("class", "ids"), "class").select("asked", "score", F.explode("ids").alias("vec_id"))
-    top = best(top.groupBy("asked", "vec_id").agg(F.max("score").alias("score")), "vec_id")
-    lists = top.groupBy("asked").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("down"), "vec_id", "score"))).alias("near"))
-    members = every.join(asked.select("dims", "direction", "asked"), ["dims", "direction"]).select("query_id", "asked").distinct()
-    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    listed = members.join(lists, "asked").select("query_id", F.posexplode(others).alias("at", "x"))
-    return listed.select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score")
+    near = best(found.distinct(), "class").join(classes.select("class", "embedding", "others"), "class")
+    near = near.select("asked", "score", F.explode(F.concat(F.array(F.struct(F.col("class").alias("vec_id"), "embedding")), "others")).alias("x")).select("asked", "score", "x.*")
+    near = best(near.groupBy("asked", "vec_id").agg(F.max("score").alias("score"), F.first("embedding").alias("embedding")), "vec_id").drop("score")
+    members = every.join(asked.select("dims", "direction", "asked"), ["dims", "direction"]).select("query_id", "asked", _powers("embedding").alias("q"))
+    pairs = members.join(near.select("asked", "vec_id", _powers("embedding").alias("x")), "asked").where("query_id <> vec_id")
+    scored = pairs.groupBy("query_id", "vec_id").agg(F.max(_cosine("q", "x")).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _powers(name: str) -> Column:
+    """_scaled() of a column's vectors; in two steps, since the power itself may be too large for a number."""
+    largest = F.aggregate(name, F.lit(0.0), lambda s, v: F.greatest(s, F.abs(v).cast("double")))
+    power = -F.floor(F.log2(largest)).cast("double")
+    half = F.floor(power / 2)
+    return F.transform(name, lambda v: v.cast("double") * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), power - half))
+
+
+def _cosine(a: str, b: str) -> Column:
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)
+    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

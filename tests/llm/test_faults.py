@@ -86,3 +86,33 @@ def test_fingerprint_bit_by_bit():
 def test_language_without_labels(docs):
     found = language.identified(docs([(1, "some words"), (2, None)]).withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {(r.doc_id, r.lang_pred, r.score) for r in found} == {(1, "und", 0.0), (2, "und", 0.0)}
+
+
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_nearest_of_vectors_of_any_size(spark, kind):
+    """Sizes from 1e-200 to 1e200 (as doubles): scores are those of the rows' own vectors, worked out exactly."""
+    from fractions import Fraction
+    from math import sqrt
+
+    rng, sizes = random.Random(9), (1e200, 1e-170, 1e-200, 1.0, 3e-310, 1e308) if kind == "double" else (1e30, 1e-38, 1.0, 7.0)
+    base = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(40)]
+    rows = [(i, [float(np.float32(v * (sizes[i % len(sizes)] / 10))) if kind == "float" else v * (sizes[i % len(sizes)] / 10) for v in base[i % 40]]) for i in range(120)]
+    rows += [(500, [0.0] * 4), (501, [1.0, float("nan"), 0.0, 0.0]), (502, [float("inf"), 0.0, 0.0, 0.0]), (503, None), (504, [1.0, 2.0]), (505, [1e-5, 2e-5])]
+    vectors = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    got = {}
+    for r in neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0 or vec_id = 505")).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+
+    def cosine(a, b):
+        dot = lambda x, y: sum(Fraction(v) * Fraction(w) for v, w in zip(x, y, strict=True))
+        square = dot(a, b) ** 2 / (dot(a, a) * dot(b, b))
+        return sqrt(square) * (1 if dot(a, b) >= 0 else -1)
+
+    own = {i: v for i, v in rows[:120] if any(v)}
+    assert set(got) == {0, 50, 100, 505} and got[505] == {1: (504, pytest.approx(1.0, abs=1e-15))}
+    for q in (0, 50, 100):
+        want = sorted((-cosine(own[q], v), i) for i, v in own.items() if i != q)
+        assert sorted(got[q]) == [1, 2, 3, 4, 5]
+        for rank, (i, score) in got[q].items():
+            assert score == pytest.approx(cosine(own[q], own[i]), abs=1e-14)
+            assert score == pytest.approx(-want[rank - 1][0], abs=1e-14)

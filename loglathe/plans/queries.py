@@ -18,7 +18,7 @@ from ..operators import comparing, joining, parsing, routing, stats
 from ..operators.contracts import check
 from ..operators.records import canonical_json
 from ..sources.lines import hint_of_name, spread
-from . import file_queries, pattern_queries, record_queries
+from . import file_queries, pattern_queries, record_queries, redaction_queries
 from .pipeline import Options, classify_lines, normalise, parse, unparsed, validate
 
 LINES = """
@@ -179,7 +179,7 @@ def classify_http(spark, sf_dir):
 
 
 def domain_stats(spark, sf_dir):
-    return stats.domain_stats(parse(events(spark, sf_dir), Options())).drop("threshold")
+    return stats.domain_stats(parse(events(spark, sf_dir), Options()))
 
 
 def top_errors(spark, sf_dir):
@@ -188,7 +188,9 @@ def top_errors(spark, sf_dir):
 
 
 def processing_stats(spark, sf_dir):
-    return stats.processing_stats(validate(_normalised(spark, sf_dir), Options())).drop("failure_reasons")
+    found = stats.processing_stats(validate(_normalised(spark, sf_dir), Options()))
+    reasons = F.transform(F.sort_array(F.map_entries("failure_reasons")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return found.withColumn("failure_reasons", F.array_join(reasons, "; "))
 
 
 def unparsed_lines(spark, sf_dir):
@@ -264,6 +266,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **file_queries.QUERIES,
     **pattern_queries.QUERIES,
     **record_queries.QUERIES,
+    **redaction_queries.QUERIES,
 }
 
 _STATUS = f"regexp_extract(line, {_q(parsing.HTTP_LINE)}, 7)"
@@ -271,6 +274,7 @@ ORACLE_SQL: dict[str, str] = {
     **file_queries.ORACLE_SQL,
     **pattern_queries.ORACLE_SQL,
     **record_queries.ORACLE_SQL,
+    **redaction_queries.ORACLE_SQL,
     "route_domain": f"{_ROUTED} select event_type, domain, count(*) as n from d group by all",
     "best_pattern": f"""{_PARSED} select domain, pattern, count(*) as n, max(case pattern {' '.join(f"when '{x['pattern_id']}' then {x['confidence']}::double" for x in parsing.registry())} end) as confidence from p group by domain, pattern""",
     "parse_http_access": _group_sql(parsing.HTTP_LINE, _HTTP_WHERE, level="lower($1))", client_ip="$2)", client_port="$3)", action="$4)", endpoint="$5)", http_version="$6)", http_status="$7)", status_text="$8)"),
@@ -290,7 +294,7 @@ ORACLE_SQL: dict[str, str] = {
       select http_status, case http_status when '503' then 'critical' when '200' then 'info' else 'warn' end as level, case http_status when '200' then 'success' else 'failure' end as outcome,
         case http_status when '503' then 'api-5xx-critical' when '401' then 'api-unauthorized' when '200' then 'core-api-http-2xx-success' else 'api-4xx-client-error' end as rule_id, count(*) as n from s group by all""",
     "domain_stats": f"""{_PARSED}, g as (select domain, count(*) as total, count(pattern) as parsed from p group by domain), e as (select unnest(['core_api', 'llm', 'agentic', 'cv']) as domain, unnest([70.0, 95.0, 95.0, 80.0]) as threshold)
-      select e.domain, coalesce(total, 0) as total, coalesce(parsed, 0) as parsed, coalesce(total - parsed, 0) as failed, coalesce(100.0::double * parsed / total, 0)::double as rate, coalesce(100.0::double * parsed / total >= threshold, true) as met from e left join g using (domain)""",
+      select e.domain, coalesce(total, 0) as total, coalesce(parsed, 0) as parsed, coalesce(total - parsed, 0) as failed, coalesce(100.0::double * parsed / total, 0)::double as rate, threshold::double as threshold, coalesce(100.0::double * parsed / total >= threshold, true) as met from e left join g using (domain)""",
     "top_errors": f"""with l as ({_SQL}), t as (select event_type, regexp_extract(line, '^(\\[?\\w+)', 1) as reason, event_id from l where event_type = 'error'), g as (select event_type, reason, count(*) as n, min(event_id) as f from t group by all)
       select event_type, reason, n, row_number() over (partition by event_type order by n desc, f) as rank from g qualify rank <= 3""",
     "unparsed_lines": f"{_PARSED} select event_id, domain as category, 'no_pattern_match' as unparsed_reason, 'exception' as event_type, 'failure' as outcome from p where pattern is null",

@@ -237,7 +237,8 @@ ORACLE_SQL = {
       select domain, split_part(x, '|', 1) as path, split_part(x, '|', 2) as keyword, count(*) as n from f group by all""",
     "processing_stats": f"""with {KINDS}, s as (select kind <> 'unknown' as ok, kind in ('http', 'error', 'trace', 'build', 'well', 'data') as kept from d)
       select count(*) as total, count(*) filter (where ok) as parsed, count(*) filter (where not ok) as failed, 100.0::double * count(*) filter (where ok) / count(*) as parse_rate,
-        count(*) filter (where ok and kept) as validated, count(*) filter (where ok and not kept) as validation_failed, count(*) filter (where not ok) as validation_skipped, 0::bigint as classified from s""",
+        count(*) filter (where ok and kept) as validated, count(*) filter (where ok and not kept) as validation_failed, count(*) filter (where not ok) as validation_skipped, 0::bigint as classified,
+        case when count(*) filter (where not ok) > 0 then 'no_pattern_match=' || count(*) filter (where not ok) else '' end as failure_reasons from s""",
 }
 
 

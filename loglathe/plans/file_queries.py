@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import joining
+from ..operators.embedded import objects
 from ..sources.folders import write_outputs
 from ..sources.lines import read_jsonl
 from ..sources.shared import fresh_path
@@ -31,11 +32,21 @@ def joiner_one_stream(spark, sf_dir):
     return joining.join_lines(made).select("stream", "place", "final", F.md5("message").alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (ordered_lines, joiner_one_stream)}
+def embedded_objects(spark, sf_dir):
+    """JSON objects within lines that are put together of events: props, and one whose strings hold brackets."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    line = F.concat(F.lit('at {x '), "props", F.lit(' "then {"id": '), F.col("event_id").cast("string"), F.lit(r', "s": ["} \" {", {"t": "'), "event_type", F.lit('"}]} {tail } {'))
+    found = events.select("event_id", F.posexplode(objects(line)).alias("n", "x"))
+    return found.select("event_id", "n", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.json").alias("json"))
+
+
+QUERIES = {f.__name__: f for f in (ordered_lines, joiner_one_stream, embedded_objects)}
 
 ORACLE_SQL = {
     "ordered_lines": f"""with n as (select event_id, event_type || '.classified' || case when event_id < {IDS} then '' else '.part-' || lpad(cast(event_id // {IDS} as varchar), 5, '0') end || '.jsonl' as source_file from events)
       select row_number() over (order by source_file, event_id) - 1 as seq, source_file, row_number() over (partition by source_file order by event_id) - 1 as line, event_id from n""",
+    "embedded_objects": r"""with o as (select event_id, props as a, '{"id": ' || event_id || ', "s": ["} \" {", {"t": "' || event_type || '"}]}' as b from events)
+      select event_id, 0 as n, 6 as start, 6 + length(a) as end, a as json from o union all select event_id, 1, 13 + length(a), 13 + length(a) + length(b), b from o""",
     "joiner_one_stream": """with m as (select '__default__' as stream, conv_id * 4096 + turn as "at", case when role = 'assistant' then ' ' else '' end || coalesce(text, '') as message from conversations),
       a as (select *, regexp_matches(message, '^[ \t]') as more from m), w as (select *, coalesce(lag(more) over s, true) as earlier, lead(more) over s as later, lead("at") over s as nxt, lead(message) over s as following from a window s as (order by "at"))
       select stream, coalesce(case when more then "at" else nxt end, 0) as place, case when more then "at" else nxt end is null as final, md5(case when not more and coalesce(later, false) then message || chr(10) || following else message end) as digest from w where not more or earlier""",

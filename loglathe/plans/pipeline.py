@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.literals import field as at
-from ..functions.literals import obj, overlay, parsed, put, quoted, record, text_of
+from ..functions.literals import obj, overlay, parsed, put, quoted, record, text_of, word
 from ..operators import parsing, rules
 from ..operators.contracts import check
+from ..operators.embedded import generated_record
 from ..operators.normalising import Defaults
 from ..operators.normalising import normalise as normalised
 from ..operators.records import envelope, is_normalised, merge_meta, parse_meta, parse_ok
@@ -131,3 +132,19 @@ def classify_records(rows: DataFrame, options: Options = Options()) -> DataFrame
     )
     done = done.withColumn("record", chosen).select(*rows.columns, "record")
     return classify(validate(done, options), options)
+
+
+def classify_generated(lines: DataFrame, options: Options = Options()) -> DataFrame:
+    """classify_lines() of lines of which some are records themselves, as JSON or written as text
+    (``RAW_TXT name=<json> ...``): those are normalised as they are, in the domain given or the one that
+    the line's text is routed to, and say so in meta.parse.  Columns: those of lines, domain, rule, record."""
+    marked = lines.withColumn("_given", generated_record(_column(lines, "@message")))
+    others = classify_lines(marked.where(F.col("_given").isNull()).drop("_given"), options)
+    found = marked.where(F.col("_given").isNotNull()).withColumn("_line", _column(lines, "@message"))
+    done = normalised(route(found, F.col("_line"), options.domain).withColumn("record", F.col("_given")), "record", "domain", options.defaults)
+    parse = obj(parser_name=word("generator"), parser_version=word("0.0.0"), pattern_id=word("generated"), confidence=F.lit("1.0"), ok=F.lit("true"))
+    meta = obj(raw_message=quoted(F.col("_line")), parse=parse)
+    done = done.withColumn("record", put(overlay(F.col("record"), record(meta=meta)), timestamp=quoted(_column(found, "@timestamp"))))
+    labelled = classify(validate(fenced(done, "generated"), options), options)
+    columns = [*lines.columns, "domain", "rule", "record"]
+    return others.select(columns).unionByName(labelled.select(columns))

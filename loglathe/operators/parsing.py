@@ -349,45 +349,57 @@ PATTERNS = {"core_api": CORE_PATTERNS, "llm": LLM_PATTERNS, "agentic": AGENTIC_P
 VERSION = "1.0.0"
 
 
-def registry() -> list[dict]:
+@dataclass(frozen=True)
+class Registry:
+    """The patterns of each domain, in the order in which they are tried."""
+
+    domains: tuple[tuple[str, tuple[Pattern, ...]], ...]
+
+    def __iter__(self):
+        return (p for _, patterns in self.domains for p in patterns)
+
+
+BUILT_IN = Registry(tuple(PATTERNS.items()))
+
+
+def registry(patterns: Registry = BUILT_IN) -> list[dict]:
     """What patterns there are, in the order in which they are tried."""
-    return [{"domain": d, "pattern_id": p.name, "confidence": p.confidence, "parser_name": f"{d}_parser", "parser_version": VERSION} for d, ps in PATTERNS.items() for p in ps]
+    return [{"domain": d, "pattern_id": p.name, "confidence": p.confidence, "parser_name": f"{d}_parser", "parser_version": VERSION} for d, ps in patterns.domains for p in ps]
 
 
 @compiled
-def pattern_of(line: Column, domain: Column) -> Column:
+def pattern_of(line: Column, domain: Column, patterns: Registry = BUILT_IN) -> Column:
     """The name of the pattern that a line of a domain matches, or SQL NULL."""
     chain = F
-    for name, patterns in PATTERNS.items():
+    for name, own in patterns.domains:
         inner = F
-        for p in patterns:
+        for p in own:
             inner = inner.when(p.matches(line), p.name)
-        chain = chain.when(domain == name, inner)
+        if own:
+            chain = chain.when(domain == name, inner)
     return chain
 
 
-def confidence_of(pattern: Column) -> Column:
-    return looked_up(pattern, {p.name: str(p.confidence) for ps in PATTERNS.values() for p in ps}).cast("double")
+def confidence_of(pattern: Column, patterns: Registry = BUILT_IN) -> Column:
+    return looked_up(pattern, {p.name: str(p.confidence) for p in patterns}).cast("double")
 
 
 @compiled
-def fields_of(line: Column, pattern: Column) -> Column:
+def fields_of(line: Column, pattern: Column, patterns: Registry = BUILT_IN) -> Column:
     """The fields that a line's pattern reads, without the message's pairs."""
     chain = F
-    for patterns in PATTERNS.values():
-        for p in patterns:
-            chain = chain.when(pattern == p.name, p.fields(line))
+    for p in patterns:
+        chain = chain.when(pattern == p.name, p.fields(line))
     return chain
 
 
 @compiled
-def pairs_of(message: Column, pattern: Column) -> Column:
+def pairs_of(message: Column, pattern: Column, patterns: Registry = BUILT_IN) -> Column:
     """The pairs of a message, in the form of its pattern; SQL NULL where the pattern has none."""
     by: dict[str, list[str]] = {}
-    for patterns in PATTERNS.values():
-        for p in patterns:
-            if p.pairs:
-                by.setdefault(p.pairs, []).append(p.name)
+    for p in patterns:
+        if p.pairs:
+            by.setdefault(p.pairs, []).append(p.name)
     chain = F
     for form, names in by.items():
         chain = chain.when(pattern.isin(names), pairs(message, form))
@@ -403,9 +415,9 @@ def with_pairs(fields: Column, found: Column, pattern: Column) -> Column:
     return F.when(found.isNull(), fields).when(pattern == "tool_call_event", overlay(fields, F.map_concat(F.map_filter(found, lambda k, _: k != "outcome"), record(outcome=outcome)))).otherwise(overlay(fields, found))
 
 
-def breaks_compatibly(line: Column, pattern: Column, fields: Column) -> Column:
+def breaks_compatibly(line: Column, pattern: Column, fields: Column, patterns: Registry = BUILT_IN) -> Column:
     """Whether an empty quoted value fails the record in the compatible mode."""
-    forms = {p.name: p.pairs for ps in PATTERNS.values() for p in ps if p.pairs}
+    forms = {p.name: p.pairs for p in patterns if p.pairs}
     bad = F.lit(False)
     for name, form in forms.items():
         bad = bad | ((pattern == name) & has_empty_value(line, form))

@@ -31,6 +31,7 @@ class Options:
     domain: str | None = None
     validate: bool = True
     defaults: Defaults = field(default_factory=Defaults)
+    patterns: parsing.Registry = parsing.BUILT_IN
 
     def __post_init__(self):
         if self.mode not in ("strict", "compat"):
@@ -51,17 +52,17 @@ def match(lines: DataFrame, options: Options = Options()) -> DataFrame:
     """Adds domain and pattern (SQL NULL where none matches) to lines with the column ``@message``, and
     the message as ``_line``."""
     routed = route(lines.withColumn("_line", _column(lines, "@message")), F.col("_line"), options.domain)
-    return routed.withColumn("pattern", parsing.pattern_of(F.col("_line"), F.col("domain")))
+    return routed.withColumn("pattern", parsing.pattern_of(F.col("_line"), F.col("domain"), options.patterns))
 
 
 def parse(lines: DataFrame, options: Options = Options()) -> DataFrame:
     """Adds domain, pattern, confidence, fields (a record, SQL NULL where no pattern matches) and ok
     to lines with the columns ``@timestamp`` and ``@message``."""
     message, matched = F.col("_line"), match(lines, options)
-    found = matched.withColumn("fields", parsing.fields_of(message, F.col("pattern"))).withColumn("confidence", parsing.confidence_of(F.col("pattern")))
-    found = found.withColumn("_text", text_of(at(F.col("fields"), "message"))).withColumn("_pairs", parsing.pairs_of(F.col("_text"), F.col("pattern")))
+    found = matched.withColumn("fields", parsing.fields_of(message, F.col("pattern"), options.patterns)).withColumn("confidence", parsing.confidence_of(F.col("pattern"), options.patterns))
+    found = found.withColumn("_text", text_of(at(F.col("fields"), "message"))).withColumn("_pairs", parsing.pairs_of(F.col("_text"), F.col("pattern"), options.patterns))
     found = found.withColumn("fields", parsing.with_pairs(F.col("fields"), F.col("_pairs"), F.col("pattern")))
-    broken = parsing.breaks_compatibly(F.col("_text"), F.col("pattern"), F.col("fields")) if options.mode == "compat" else F.lit(False)
+    broken = parsing.breaks_compatibly(F.col("_text"), F.col("pattern"), F.col("fields"), options.patterns) if options.mode == "compat" else F.lit(False)
     return fenced(found.withColumn("broken", broken).withColumn("ok", F.col("fields").isNotNull() & ~F.col("broken")).drop("_line", "_text", "_pairs"), "parsed")
 
 

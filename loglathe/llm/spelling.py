@@ -21,7 +21,6 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -86,63 +85,98 @@ def is_near(short: str, long: str) -> bool:
     return short != long and short[i + (len(short) == len(long)) :] == long[i + 1 :]
 
 
-def _grams(word: str, shared: int, from_end: bool) -> Iterator[tuple[int, str]]:
-    """(place, gram) of the word's grams that aren't within its shared letters, from the shared side."""
-    if from_end:
-        word = word[::-1]
-    for i in range(max(0, shared - Q + 1), len(word) - Q + 1):
-        yield i, word[i : i + Q]
-
-
-def candidates(index: list[str], probes: list[str], shared: int, from_end: bool) -> Iterator[tuple[int, int]]:
-    """(probe, index place) of words that share ``shared`` letters at a side and meet in enough grams: all
-    that one edit parts are among them."""
-    postings: dict[tuple[int, int, str], list[int]] = {}
-    for number, word in enumerate(index):
-        for place, gram in _grams(word, shared, from_end):
-            postings.setdefault((len(word), place, gram), []).append(number)
-    for number, word in enumerate(probes):
-        n = len(word)
-        for longer in (0, 1):
-            lists = [found for place, gram in _grams(word, shared, from_end) for shift in range(longer + 1) if (found := postings.get((n + longer, place + shift, gram)))]
-            least = n + longer - Q + 1 - max(0, shared - Q + 1) - Q
-            for other, met in groupby(heapq.merge(*lists)):
-                if sum(1 for _ in met) >= least:
-                    yield number, other
+#: What a word does in a shard: it is indexed for shorter words; it probes what has come before it and is
+#: indexed then, so that two words of a length meet once; in a shard that is cut, it is indexed, or it probes.
+LONGER, BOTH, INDEXED, PROBES = range(4)
+
+
+class Shard:
+    """The positional grams of words that share letters at a side, of one length and of those longer by one."""
+
+    def __init__(self, short: int, shared: int, from_end: bool):
+        self.short, self.from_end, self.first = short, from_end, max(0, shared - Q + 1)
+        self.words: list[tuple[str, int]] = []
+        self.same: dict[tuple[int, str], list[int]] = {}
+        self.longer: dict[tuple[int, str], list[int]] = {}
+
+    def grams(self, word: str) -> list[tuple[int, str]]:
+        """(place, gram) of the grams that reach beyond the shared letters, places from the shared side."""
+        if self.from_end:
+            word = word[::-1]
+        return [(i, word[i : i + Q]) for i in range(self.first, len(word) - Q + 1)]
+
+    def add(self, word: str, n: int) -> None:
+        postings = self.same if len(word) == self.short else self.longer
+        for x in self.grams(word):
+            postings.setdefault(x, []).append(len(self.words))
+        self.words.append((word, n))
+
+    def near(self, word: str) -> Iterator[int]:
+        """Places of words that meet a word of the shorter length in enough grams: all that one edit parts from
+        it are among them.  Postings are merged by a heap: a word's own number comes once for each gram met."""
+        grams, least = self.grams(word), self.short - Q + 1 - self.first - Q
+        if self.same:
+            yield from self.met([found for x in grams if (found := self.same.get(x))], least)
+        if self.longer:
+            get = self.longer.get
+            yield from self.met([found for i, x in grams for place in (i, i + 1) if (found := get((place, x)))], least + 1)
+
+    def met(self, lists: list[list[int]], least: int) -> Iterator[int]:
+        if len(lists) < least:
+            return
+        if len(lists) == 1:
+            yield from lists[0]
+            return
+        last, count = -1, 0
+        for x in heapq.merge(*lists):
+            count = count + 1 if x == last else 1
+            last = x
+            if count == least:
+                yield x
 
 
 _PAIRS = "a string, an bigint, b string, bn bigint"
+_ORDER = ["side", "short", "half", "cut", "deal"]
+
+
+def _shard_pairs(side: str, short: int, half: str, rows: list[tuple[int, str, int]]) -> Iterator[tuple[str, int, str, int]]:
+    """Near words among the rows (role, word, n) of a shard, in the order of their roles."""
+    shard, start, first = Shard(short, len(half), side == "end"), side == "start", short // 2
+    for role, word, n in rows:
+        if role in (BOTH, PROBES) and shard.words:
+            for i in shard.near(word):
+                other, m = shard.words[i]
+                # a pair that shares its first half is found there
+                if (start or other[:first] != word[:first]) and is_near(word, other):
+                    if len(other) > short or word < other:
+                        yield word, n, other, m
+                    elif role == BOTH:
+                        yield other, m, word, n
+        if role != PROBES:
+            shard.add(word, n)
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near words of rows in the order of (side, short, half, cut, deal, probing): a shard's indexed words,
-    then those that probe."""
-    key, index, probes = None, [], []
+    """Near words of rows in the order of (side, short, half, cut, deal, role)."""
 
-    def pairs():
-        if not index or not probes:
-            return
-        side, short, half, *_ = key
-        words = [w for w, _ in index]
-        for p, i in candidates(words, [w for w, _ in probes], len(half), side == "end"):
-            (a, an), (b, bn) = probes[p], index[i]
-            first = half == b[: len(half)] if side == "start" else a[: short // 2] == b[: short // 2]
-            # a pair that shares its first half is found there; two of a length are found from the smaller one
-            if first == (side == "start") and (len(a) < len(b) or a < b) and is_near(a, b):
-                yield a, an, b, bn
+    def told(found):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["a", "an", "b", "bn"])
 
+    key, held = None, []
     for batch in batches:
         found = []
-        columns = [batch.column(c).to_pylist() for c in ("side", "short", "half", "cut", "deal", "probing", "word", "n")]
-        for *at, probing, word, n in zip(*columns, strict=True):
+        keys = list(zip(*(batch.column(c).to_pylist() for c in _ORDER), strict=True))
+        rows = list(zip(*(batch.column(c).to_pylist() for c in ("role", "word", "n")), strict=True))
+        for at, row in zip(keys, rows, strict=True):
             if at != key:
-                found += pairs()
-                key, index, probes = at, [], []
-            (probes if probing else index).append((word, n))
+                if len(held) > 1:
+                    found += _shard_pairs(*key[:3], held)
+                key, held = at, []
+            held.append(row)
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["a", "an", "b", "bn"])
-    if found := list(pairs()):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["a", "an", "b", "bn"])
+            yield told(found)
+    if len(held) > 1 and (found := list(_shard_pairs(*key[:3], held))):
+        yield told(found)
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -161,12 +195,14 @@ def near_words(words: DataFrame) -> DataFrame:
     keyed = keyed.join(large, key, "left").withColumn("cuts", F.coalesce("cuts", F.lit(1).cast("long")))
     every = F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)
     own = F.array(F.pmod(F.xxhash64("word"), "cuts"))
-    roles = F.array(F.struct(F.lit(False).alias("probing"), own.alias("cuts"), every.alias("deals")), F.struct(F.lit(True).alias("probing"), every.alias("cuts"), own.alias("deals")))
-    dealt = keyed.select(*key, "word", "n", F.explode(F.filter(roles, lambda x: F.col("probes") | ~x["probing"])).alias("x"))
-    dealt = dealt.select(*key, F.explode("x.cuts").alias("cut"), "x.deals", "x.probing", "word", "n").withColumn("deal", F.explode("deals"))
-    order = [*key, "cut", "deal"]
+    one = F.array(F.lit(0).cast("long"))
+    as_role = lambda role, cuts, deals: F.struct(F.lit(role).alias("role"), cuts.alias("cuts"), deals.alias("deals"))
+    whole = F.array(F.when(F.col("probes"), as_role(BOTH, one, one)).otherwise(as_role(LONGER, one, one)))
+    parted = F.when(F.col("probes"), F.array(as_role(INDEXED, own, every), as_role(PROBES, every, own))).otherwise(F.array(as_role(INDEXED, own, every)))
+    dealt = keyed.select(*key, "word", "n", F.explode(F.when(F.col("cuts") == 1, whole).otherwise(parted)).alias("x"))
+    dealt = dealt.select(*key, F.explode("x.cuts").alias("cut"), "x.deals", "x.role", "word", "n").withColumn("deal", F.explode("deals"))
     count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = dealt.select(*order, "probing", "word", "n").repartition(count, *order).sortWithinPartitions(*order, "probing")
+    ordered = dealt.select(*_ORDER, "role", "word", "n").repartition(count, *_ORDER).sortWithinPartitions(*_ORDER, "role")
     return ordered.mapInArrow(_paired, _PAIRS)
 
 

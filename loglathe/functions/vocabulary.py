@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .literals import looked_up, quoted, strip
+from .literals import looked_up, strip
 
 #: Words of each field (fixed values).
 WORDS = {
@@ -29,15 +31,31 @@ WORDS = {
 ERROR_CODE = r"^ULOG-[A-Z]{2,10}-[0-9]{3}$"
 
 
-def canonical(name: str, text: Column) -> Column:
+@dataclass(frozen=True)
+class Vocabulary:
+    """The words of each field; a field that isn't named has those of WORDS."""
+
+    fields: tuple[tuple[str, tuple[str, ...]], ...] = ()
+
+    @classmethod
+    def of(cls, words: dict[str, list[str]]) -> Vocabulary:
+        if unknown := set(words) - set(WORDS):
+            raise ValueError(f"no vocabulary for {sorted(unknown)}")
+        return cls(tuple((k, tuple(v)) for k, v in sorted(words.items())))
+
+    def words(self, name: str) -> tuple[str, ...]:
+        return dict(self.fields).get(name, tuple(WORDS[name]))
+
+
+BUILT_IN = Vocabulary()
+
+
+def canonical(name: str, text: Column, vocabulary: Vocabulary = BUILT_IN) -> Column:
     """The vocabulary's word for a text, or SQL NULL."""
-    return looked_up(F.lower(strip(text)), {w.lower(): w for w in WORDS[name]})
+    return looked_up(F.lower(strip(text)), {w.strip().lower(): w for w in vocabulary.words(name)})
 
 
-def canonical_flags(flags: Column) -> Column:
+def canonical_flags(flags: Column, vocabulary: Vocabulary = BUILT_IN) -> Column:
     """The vocabulary's words for an array of texts, or SQL NULL if any is unknown."""
-    words = F.transform(flags, lambda x: canonical("safety_flags", x))
+    words = F.transform(flags, lambda x: canonical("safety_flags", x, vocabulary))
     return F.when(~F.exists(words, lambda x: x.isNull()), words)
-
-
-__all__ = ["WORDS", "canonical", "canonical_flags", "quoted"]

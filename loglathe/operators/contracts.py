@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.literals import compiled, text_of
-from ..functions.vocabulary import ERROR_CODE, WORDS
+from ..functions.vocabulary import ERROR_CODE, WORDS, Vocabulary
 
 _TEXT = {"type": "string", "minLength": 1}
 _AMOUNT = {"type": "number", "minimum": 0}
@@ -86,6 +86,20 @@ CONTRACTS: dict[str, dict] = {
     | {"when": [({"outcome": ["failure"]}, ("error",))]},
 }
 
+
+
+def with_words(contracts: dict[str, dict], vocabulary: Vocabulary) -> dict[str, dict]:
+    """Contracts with the words of another vocabulary where they have those of the built-in one."""
+
+    def changed(spec: Any) -> Any:
+        if isinstance(spec, dict):
+            own = [k for k, v in WORDS.items() if spec.get("enum") == v]
+            return {k: list(vocabulary.words(own[0])) if own and k == "enum" else changed(v) for k, v in spec.items()}
+        return [changed(x) for x in spec] if isinstance(spec, list) else spec
+
+    return contracts if not vocabulary.fields else {k: changed(v) for k, v in contracts.items()}
+
+
 _NUMBER = r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"
 _TYPES = {"string": '^"', "number": _NUMBER, "integer": r"^-?\d+(\.0+)?$", "boolean": "^(true|false)$", "object": r"^\{", "array": r"^\[", "null": "^null$"}
 _ROW = "array<struct<path: string, keyword: string, text: string, number: double, words: array<string>, under: string, forms: string, like: string>>"

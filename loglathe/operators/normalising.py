@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.literals import among, compiled, looked_up, null, parsed, drop, falsy, field, obj, overlay, put, quoted, record, text_of, word
 from ..functions.units import clean_numeric, duration_ms, plain
-from ..functions.vocabulary import canonical, canonical_flags
+from ..functions.vocabulary import BUILT_IN, Vocabulary, canonical, canonical_flags
 
 
 @dataclass(frozen=True)
@@ -173,24 +173,24 @@ def _flags(literal: Column) -> Column:
     return F.filter(F.transform(parts, F.trim), lambda x: x != "")
 
 
-def _known(name: Column, literal: Column) -> Column:
+def _known(name: Column, literal: Column, words: Vocabulary) -> Column:
     """The vocabulary's literal for a field's, or SQL NULL."""
     chain = F
     for x in SCALARS:
-        chain = chain.when(name == x, quoted(canonical(x, text_of(literal))))
-    return chain.when(name == "safety_flags", F.to_json(canonical_flags(_flags(literal))))
+        chain = chain.when(name == x, quoted(canonical(x, text_of(literal), words)))
+    return chain.when(name == "safety_flags", F.to_json(canonical_flags(_flags(literal), words)))
 
 
-def unknown_words(fields: Column) -> Column:
+def unknown_words(fields: Column, words: Vocabulary = BUILT_IN) -> Column:
     """The fields whose values the vocabulary doesn't have, in its order."""
-    there = lambda k, v: k.isin(*SCALARS, "safety_flags") & (v != "null") & _known(k, v).isNull()
+    there = lambda k, v: k.isin(*SCALARS, "safety_flags") & (v != "null") & _known(k, v, words).isNull()
     bad = F.map_keys(F.map_filter(fields, there))
     return F.array_intersect(F.array(*map(F.lit, (*SCALARS, "safety_flags"))), bad)
 
 
-def vocabulary(fields: Column) -> Column:
+def vocabulary(fields: Column, words: Vocabulary = BUILT_IN) -> Column:
     """Words of the vocabulary for level, outcome, category, sub-category and flags; others stay."""
-    return F.transform_values(fields, lambda k, v: F.when(k.isin(*SCALARS, "safety_flags"), F.coalesce(_known(k, v), v)).otherwise(v))
+    return F.transform_values(fields, lambda k, v: F.when(k.isin(*SCALARS, "safety_flags"), F.coalesce(_known(k, v, words), v)).otherwise(v))
 
 
 def word_errors(fields: Column, unknown: Column) -> Column:
@@ -240,17 +240,17 @@ def conditional(fields: Column, domain: str) -> Column:
     return put(fields, **{name: F.when(F.coalesce(asked, F.lit(False)), F.when(there.isNull(), obj(**{member: value})).when(lacks, added))})
 
 
-def normalise(rows: DataFrame, name: str = "fields", domain: str = "domain", defaults: Defaults = Defaults()) -> DataFrame:
+def normalise(rows: DataFrame, name: str = "fields", domain: str = "domain", defaults: Defaults = Defaults(), words: Vocabulary = BUILT_IN) -> DataFrame:
     """Rows with the record in the column ``name`` normalised as the domain in the column ``domain``
-    asks.  Each step is a projection of its own, so that what it reads is computed once."""
+    asks, with the words of a vocabulary.  Each step is a projection of its own, so that what it reads is computed once."""
 
-    for column, value in _steps(name, domain, defaults):
+    for column, value in _steps(name, domain, defaults, words):
         rows = rows.withColumn(column, value)
     return rows.drop("_bad")
 
 
 @compiled
-def _steps(name: str, domain: str, defaults: Defaults) -> list[tuple[str, Column]]:
+def _steps(name: str, domain: str, defaults: Defaults, words: Vocabulary) -> list[tuple[str, Column]]:
     def by_domain(step) -> Column:
         chain = F
         for d in ALLOWED:
@@ -258,11 +258,11 @@ def _steps(name: str, domain: str, defaults: Defaults) -> list[tuple[str, Column
         return chain
 
     rec = F.col(name)
-    noted = put(with_errors(vocabulary(rec), word_errors(rec, F.col("_bad"))), unparsed_reason=F.when(~F.map_contains_key(rec, "unparsed_reason"), first_reason(F.col("_bad"))))
+    noted = put(with_errors(vocabulary(rec, words), word_errors(rec, F.col("_bad"))), unparsed_reason=F.when(~F.map_contains_key(rec, "unparsed_reason"), first_reason(F.col("_bad"))))
     return [
         (name, units(rec)), ("_bad", unit_errors(rec)), (name, with_errors(rec, F.col("_bad"))),
         (name, by_domain(lambda d: synonyms(rec, d))),
-        ("_bad", unknown_words(rec)), (name, F.when(F.size("_bad") > 0, noted).otherwise(vocabulary(rec))),
+        ("_bad", unknown_words(rec, words)), (name, F.when(F.size("_bad") > 0, noted).otherwise(vocabulary(rec, words))),
         (name, F.when(F.col(domain) == "cv", one_flag(rec)).otherwise(rec)),
         (name, by_domain(lambda d: complete(rec, d, defaults))), (name, by_domain(lambda d: relocate(rec, d))), (name, by_domain(lambda d: conditional(rec, d))),
     ]

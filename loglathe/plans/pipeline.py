@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.literals import field as at
 from ..functions.literals import obj, overlay, parsed, put, quoted, record, text_of, word
+from ..functions.vocabulary import BUILT_IN, Vocabulary
 from ..operators import parsing, rules
-from ..operators.contracts import check
+from ..operators.contracts import CONTRACTS, check, with_words
 from ..operators.embedded import generated_record
 from ..operators.normalising import Defaults
 from ..operators.normalising import normalise as normalised
@@ -32,6 +33,7 @@ class Options:
     validate: bool = True
     defaults: Defaults = field(default_factory=Defaults)
     patterns: parsing.Registry = parsing.BUILT_IN
+    words: Vocabulary = BUILT_IN
 
     def __post_init__(self):
         if self.mode not in ("strict", "compat"):
@@ -82,7 +84,7 @@ def normalise(lines: DataFrame, options: Options = Options()) -> DataFrame:
     timestamp, message = _column(lines, "@timestamp"), _column(lines, "@message")
     missing = (F.coalesce(timestamp, F.lit("")) == "") | (F.coalesce(message, F.lit("")) == "")
     found = parse(lines, options).withColumn("record", F.when(F.col("ok") & ~missing, F.col("fields")))
-    done = normalised(found, "record", "domain", options.defaults)
+    done = normalised(found, "record", "domain", options.defaults, options.words)
     stamped = put(F.col("record"), timestamp=quoted(timestamp))
     if options.mode == "strict":
         errors = F.get_json_object(at(F.col("record"), "meta"), "$.parse.error")
@@ -102,7 +104,7 @@ def validate(records: DataFrame, options: Options = Options()) -> DataFrame:
         known = F.coalesce(text_of(at(rec, "category")), rules.domain_of(rec))
         return records.withColumn("record", merge_meta(rec, "validation", F.when(parse_ok(rec), obj(schema=quoted(known), ok=F.lit("true"), errors=F.lit("[]"))).otherwise(skipped)))
     told = records.withColumn("_domain", F.coalesce(text_of(at(rec, "category")), rules.domain_of(rec)))
-    checked = check(told, "record", F.col("_domain"))
+    checked = check(told, "record", F.col("_domain"), with_words(CONTRACTS, options.words))
     wrong = F.transform("failures", lambda x: F.concat(x["path"], F.lit(": "), x["keyword"]))
     note = obj(schema=quoted(F.col("_domain")), ok=(F.size("failures") == 0).cast("string"), errors=F.to_json(wrong))
     return checked.withColumn("record", merge_meta(rec, "validation", F.when(parse_ok(rec), note).otherwise(skipped))).drop("_domain", "failures")
@@ -142,7 +144,7 @@ def classify_generated(lines: DataFrame, options: Options = Options()) -> DataFr
     marked = lines.withColumn("_given", generated_record(_column(lines, "@message")))
     others = classify_lines(marked.where(F.col("_given").isNull()).drop("_given"), options)
     found = marked.where(F.col("_given").isNotNull()).withColumn("_line", _column(lines, "@message"))
-    done = normalised(route(found, F.col("_line"), options.domain).withColumn("record", F.col("_given")), "record", "domain", options.defaults)
+    done = normalised(route(found, F.col("_line"), options.domain).withColumn("record", F.col("_given")), "record", "domain", options.defaults, options.words)
     parse = obj(parser_name=word("generator"), parser_version=word("0.0.0"), pattern_id=word("generated"), confidence=F.lit("1.0"), ok=F.lit("true"))
     meta = obj(raw_message=quoted(F.col("_line")), parse=parse)
     done = done.withColumn("record", put(overlay(F.col("record"), record(meta=meta)), timestamp=quoted(_column(found, "@timestamp"))))

@@ -6,11 +6,12 @@ They are small and become literals of the plan; what is wrong with them is told
 from __future__ import annotations
 
 import json
+import os
 import re
 from pathlib import Path
 from typing import Any
 
-from ..functions.vocabulary import ERROR_CODE
+from ..functions.vocabulary import ERROR_CODE, Vocabulary
 from ..operators.rules import problems
 
 
@@ -85,11 +86,50 @@ def read_contracts(folder: str, names: dict[str, str]) -> dict[str, dict]:
     return found
 
 
+#: What a vocabulary file calls the words of a field, besides the field's own name (fixed values).
+PLURALS = {"level": "levels", "category": "categories", "sub_category": "sub_categories", "outcome": "outcomes", "safety_flags": "safety_flags", "error_code": "error_codes"}
+#: Where a vocabulary is looked for, in a folder or one above it (fixed value), and the variable that names one.
+VOCABULARY_FILE, VOCABULARY_VARIABLE = "vocab/controlled_vocabulary.json", "LOGLATHE_VOCAB_PATH"
+
+
 def read_words(path: str) -> dict[str, list[str]]:
-    """The words of each field of a vocabulary file: its ``$defs``, else its ``vocabulary``."""
+    """The words of each field of a vocabulary file: lists or ``enum`` of its ``$defs``, else the names or
+    lists of its ``vocabulary``, under the field's name or its plural."""
     given = json.loads(Path(path).read_text(encoding="utf-8"))
-    part = given.get("$defs") or given.get("vocabulary") or {}
-    return {k: list(v["enum"] if isinstance(v, dict) else v) for k, v in part.items() if isinstance(v, list) or (isinstance(v, dict) and "enum" in v)}
+    found = {}
+    for part in (given.get("$defs") or {}, given.get("vocabulary") or {}):
+        for name, plural in PLURALS.items():
+            v = part.get(plural, part.get(name))
+            words = v.get("enum", sorted(v)) if isinstance(v, dict) else v
+            if words:
+                found[name] = list(words)
+        if found:
+            break
+    return found
+
+
+def find_words(path: str | None = None, start: str | None = None) -> str | None:
+    """The vocabulary file: the one given, the one that VOCABULARY_VARIABLE names, or VOCABULARY_FILE in the
+    folder ``start`` or the first one above it; None where there is none.  A file given has to be there."""
+    if path:
+        if not Path(path).is_file():
+            raise FileNotFoundError(path)
+        return path
+    named = os.environ.get(VOCABULARY_VARIABLE)
+    if named and Path(named).expanduser().is_file():
+        return str(Path(named).expanduser())
+    here = Path(start or ".").resolve()
+    return next((str(x / VOCABULARY_FILE) for x in (here, *here.parents) if (x / VOCABULARY_FILE).is_file()), None)
+
+
+def load_vocabulary(path: str | None = None, start: str | None = None) -> Vocabulary:
+    """The vocabulary of the file found, for Options.words; fields that it doesn't name keep the built-in
+    words, and so do all where there is no file.  Raises ValueError for one in which words are doubled."""
+    found = find_words(path, start)
+    words = read_words(found) if found else {}
+    if wrong := [x for x in word_problems(words, ()) if x.endswith("doubled")]:
+        raise ValueError(f"{found}: {'; '.join(wrong)}")
+    return Vocabulary.of(words)
 
 
 def word_problems(words: dict[str, list[str]], needed: tuple[str, ...] = ("level", "category", "sub_category", "outcome")) -> list[str]:

@@ -48,10 +48,6 @@ SENTENCES = (
     ("cc_by_grant", _GRANT + r"(?:a )?(?:cc by|creative commons attribution) (?:4\.0|licen[cs]e|4\.0 international licen[cs]e)"),
     ("cc0_grant", r"(?:" + _GRANT + r"cc0.*|this is free and unencumbered work released into the public domain)"),
     ("unlicense_grant", r"this is free and unencumbered software released into the public domain"),
-    ("spdx_mit", r"spdx licen[cs]e identifier mit"),
-    ("spdx_apache2", r"spdx licen[cs]e identifier apache 2\.0"),
-    ("spdx_gpl3", r"spdx licen[cs]e identifier gpl 3\.0(?: only)?"),
-    ("spdx_bsd3", r"spdx licen[cs]e identifier bsd 3 clause"),
     ("all_rights", r"(?:copyright .* )?all rights reserved"),
 )
 
@@ -64,18 +60,14 @@ RULES = (
     ("ISC", "[isc_grant] isc_permission [as_is] [no_liability]"),
     ("Apache-2.0", "apache2_grant apache2_compliance [apache2_copy]"),
     ("MIT", "mit_grant"),
-    ("MIT", "spdx_mit"),
     ("ISC", "isc_grant"),
     ("BSD-2-Clause", "bsd2_grant"),
     ("BSD-3-Clause", "bsd3_grant"),
-    ("BSD-3-Clause", "spdx_bsd3"),
     ("Apache-2.0", "apache2_grant"),
-    ("Apache-2.0", "spdx_apache2"),
     ("GPL-2.0-or-later", "gpl2_later_grant"),
     ("GPL-2.0-only", "gpl2_grant"),
     ("GPL-3.0-or-later", "gpl3_later_grant"),
     ("GPL-3.0-only", "gpl3_grant"),
-    ("GPL-3.0-only", "spdx_gpl3"),
     ("LGPL-2.1", "lgpl21_grant"),
     ("LGPL-3.0", "lgpl3_grant"),
     ("AGPL-3.0", "agpl3_grant"),
@@ -88,6 +80,21 @@ RULES = (
     ("All-Rights-Reserved", "all_rights"),
 )
 
+#: Identifiers of SPDX expressions by the licence that they name (fixed values); ``+`` and ``-or-later`` are of
+#: their own where the licence is told apart, and of the licence where it isn't.
+SPDX = {
+    "MIT": "mit", "ISC": "isc", "Apache-2.0": "apache-2.0", "Apache-1.1": "apache-1.1", "BSD-2-Clause": "bsd-2-clause", "BSD-3-Clause": "bsd-3-clause", "0BSD": "0bsd",
+    "GPL-2.0-only": "gpl-2.0-only gpl-2.0", "GPL-2.0-or-later": "gpl-2.0-or-later gpl-2.0+", "GPL-3.0-only": "gpl-3.0-only gpl-3.0", "GPL-3.0-or-later": "gpl-3.0-or-later gpl-3.0+",
+    "LGPL-2.0": "lgpl-2.0-only lgpl-2.0-or-later lgpl-2.0 lgpl-2.0+", "LGPL-2.1": "lgpl-2.1-only lgpl-2.1-or-later lgpl-2.1 lgpl-2.1+", "LGPL-3.0": "lgpl-3.0-only lgpl-3.0-or-later lgpl-3.0 lgpl-3.0+",
+    "AGPL-3.0": "agpl-3.0-only agpl-3.0-or-later agpl-3.0 agpl-3.0+", "MPL-1.1": "mpl-1.1", "MPL-2.0": "mpl-2.0", "EPL-1.0": "epl-1.0", "EPL-2.0": "epl-2.0", "EUPL-1.2": "eupl-1.2", "CDDL-1.0": "cddl-1.0",
+    "BSL-1.0": "bsl-1.0", "BUSL-1.1": "busl-1.1", "Zlib": "zlib", "Artistic-2.0": "artistic-2.0", "WTFPL": "wtfpl", "OFL-1.1": "ofl-1.1", "PostgreSQL": "postgresql", "Python-2.0": "python-2.0", "NCSA": "ncsa",
+    "MS-PL": "ms-pl", "AFL-3.0": "afl-3.0", "OSL-3.0": "osl-3.0", "X11": "x11", "Unlicense": "unlicense", "CC0-1.0": "cc0-1.0", "CC-BY-4.0": "cc-by-4.0", "CC-BY-SA-4.0": "cc-by-sa-4.0", "CC-BY-NC-4.0": "cc-by-nc-4.0",
+}
+_SPDX_NAMES = {identifier: name for name, identifiers in SPDX.items() for identifier in identifiers.split()}
+#: An SPDX expression after its tag, in lower case: identifiers joined by and, or, with, in brackets.
+_SPDX_LINE = r"spdx-licen[cs]e-identifier:[\x20\x09]*((?:\([\x20\x09]*)*[a-z0-9.+\-]+(?:[\x20\x09]*\))*(?:[\x20\x09]+(?:and|or|with)[\x20\x09]+(?:\([\x20\x09]*)*[a-z0-9.+\-]+(?:[\x20\x09]*\))*)*)"
+_SPDX_JOINTS = r"[()\x20\x09]+"
+
 _FSF = r" as published by the free software foundation(?: inc)?"
 _MODIFY = r"(?:[a-z0-9 ]{1,100} free software )?(?:you (?:can|may) )?redistribute (?:it|them|this [a-z ]{1,40}) and or modify (?:it|them|this [a-z ]{1,40}) under (?:the )?(?:terms of (?:the )?)?"
 _OR_LATER = r" or (?:at your option )?(?:any later version|later(?: versions?)?)"
@@ -180,20 +187,29 @@ def identifiers(text: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: name(F.translate(s, "\n", " "))), "")
 
 
+def tagged(text: Column) -> Column:
+    """The licences that a text's SPDX expressions name, each as often as they do; what follows ``with`` and
+    identifiers that aren't known name none."""
+    parts = F.flatten(F.transform(F.regexp_extract_all(F.lower(text), F.lit(_SPDX_LINE), F.lit(1)), lambda e: F.split(F.regexp_replace(e, "[.]+$", ""), _SPDX_JOINTS)))
+    table = F.str_to_map(F.lit("\n".join(f"{k}\t{v}" for k, v in _SPDX_NAMES.items())), F.lit("\n"), F.lit("\t"))
+    return F.filter(F.transform(parts, lambda x: F.element_at(table, x)), lambda x: x.isNotNull())
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, license, n): how often each document of docs (doc_id, text, ...) grants or states
-    a licence, one row for each licence it has.
+    a licence, one row for each licence it has; each licence of an SPDX expression counts.
 
     Null and empty texts have none; repeated rows are scanned for themselves; a null doc_id stays
     null.  Columns other than doc_id and text are not read.
     """
     rest = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.regexp_like(F.lower("text"), F.lit("(?:" + HINT.replace(" ", r"[^a-z0-9]+") + ")")))
-    rest = rest.select("doc_id", identifiers(F.col("text")).alias("rest")).where("rest <> ''")
+    rest = rest.select("doc_id", identifiers(F.col("text")).alias("rest"), tagged(F.col("text")).alias("tagged")).where("rest <> '' or size(tagged) > 0")
     rules = (*RULES, *NOTICE_RULES)
-    names = list(dict.fromkeys(x for x, _ in rules))
+    names = list(dict.fromkeys((*(x for x, _ in rules), *SPDX)))
+    by_tag = lambda x: F.size(F.filter("tagged", lambda y: y == x)) if x in SPDX else F.lit(0)
     for i, (_, rule) in enumerate(rules):
         rest = rest.withColumn(f"n{i}", F.regexp_count("rest", F.lit(_pattern(rule)))).withColumn("rest", F.regexp_replace("rest", _pattern(rule), ""))
-    counts = F.array(*(F.struct(F.lit(x).alias("license"), sum(F.col(f"n{i}") for i, (y, _) in enumerate(rules) if y == x).cast("long").alias("n")) for x in names))
+    counts = F.array(*(F.struct(F.lit(x).alias("license"), sum((F.col(f"n{i}") for i, (y, _) in enumerate(rules) if y == x), by_tag(x)).cast("long").alias("n")) for x in names))
     return rest.select("doc_id", F.explode(F.filter(counts, lambda c: c["n"] > 0)).alias("found")).select("doc_id", "found.license", "found.n")
 
 
@@ -201,11 +217,13 @@ def scan_sql(table: str = "documents") -> str:
     """The scan in DuckDB's SQL, by single lines and without the GPL family's notices."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     hint = quote(HINT.replace(" ", "[^a-z0-9]+"))
+    spdx = "case x " + " ".join(f"when '{k}' then '{v}'" for k, v in _SPDX_NAMES.items()) + " end"
     name = "case " + " ".join(f"when regexp_matches(s, {quote(f'^(?:{p})$')}) then ',{k},'" for k, p in SENTENCES) + " else '' end"
-    steps = [f"""s as (select doc_id, list_transform(list_filter(string_split(regexp_replace(lower(text), {quote(_ENDS)}, chr(10), 'g'), chr(10)), lambda x: regexp_matches(x, {hint})), lambda x: regexp_replace(trim(regexp_replace(x, {quote(_NOISE)}, ' ', 'g')), '^\\.+ ?| ?\\.+$', '', 'g')) as found from {table})"""]
-    steps.append(f"r as (select doc_id, coalesce(array_to_string(list_transform(found, lambda s: {name}), ''), '') as r0 from s)")
+    steps = [f"""s as (select doc_id, list_transform(list_filter(string_split(regexp_replace(lower(text), {quote(_ENDS)}, chr(10), 'g'), chr(10)), lambda x: regexp_matches(x, {hint})), lambda x: regexp_replace(trim(regexp_replace(x, {quote(_NOISE)}, ' ', 'g')), '^\\.+ ?| ?\\.+$', '', 'g')) as found,
+      list_transform(flatten(list_transform(regexp_extract_all(lower(text), {quote(_SPDX_LINE)}, 1), lambda e: regexp_split_to_array(regexp_replace(e, '[.]+$', ''), {quote(_SPDX_JOINTS)}))), lambda x: {spdx}) as tagged from {table})"""]
+    steps.append(f"r as (select doc_id, tagged, coalesce(array_to_string(list_transform(found, lambda s: {name}), ''), '') as r0 from s)")
     for i, (_, rule) in enumerate(RULES):
         p = quote(_pattern(rule))
         steps.append(f"r{i + 1} as (select *, len(regexp_extract_all(r{i}, {p})) as n{i}, regexp_replace(r{i}, {p}, '', 'g') as r{i + 1} from {'r' if i == 0 else f'r{i}'})")
-    each = " union all ".join(f"select doc_id, '{x}' as license, ({' + '.join(f'n{i}' for i, (y, _) in enumerate(RULES) if y == x)})::bigint as n from r{len(RULES)}" for x in dict.fromkeys(x for x, _ in RULES))
+    each = " union all ".join(f"select doc_id, '{x}' as license, ({' + '.join([f'n{i}' for i, (y, _) in enumerate(RULES) if y == x] + [f"coalesce(len(list_filter(tagged, lambda y: y = '{x}')), 0)"])})::bigint as n from r{len(RULES)}" for x in dict.fromkeys((*(x for x, _ in RULES), *SPDX)))
     return f"with {', '.join(steps)} select * from ({each}) where n > 0"

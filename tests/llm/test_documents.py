@@ -244,6 +244,24 @@ GPL = """# This program is free software{} you can redistribute it and/or modify
 # (at your option) any later version."""
 
 
+def test_licenses_of_spdx_expressions(docs):
+    texts = {
+        1: "/* SPDX-License-Identifier: (MIT OR Apache-2.0) AND LGPL-2.1-or-later */\nint x;",
+        2: "# SPDX-License-Identifier: GPL-2.0+ WITH Classpath-exception-2.0\n# spdx-license-identifier: epl-2.0 and BSL-1.0 or GPL-3.0",
+        3: "SPDX-License-Identifier: MIT.\nSPDX-License-Identifier: MIT",
+        4: "SPDX-License-Identifier: LicenseRef-own and more",
+        5: "SPDX-License-Identifier: ",
+        6: "SPDX-License-Identifier: MIT\nReleased under the MIT License.",
+    }
+    got = {}
+    for r in licenses.scan(docs(texts.items())).collect():
+        got.setdefault(r.doc_id, {})[r.license] = r.n
+    assert got == {
+        1: {"MIT": 1, "Apache-2.0": 1, "LGPL-2.1": 1}, 2: {"GPL-2.0-or-later": 1, "EPL-2.0": 1, "BSL-1.0": 1, "GPL-3.0-only": 1}, 3: {"MIT": 2}, 6: {"MIT": 2},
+    }
+    assert licenses.scan(docs([])).count() == 0
+
+
 def test_licenses_over_lines(docs):
     texts = [
         (MIT, {("MIT", 1)}),

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard, parts, prepare
+from .common import bounded, cut, discard, parts, prepare
 
 #: Documents of a language that a term is in at least; what a whole is divided into; terms listed of each source.
 DOCUMENTS, PARTS, TOP = 3, 1_000_000_000, 200
@@ -162,18 +162,20 @@ def divergence(docs: DataFrame) -> DataFrame:
     by = ["lang", "source"]
     counts = cut(named.mapInArrow(_counted, _COUNTS).groupBy(*by, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts")
     kept = cut(counts.groupBy("lang", "term").agg(F.sum("n").alias("all"), F.sum("docs").alias("docs")).where(F.col("docs") >= DOCUMENTS).drop("docs"), "kept")
-    languages = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("all").alias("all_terms"))
+    # a row for each language or group: no large table is dealt out by its language or source alone
+    languages = bounded(cut(kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("all").alias("all_terms")), "languages"))
     placed = kept.join(languages.withColumn("chunks", F.ceil(F.col("terms") / CHUNK)), "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), "chunks"))
     placed = cut(placed.withColumn("place", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1), "placed")
     found = cut(counts.drop("docs").join(placed, ["lang", "term"]), "found")
-    totals = found.groupBy(by).agg(F.sum("n").alias("total"))
+    totals = bounded(cut(found.groupBy(by).agg(F.sum("n").alias("total")), "totals"))
     groups = named.select(by).distinct().join(totals, by, "left").join(languages, "lang", "left")
     groups = groups.select(*by, F.coalesce("total", F.lit(0).cast("long")).alias("total"), F.coalesce("terms", F.lit(0).cast("long")).alias("terms"))
     groups = cut(groups.withColumn("whole", F.col("total") + F.col("terms")), "groups")
     blocks = groups.groupBy("lang").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     sizes = placed.groupBy("lang", "chunk").agg(F.count("*").cast("int").alias("size"))
     parts_of = groups.groupBy("lang").agg(F.max(F.greatest(F.lit(1), F.ceil(F.ceil(F.col("terms") / CHUNK) / CHUNKS))).alias("parts"))
-    tiled = groups.join(blocks, "lang").join(parts_of, "lang").withColumn("block", F.pmod(F.xxhash64("source"), "blocks"))
+    shape = bounded(cut(blocks.join(parts_of, "lang"), "shape"))
+    tiled = bounded(cut(groups.join(shape, "lang").withColumn("block", F.pmod(F.xxhash64("source"), "blocks")), "tiled"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
     def both_sides(rows: DataFrame) -> DataFrame:
@@ -187,7 +189,7 @@ def divergence(docs: DataFrame) -> DataFrame:
     heads = both_sides(tiled.withColumn("part", every("parts"))).withColumn("chunk", F.lit(-1).cast("long")).withColumn("terms", none("int"))
     heads = heads.withColumn("places", none("array<int>")).withColumn("counts", none("array<bigint>")).select(columns)
     # a chunk that no source of a tile has a term of still counts: its size goes to every tile
-    ends = sizes.join(blocks, "lang").join(parts_of, "lang").withColumn("part", F.pmod("chunk", "parts")).withColumn("row", every("blocks")).withColumn("column", every("blocks"))
+    ends = sizes.join(shape, "lang").withColumn("part", F.pmod("chunk", "parts")).withColumn("row", every("blocks")).withColumn("column", every("blocks"))
     ends = ends.select("lang", "row", "column", "part", "chunk", F.lit(0).alias("side"), none("string").alias("source"), none("bigint").alias("whole"), F.col("size").alias("terms"), none("array<int>").alias("places"), none("array<bigint>").alias("counts"))
     packed = found.groupBy(*by, "chunk").agg(F.sort_array(F.collect_list(F.struct("place", "n"))).alias("x"))
     packed = packed.join(sizes, ["lang", "chunk"]).join(tiled.select(*by, "block", "blocks", "parts", "whole"), by)

@@ -44,19 +44,20 @@ def _draw(seed: int, what: str, n: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.lit(what)), F.lit(n))
 
 
-def _fill(template: str, seed: int) -> Column:
+def filled(template: str, seed: int, **given: Column) -> Column:
+    """A template with its slots drawn, or given."""
     parts, rest = [], template
     while "{" in rest:
         text, _, rest = rest.partition("{")
         name, _, rest = rest.partition("}")
-        value = F.element_at(F.array(*map(F.lit, _PICKS[name])), (_draw(seed, name, len(_PICKS[name])) + 1).cast("int")) if name in _PICKS else _draw(seed, name, {"a": 90, "b": 90, "port": 60000, "n": 100000, "ms": 9000}[name]).cast("string")
+        value = given[name] if name in given else F.element_at(F.array(*map(F.lit, _PICKS[name])), (_draw(seed, name, len(_PICKS[name])) + 1).cast("int")) if name in _PICKS else _draw(seed, name, {"a": 90, "b": 90, "port": 60000, "n": 100000, "ms": 9000}[name]).cast("string")
         parts += [F.lit(text), value]
     return F.concat(*parts, F.lit(rest))
 
 
 def lines(spark: SparkSession, domain: str, count: int, seed: int = 12345) -> DataFrame:
     """Rows (_seq, ``@timestamp``, ``@message``)."""
-    options = F.array(*(_fill(t, seed) for t in TEMPLATES[domain]))
+    options = F.array(*(filled(t, seed) for t in TEMPLATES[domain]))
     pick = (_draw(seed, "template", len(TEMPLATES[domain])) + 1).cast("int")
     moment = F.timestamp_seconds(F.lit(1735689600) + F.col("id"))
     return spark.range(count).select(F.col("id").alias("_seq"), F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("@timestamp"), F.element_at(options, pick).alias("@message"))

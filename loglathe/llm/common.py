@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
@@ -54,14 +53,13 @@ def parts(text: bytes, size: int) -> Iterator[bytes]:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, read from the session.
 
-    Only where it is unset (a local session, as in tests) a temporary folder stands in.
+    Only where it is unset, in a local session, the session's warehouse stands in.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = getattr(spark, "_loglathe_folder", None) or "file://" + tempfile.mkdtemp(prefix="loglathe-")
-        spark._loglathe_folder = found
+        found = spark.conf.get("spark.sql.warehouse.dir")
     return f"{found.rstrip('/')}/loglathe-{spark.sparkContext.applicationId}"
 
 

@@ -8,7 +8,6 @@ from loglathe.__main__ import main
 from loglathe.plans.reports import report
 from loglathe.sources import synthetic
 from loglathe.sources.lines import from_list, read_jsonl, write_jsonl
-from loglathe.sources import synthetic
 
 GOOD, BAD = 'INFO:     1.1.1.1:1 - "GET /a HTTP/1.1" 200 OK', "nothing known"
 

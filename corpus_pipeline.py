@@ -26,7 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-copies, linked at a Jaccard similarity of 0.8 over five-word shingles, the
-    document with the smallest id stays."""
+    document with the smallest id stays: the index of fingerprints gives links, which whole sets confirm,
+    and what fingerprints can't find is added (operator 3)."""
     own = ("doc_id", "text")
     return first_of_each(packed(docs, *own), similar(docs)).select(unpacked(docs.columns, *own))
 

@@ -30,25 +30,34 @@ BITS, BYTES, SEED = 64, 8, 42
 DISTANCE = 2
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """The majority of the XXH64 hashes (seed 42) of the text's word shingles, as a signed long.
+def hashes(text: bytes | None, width: int = 3) -> np.ndarray:
+    """The XXH64 hashes (seed 42) of the text's word shingles, repeats included.
 
     Words are runs of non-white-space bytes with A-Z lower-cased; a text of fewer words than width is
-    one shingle; none: zero.  A bit is set where over half of the hashes have it.
+    one shingle; none: no hash.
     """
     import xxhash
 
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a text's hashes, as a signed long: a bit is set where over half of them have it."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, BYTES), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(hashes)).view(">i8")[0])
 
 
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    """The majority of the hashes of the text's word shingles; of no words: zero."""
+    return majority(hashes(text, width))
+
+
 def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

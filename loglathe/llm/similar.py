@@ -1,8 +1,12 @@
 """Near-copies by similarity: documents linked where the Jaccard similarity of their sets of five-word
 shingles is at least 0.8, exactly, and their components.
 
-Candidates come from a prefix filter.  The shingles of every set are put in one order that is the same
-for all sets; two sets of similarity 0.8 share one of the first n // 5 + 1 of either's n shingles.
+First each document has the fingerprint of operator 3, over the same shingles, and the index of simhash
+gives the pairs that differ in few bits; those that the whole sets confirm are linked.  A fingerprint's
+bits have no bound at a similarity of 0.8, so the index can't find every link: between the components of
+its links, and only there, a prefix filter looks for the rest.
+
+The shingles of every set are put in one order that is the same for all sets; two sets of similarity 0.8 share one of the first n // 5 + 1 of either's n shingles.
 Which order it is changes no result, only the work: shingles found often in a sample of the documents
 come last.  Candidates are filtered by their sizes and places and verified on the whole sets.
 
@@ -10,7 +14,7 @@ Before whole sets are read, pairs are held against a bound: each set has a map o
 flipped once for each of its shingles, two maps differ in at most as many bits as shingles are in one
 set only, so pairs with more differing bits than 0.8 allows are dropped; none that is similar enough is.
 
-Lists of up to ``longest`` sets are paired.  In longer ones each set first meets a few centres of the
+Lists of up to ``longest`` sets are paired, where their components differ.  In longer ones each set first meets a few centres of the
 list, which joins much of a large group in linear work; then only pairs are made that the links so far
 leave in different components and that the maps allow, since another link within a component changes
 nothing.
@@ -25,9 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, discard, prepare
+from .common import components, cut, discard, prepare, slices
+from .simhash import SEED, hashes, links, majority
 
-WIDTH, SEED = 5, 42
+WIDTH = 5
+#: Bytes of text whose hashes a task holds at a time, a document at least.
+SLICE = 1 << 20
 #: The order counts shingles in one document of this many, in each one of up to LEAST documents, and knows
 #: this many shingles as common, at most.
 STEP, LEAST, COMMON = 16, 5_000, 1 << 16
@@ -39,14 +46,8 @@ CENTRES = 2
 
 
 def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
-    """The sorted distinct XXH64 hashes of a text's word shingles, with the words of simhash.fingerprint."""
-    import xxhash
-
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    found = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in found), np.uint64))
+    """The sorted distinct hashes of a text's word shingles, which are those of simhash."""
+    return np.unique(hashes(text, width))
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
@@ -64,7 +65,7 @@ def _read(width: int, common=None):
         import xxhash
 
         known, often = (np.frombuffer(x, np.int64) for x in (common.value if common else (b"", b"")))
-        for batch in batches:
+        for batch in slices(batches, SLICE):
             names, sizes, maps, chosen = [], [], [], [np.empty(0, np.int64)]
             for text in batch.column("text").to_pylist():
                 x = shingles(text, width)
@@ -89,9 +90,15 @@ def _read(width: int, common=None):
 
 
 def _names(width: int):
+    """Rows (doc_id, fp, print): the name of each document's set, and its fingerprint."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _read(width)(batches):
-            yield batch.select(["doc_id", "fp"])
+        import xxhash
+
+        for batch in slices(batches, SLICE):
+            found = [hashes(x, width) for x in batch.column("text").to_pylist()]
+            names = np.array([xxhash.xxh64_intdigest(np.unique(x).tobytes(), SEED) for x in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names), pa.array(list(map(majority, found)), pa.int64())], ["doc_id", "fp", "print"])
 
     return run
 
@@ -138,28 +145,38 @@ def _verified(pairs: DataFrame, maps: DataFrame, texts: DataFrame, once: DataFra
     return found
 
 
-def _links(postings: DataFrame, maps: DataFrame, texts: DataFrame, once: DataFrame, width: int, longest: int) -> DataFrame:
-    """Rows (a, b) of sets, which connect exactly what all pairs of at least 0.8 connect."""
+def _indexed(names: DataFrame, maps: DataFrame, texts: DataFrame, once: DataFrame, width: int) -> DataFrame:
+    """Rows (a, b) of sets of at least 0.8 whose fingerprints the index of simhash links, or that share one."""
+    marked = cut(names.where("doc_id is not null").select("print", "fp").distinct(), "marked")
+    prints = cut(marked.groupBy("print").agg(F.min("fp").alias("node")), "prints")
+    near = links(prints.select(F.col("print").alias("fp"), "node"))
+    same = marked.join(prints, "print").select(F.col("node").alias("a"), F.col("fp").alias("b"))
+    pairs = near.unionByName(same).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _verified(pairs, maps, texts, once, width, "indexed")
+
+
+def _rest(postings: DataFrame, indexed: DataFrame, maps: DataFrame, texts: DataFrame, once: DataFrame, width: int, longest: int) -> DataFrame:
+    """Rows (a, b) of sets, which with the indexed ones connect exactly what all pairs of at least 0.8 connect."""
 
     def paired(rows: DataFrame, condition: Column) -> DataFrame:
-        met = rows.alias("x").join(rows.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.fp") < F.col("y.fp")) & _may("x", "y") & condition)
+        met = rows.alias("x").join(rows.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.component") != F.col("y.component")) & _may("x", "y") & condition)
         return met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
 
     pairs = paired(postings.where(F.col("size") <= longest), F.lit(True))
     long = postings.where(F.col("size") > longest)
     if long.isEmpty():
         return _verified(pairs, maps, texts, once, width, "similar")
-    centre = F.struct("fp", "n", "i")
+    centre = F.struct("fp", "n", "i", "component")
     centres = long.groupBy("h").agg(F.array_distinct(F.array(*(F.min_by(centre, F.xxhash64(F.lit(k), "fp")) for k in range(CENTRES)))).alias("c"))
     centres = cut(centres.select("h", F.explode("c").alias("c")).select("h", "c.*"), "centres")
-    star = long.alias("x").join(centres.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.fp") != F.col("y.fp")) & _may("x", "y"))
+    star = long.alias("x").join(centres.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.component") != F.col("y.component")) & _may("x", "y"))
     star = star.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
     first = _verified(pairs.unionByName(star).distinct(), maps, texts, once, width, "similar")
-    label = components(first, "a", "b").withColumnRenamed("node", "fp")
-    labelled = long.join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    label = components(indexed.unionByName(first), "a", "b").withColumnRenamed("node", "fp")
+    labelled = long.drop("component").join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     mixed = labelled.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
     open_ = cut(labelled.join(mixed, "h", "left_semi").join(maps.select("fp", "bits"), "fp"), "open")
-    rest = paired(open_, (F.col("x.component") != F.col("y.component")) & _map_bound([F.col("x.bits")[i] for i in range(LONGS)], [F.col("y.bits")[i] for i in range(LONGS)], F.col("x.n") + F.col("y.n")))
+    rest = paired(open_, _map_bound([F.col("x.bits")[i] for i in range(LONGS)], [F.col("y.bits")[i] for i in range(LONGS)], F.col("x.n") + F.col("y.n")))
     return first.unionByName(_verified(rest, maps, texts, once, width, "rest"))
 
 
@@ -174,15 +191,19 @@ def similar(docs: DataFrame, width: int = WIDTH, longest: int = 2) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    names = cut(texts.mapInArrow(_names(width), "doc_id bigint, fp bigint"), "names")
+    names = cut(texts.mapInArrow(_names(width), "doc_id bigint, fp bigint, print bigint"), "names")
     distinct = cut(names.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
     common = spark.sparkContext.broadcast(_common(texts, names.count(), width))
     once = distinct.select("fp", F.col("node").alias("doc_id"))
     heads = texts.mapInArrow(_read(width, common), "doc_id bigint, fp bigint, n int, hashes array<bigint>, bits array<bigint>").where("n > 0")
     heads = cut(heads.join(once, ["fp", "doc_id"], "left_semi").dropDuplicates(["fp", "doc_id"]).drop("doc_id"), "heads")
-    postings = heads.select("fp", "n", F.posexplode("hashes").alias("i", "h")).withColumn("size", F.count("*").over(Window.partitionBy("h")))
+    maps = heads.select("fp", "n", "bits")
+    indexed = _indexed(names, maps, texts, once, width)
+    label = components(indexed, "a", "b").withColumnRenamed("node", "fp")
+    labelled = heads.join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    postings = labelled.select("fp", "n", "component", F.posexplode("hashes").alias("i", "h")).withColumn("size", F.count("*").over(Window.partitionBy("h")))
     postings = cut(postings.where("size > 1"), "postings")
-    found = _links(postings, heads.select("fp", "n", "bits"), texts, once, width, longest)
+    found = indexed.unionByName(_rest(postings, indexed, maps, texts, once, width, longest))
     discard(heads)
     discard(postings)
     for x in "ab":

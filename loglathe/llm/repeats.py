@@ -84,35 +84,38 @@ def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, size: int) ->
     return b"".join([hashlib.blake2b(whole[a:b], digest_size=size).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
 
 
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each run of width values."""
+    run = 1
+    while 2 * run <= width:
+        x, run = np.minimum(x[:-run], x[run:]), 2 * run
+    return np.minimum(x[: len(x) - width + run], x[width - run :]) if run < width else x
+
+
 def triggers(hashes: np.ndarray, width: int) -> np.ndarray:
     """For each run of width hashes the index of the least, the first of equals."""
-    n = len(hashes)
-    bits = np.uint64(max(1, int(n).bit_length()))
-    by = np.argsort(hashes)
-    rank = np.empty(n, np.uint64)
-    rank[by] = np.cumsum(np.diff(hashes[by], prepend=hashes[by[:1]]) != 0)
-    keys = (rank << bits) | np.arange(n, dtype=np.uint64)  # whole hashes decide, then the index
-    rows = -(-n // width)
-    grid = np.concatenate([keys, np.full(rows * width - n, ~np.uint64(0))]).reshape(rows, width)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
-    return (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-
-
-def _pieces(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(from, to, starts of documents within) of pieces of the documents' joined bytes: whole
-    documents up to CHUNK bytes, or a part of a longer one with the LENGTH - 1 bytes after it."""
+    low = np.uint64((1 << max(1, len(hashes).bit_length())) - 1)
+    # the upper bits of the least hash, with its index below them
+    found = (_least((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), width) & low).astype(np.int64)
+    # whole hashes decide, then the index: where upper bits are alike, another hash can be less
+    for i in np.flatnonzero(hashes[found] != _least(hashes, width)).tolist():
+        found[i] = i + hashes[i : i + width].argmin()
+    return found
+
+
+def _pieces(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(from, to) of pieces of the documents' joined bytes: whole documents up to CHUNK bytes, or a part
+    of a longer one with the LENGTH - 1 bytes after it."""
     starts = np.concatenate([[0], ends[:-1]])
     i = 0
     while i < len(ends):
         j = int(np.searchsorted(ends, starts[i] + CHUNK, side="right"))
         if j > i:
-            yield int(starts[i]), int(ends[j - 1]), starts[i:j]
+            yield int(starts[i]), int(ends[j - 1])
             i = j
             continue
         for at in range(int(starts[i]), int(ends[i]), CHUNK):
-            yield at, min(at + CHUNK + LENGTH - 1, int(ends[i])), np.array([at])
+            yield at, min(at + CHUNK + LENGTH - 1, int(ends[i]))
         i += 1
 
 
@@ -145,21 +148,27 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, ends = _bytes(batch)
         ids, starts = batch.column("doc_id").to_numpy(), np.concatenate([[0], ends[:-1]])
         parts = []
-        for low, high, inner in _pieces(data, ends):
+        for low, high in _pieces(ends):
             if high - low < LENGTH:
                 continue
             piece = data[low:high]
             keys = windows.load(piece).windows(WINDOW)
             trigger = triggers(keys, LENGTH - WINDOW + 1)
-            doc = np.searchsorted(ends, low + np.arange(len(trigger)), side="right")
-            fits = low + np.arange(len(trigger)) + LENGTH <= ends[doc]
-            gram = np.flatnonzero(fits)
-            if not len(gram):
+            d = np.arange(np.searchsorted(ends, low, side="right"), np.searchsorted(starts, high))
+            begin, stop = np.maximum(starts[d], low) - low, np.minimum(ends[d], high) - low - LENGTH + 1
+            some = begin < stop
+            if not some.any():
                 continue
-            first = np.flatnonzero(np.concatenate([[True], (trigger[gram][1:] != trigger[gram][:-1]) | (doc[gram][1:] != doc[gram][:-1])]))
-            last = np.concatenate([first[1:], [len(gram)]]) - 1
-            a, b = gram[first], gram[last]
-            parts.append((keys[trigger[a]].view(np.int64), np.frombuffer(_digests(piece, a, b + LENGTH, PHRASE_BYTES), np.int64), ids[doc[a]], low + a - starts[doc[a]], (b - a + 1 + 128 * (trigger[a] - a)).astype(np.int32)))
+            d, begin, stop = d[some], begin[some], stop[some]
+            # a phrase starts where the grams of a document do and where the trigger changes
+            new = np.concatenate([[True], trigger[1:] != trigger[:-1]])
+            new[begin] = True
+            turns = np.zeros(len(trigger) + 1, np.int8)
+            turns[begin], turns[stop] = 1, -1
+            a = np.flatnonzero(new & (np.cumsum(turns[:-1], dtype=np.int8) > 0))
+            k = np.searchsorted(begin, a, side="right") - 1
+            b = np.minimum(np.append(a[1:], len(trigger)), stop[k]) - 1
+            parts.append((keys[trigger[a]].view(np.int64), np.frombuffer(_digests(piece, a, b + LENGTH, PHRASE_BYTES), np.int64), ids[d[k]], low + a - starts[d[k]], (b - a + 1 + 128 * (trigger[a] - a)).astype(np.int32)))
         if not parts:
             continue
         key, phrase, doc, start, extent = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -218,7 +227,7 @@ def _listed(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
 
 def _within(data: np.ndarray, ends: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, slice]]:
     """(from, bytes, which of the sorted places start there) of the pieces that have any."""
-    for i, j, _ in _pieces(data, ends):
+    for i, j in _pieces(ends):
         # a part of a long document shares its last bytes with the next part, which has the places there
         chosen = slice(*np.searchsorted(at, [i, min(i + CHUNK, j) if j - i > CHUNK else j]))
         if chosen.start < chosen.stop:

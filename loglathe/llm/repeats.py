@@ -43,8 +43,9 @@ LENGTH, WINDOW = 100, 32
 REACH = (LENGTH - WINDOW) // 2
 #: Bytes of the cores before and after a trigger, with the trigger.
 CORE = LENGTH - REACH
-#: Bytes that are hashed at a time; longer documents go in pieces that overlap.
-CHUNK = 1 << 20
+#: Bytes that are hashed at a time; longer documents go in pieces that overlap.  A piece's arrays are
+#: some tens of CHUNK longs, which are to stay in a core's cache and small beside a worker's batch.
+CHUNK = 1 << 17
 #: Odd multipliers and seeds of the rolling hashes: any odd values do.
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Bytes of the digest of a phrase and of a gram.

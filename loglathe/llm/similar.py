@@ -14,15 +14,20 @@ Before whole sets are read, pairs are held against a bound: each set has a map o
 flipped once for each of its shingles, two maps differ in at most as many bits as shingles are in one
 set only, so pairs with more differing bits than 0.8 allows are dropped; none that is similar enough is.
 
-Lists of up to ``longest`` sets are paired, where their components differ.  In longer ones each set first meets a few centres of the
-list, which joins much of a large group in linear work; then only pairs are made that the links so far
-leave in different components and that the maps allow, since another link within a component changes
-nothing.
+Lists of up to ``longest`` sets are paired, where their components differ.  Longer ones go by rounds: each
+deals a list's sets into groups at random and pairs them within a group, where the maps allow it and the
+links so far leave the two in different components, since another link within a component changes
+nothing.  The groups grow from round to round until each list has been one, so no link is lost.  Where many
+sets are similar a few links join most of them: of all links a sample of the share p leaves, on average,
+no more than one set's worth in 1 / p between different components, so a round makes about GROWTH times
+as many pairs of similar sets as there are sets, however many pairs the group has.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +46,10 @@ STEP, LEAST, COMMON = 16, 5_000, 1 << 16
 #: Bits of a set's map, in longs.
 LONGS = 16
 BITMAP = 64 * LONGS
-#: Centres of a long list.
-CENTRES = 2
+#: Sets of a long list that meet in the first round, and how many times more do in each next one.
+MEET, GROWTH = 8, 32
+#: The rounds end where so many pairs for each place in the lists are left.
+FEW = 8
 
 
 def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -134,7 +141,10 @@ def _bounded(pairs: DataFrame, maps: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, maps: DataFrame, texts: DataFrame, once: DataFrame, width: int, name: str) -> DataFrame:
     """Of the pairs (a, b) of sets those of a similarity of at least 0.8; only their texts are read."""
-    pairs = cut(_bounded(cut(pairs, "pairs"), maps), "bounded")
+    pairs = cut(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
+    pairs = cut(_bounded(pairs, maps), "bounded")
     wanted = cut(once.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp").select("doc_id", F.col("fp").alias("wanted")), "wanted")
     sets = texts.join(wanted, "doc_id").mapInArrow(_read(width), "doc_id bigint, wanted bigint, fp bigint, n int, hashes array<bigint>").where("fp = wanted")
     sets = cut(sets.select("fp", "hashes").dropDuplicates(["fp"]), "sets")
@@ -158,26 +168,30 @@ def _indexed(names: DataFrame, maps: DataFrame, texts: DataFrame, once: DataFram
 def _rest(postings: DataFrame, indexed: DataFrame, maps: DataFrame, texts: DataFrame, once: DataFrame, width: int, longest: int) -> DataFrame:
     """Rows (a, b) of sets, which with the indexed ones connect exactly what all pairs of at least 0.8 connect."""
 
-    def paired(rows: DataFrame, condition: Column) -> DataFrame:
-        met = rows.alias("x").join(rows.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.component") != F.col("y.component")) & _may("x", "y") & condition)
+    def paired(rows: DataFrame, key: list[str], condition: Column) -> DataFrame:
+        met = rows.alias("x").join(rows.alias("y"), reduce(and_, (F.col(f"x.{k}") == F.col(f"y.{k}") for k in key)) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.component") != F.col("y.component")) & _may("x", "y") & condition)
         return met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
 
-    pairs = paired(postings.where(F.col("size") <= longest), F.lit(True))
-    long = postings.where(F.col("size") > longest)
-    if long.isEmpty():
-        return _verified(pairs, maps, texts, once, width, "similar")
-    centre = F.struct("fp", "n", "i", "component")
-    centres = long.groupBy("h").agg(F.array_distinct(F.array(*(F.min_by(centre, F.xxhash64(F.lit(k), "fp")) for k in range(CENTRES)))).alias("c"))
-    centres = cut(centres.select("h", F.explode("c").alias("c")).select("h", "c.*"), "centres")
-    star = long.alias("x").join(centres.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.component") != F.col("y.component")) & _may("x", "y"))
-    star = star.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
-    first = _verified(pairs.unionByName(star).distinct(), maps, texts, once, width, "similar")
-    label = components(indexed.unionByName(first), "a", "b").withColumnRenamed("node", "fp")
-    labelled = long.drop("component").join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    mixed = labelled.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
-    open_ = cut(labelled.join(mixed, "h", "left_semi").join(maps.select("fp", "bits"), "fp"), "open")
-    rest = paired(open_, _map_bound([F.col("x.bits")[i] for i in range(LONGS)], [F.col("y.bits")[i] for i in range(LONGS)], F.col("x.n") + F.col("y.n")))
-    return first.unionByName(_verified(rest, maps, texts, once, width, "rest"))
+    pairs = paired(postings.where(F.col("size") <= longest), ["h"], F.lit(True))
+    lists, found, meet = postings.where(F.col("size") > longest), [], MEET
+    while True:
+        counts = lists.groupBy("h", "component").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("within"))
+        mixed = cut(counts.where(F.col("size") * F.col("size") > F.col("within")), "mixed")
+        rows, most, left = mixed.agg(F.sum("size"), F.max("size"), F.sum((F.col("size") * F.col("size") - F.col("within")) / 2)).first()
+        if rows:
+            meet = most if left <= FEW * rows else meet
+            open_ = lists.join(mixed.select("h"), "h", "left_semi")
+            open_ = cut(open_ if found else open_.join(maps.select("fp", "bits"), "fp"), "open")
+            groups = open_.withColumn("group", F.pmod(F.xxhash64("h", F.lit(meet), "fp"), F.ceil(F.col("size") / F.lit(meet))))
+            met = paired(groups, ["h", "group"], _map_bound([F.col("x.bits")[i] for i in range(LONGS)], [F.col("y.bits")[i] for i in range(LONGS)], F.col("x.n") + F.col("y.n")))
+            pairs = met if found else pairs.unionByName(met).distinct()
+        if rows or not found:
+            found.append(_verified(pairs, maps, texts, once, width, "similar"))
+        if not rows or meet >= most:
+            return reduce(DataFrame.unionByName, found)
+        label = components(reduce(DataFrame.unionByName, found, indexed), "a", "b").withColumnRenamed("node", "fp")
+        lists = open_.where(F.col("size") > meet).drop("component").join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+        lists, meet = cut(lists, "lists"), meet * GROWTH
 
 
 def similar(docs: DataFrame, width: int = WIDTH, longest: int = 2) -> DataFrame:

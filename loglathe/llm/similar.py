@@ -18,9 +18,9 @@ Lists of up to ``longest`` sets are paired, where their components differ.  Long
 deals a list's sets into groups at random and pairs them within a group, where the maps allow it and the
 links so far leave the two in different components, since another link within a component changes
 nothing.  The groups grow from round to round until each list has been one, so no link is lost.  Where many
-sets are similar a few links join most of them: of all links a sample of the share p leaves, on average,
-no more than one set's worth in 1 / p between different components, so a round makes about GROWTH times
-as many pairs of similar sets as there are sets, however many pairs the group has.
+sets are similar a few links join most of them: a sample that takes each link with probability p leaves, on
+average, at most n / p links between different components of n sets.  Groups aren't quite such a sample, but
+by that measure a round makes about GROWTH pairs of similar sets for each set, however many the list has.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ LONGS = 16
 BITMAP = 64 * LONGS
 #: Sets of a long list that meet in the first round, and how many times more do in each next one.
 MEET, GROWTH = 8, 32
-#: The rounds end where so many pairs for each place in the lists are left.
+#: A round is the last, with whole lists, where at most so many pairs for each place in them are left.
 FEW = 8
 
 

@@ -57,9 +57,16 @@ def null() -> Column:
     return F.lit("null")
 
 
+def bound(value: Column, build: Callable[[Column], Column]) -> Column:
+    """build(value), with value worked out once: where it stands several times, or within a lambda, the
+    optimiser leaves copies, of which each is worked out for each element."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 def quoted(text: Column) -> Column:
-    """The JSON literal of a string; SQL NULL stays."""
-    return F.when(text.isNotNull(), F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1))
+    """The JSON literal of a string; SQL NULL stays.  Only what may have to be escaped goes through to_json."""
+    escaped = lambda t: F.regexp_extract(F.to_json(F.array(t)), r"(?s)^\[(.*)\]$", 1)
+    return bound(text, lambda t: F.when(t.rlike(r"[^ !#-\[\]-~]"), escaped(t)).otherwise(F.concat(F.lit('"'), t, F.lit('"'))))
 
 
 def word(text: str) -> Column:
@@ -69,8 +76,10 @@ def word(text: str) -> Column:
 
 
 def text_of(literal: Column) -> Column:
-    """A literal as text: strings without quotes, null as SQL NULL, other literals as they are."""
-    return F.get_json_object(F.concat(F.lit('{"a":'), literal, F.lit("}")), "$.a")
+    """A literal as text: strings without quotes, null as SQL NULL, other literals as they are.  Only
+    strings without escapes are cut from their quotes, all else is read as JSON."""
+    read = lambda v: F.get_json_object(F.concat(F.lit('{"a":'), v, F.lit("}")), "$.a")
+    return bound(literal, lambda v: F.when(v.rlike(r'\A"[ !#-\[\]-~]*+"\z'), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(read(v)))
 
 
 def number_of(literal: Column) -> Column:

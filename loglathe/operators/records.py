@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.literals import among, falsy, field, obj, overlay, put, quoted, record, text_of, word
+from ..functions.literals import among, bound, falsy, field, obj, overlay, put, quoted, record, text_of, word
 from .normalising import Defaults
 from .parsing import VERSION
 
@@ -26,9 +26,14 @@ CLASSIFIED = (
 
 def canonical_json(fields: Column) -> Column:
     """The record as one JSON object, in canonical order at its top."""
-    others = F.array_sort(F.filter(F.map_keys(fields), lambda k: ~among(k, ORDER)))
-    keys = F.concat(F.filter(F.split(F.lit(" ".join(ORDER)), " "), lambda k: F.map_contains_key(fields, k)), others)
-    return F.concat(F.lit("{"), F.array_join(F.transform(keys, lambda k: F.concat(quoted(k), F.lit(": "), F.element_at(fields, k))), ", "), F.lit("}"))
+
+    def text(rec: Column) -> Column:
+        known = [F.concat(F.lit(f'"{k}": '), field(rec, k)) for k in ORDER]
+        others = F.array_sort(F.filter(F.map_keys(rec), lambda k: ~among(k, ORDER)))
+        rest = F.transform(others, lambda k: F.concat(quoted(k), F.lit(": "), F.element_at(rec, k)))
+        return F.when(rec.isNotNull(), F.concat(F.lit("{"), F.concat_ws(", ", *known, rest), F.lit("}")))
+
+    return bound(fields, text)
 
 
 def with_provenance(fields: Column) -> Column:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.literals import among, compiled, looked_up, null, parsed, drop, falsy, field, obj, overlay, put, quoted, record, text_of, word
+from ..functions.literals import among, bound, compiled, looked_up, null, parsed, drop, falsy, field, obj, overlay, put, quoted, record, text_of, word
 from ..functions.units import clean_numeric, duration_ms, plain
 from ..functions.vocabulary import BUILT_IN, Vocabulary, canonical, canonical_flags
 
@@ -94,6 +94,10 @@ _PARTS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]++'
 _NAMED = rf'"({"|".join(DURATIONS + NUMBERS)})"\s*:\s*"'
 
 
+def _nested(literal: Column) -> Column:
+    return literal.startswith("{") | literal.startswith("[")
+
+
 def _in_units(name: Column, text: Column) -> Column:
     """The literal that a string in a field of that name stands for, or SQL NULL."""
     return F.when(name.isin(DURATIONS), plain(duration_ms(text))).when(name.isin(NUMBERS), clean_numeric(text))
@@ -104,12 +108,12 @@ def _rewritten(literal: Column) -> Column:
     follows a colon is a value, and the string before that is its name, so no level needs to be known."""
     tokens = F.regexp_extract_all(F.to_json(F.try_parse_json(literal)), F.lit(_PARTS), F.lit(0))
 
-    def part(token: Column, i: Column) -> Column:
-        name = text_of(F.get(tokens, i - 2))
-        done = F.when(F.get(tokens, i - 1) == ":", _in_units(name, text_of(token)))
+    def part(every: Column, token: Column, i: Column) -> Column:
+        name = text_of(F.get(every, i - 2))
+        done = F.when(F.get(every, i - 1) == ":", _in_units(name, text_of(token)))
         return F.when(token.startswith('"'), F.coalesce(done, token)).otherwise(F.regexp_replace(token, "([,:])", "$1 "))
 
-    return F.array_join(F.transform(tokens, part), "")
+    return bound(tokens, lambda every: F.array_join(F.transform(every, lambda x, i: part(every, x, i)), ""))
 
 
 def units(fields: Column) -> Column:
@@ -118,7 +122,7 @@ def units(fields: Column) -> Column:
 
     def value(name: Column, literal: Column) -> Column:
         own = F.when(literal.startswith('"') & among(name, DURATIONS + NUMBERS), _in_units(name, text_of(literal)))
-        return F.when(literal.rlike(r"^[{\[]") & literal.rlike(_NAMED), _rewritten(literal)).otherwise(F.coalesce(own, literal))
+        return F.when(_nested(literal) & literal.rlike(_NAMED), _rewritten(literal)).otherwise(F.coalesce(own, literal))
 
     return F.transform_values(fields, value)
 
@@ -127,7 +131,7 @@ def unit_errors(fields: Column) -> Column:
     """What units() had to leave: strings in fields of durations and numbers, those of objects and lists
     below after the record's own."""
     left = F.map_keys(F.map_filter(fields, lambda k, v: k.isin(DURATIONS + NUMBERS) & v.startswith('"')))
-    below = F.transform(F.filter(F.map_values(fields), lambda v: v.rlike(r"^[{\[]") & v.rlike(_NAMED)), lambda v: F.regexp_extract_all(v, F.lit(_NAMED), F.lit(1)))
+    below = F.transform(F.filter(F.map_values(fields), lambda v: _nested(v) & v.rlike(_NAMED)), lambda v: F.regexp_extract_all(v, F.lit(_NAMED), F.lit(1)))
     every = F.concat(left, F.coalesce(F.flatten(below), F.array().cast("array<string>")))
     return F.array_join(F.transform(every, lambda k: F.concat(k, F.lit(": not a "), F.when(k.isin(DURATIONS), "duration").otherwise("number"))), "; ")
 
@@ -223,8 +227,9 @@ def relocate(fields: Column, domain: str) -> Column:
 
 def literal(fields: Column) -> Column:
     """A record as the literal of an object, keys in alphabetical order."""
-    members = F.transform(F.array_sort(F.map_keys(fields)), lambda k: F.concat(quoted(k), F.lit(": "), F.element_at(fields, k)))
-    return F.concat(F.lit("{"), F.array_join(members, ", "), F.lit("}"))
+    member = lambda rec, k: F.concat(quoted(k), F.lit(": "), F.element_at(rec, k))
+    members = lambda rec: F.transform(F.array_sort(F.map_keys(rec)), lambda k: member(rec, k))
+    return bound(fields, lambda rec: F.concat(F.lit("{"), F.array_join(members(rec), ", "), F.lit("}")))
 
 
 def conditional(fields: Column, domain: str) -> Column:

@@ -102,7 +102,6 @@ def with_words(contracts: dict[str, dict], vocabulary: Vocabulary) -> dict[str,
 
 _NUMBER = r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"
 _TYPES = {"string": '^"', "number": _NUMBER, "integer": r"^-?\d+(\.0+)?$", "boolean": "^(true|false)$", "object": r"^\{", "array": r"^\[", "null": "^null$"}
-_ROW = "array<struct<path: string, keyword: string, text: string, number: double, words: array<string>, under: string, forms: string, like: string>>"
 
 
 def _rows(spec: dict[str, Any], path: str, under: str | None, form: str | None) -> list[dict]:
@@ -159,12 +158,6 @@ def _extent(contracts: dict[str, dict]) -> tuple[int, bool]:
     return max([1, *(r["path"].count("/") + (r["keyword"] in inner) for r in rows)]), any(r["like"] for r in rows)
 
 
-@compiled
-def _table(contract: str) -> Column:
-    rows = _rows(json.loads(contract), "", None, None)
-    return F.from_json(F.lit(json.dumps(rows)), _ROW)
-
-
 def flat(values: Column, lists: bool = False) -> Column:
     """The members of the objects among values by path, by their own paths: ``/meta/parse`` of ``/meta``;
     lists: also the elements of lists, by place: ``/tags/0``."""
@@ -185,74 +178,120 @@ def _names(values: Column, path: Column) -> Column:
     return F.transform(F.filter(F.map_keys(values), lambda k: k.startswith(start) & ~F.contains(F.substr(k, F.length(start) + 1), F.lit("/"))), lambda k: F.substr(k, F.length(start) + 1))
 
 
-def _keeps(values: Column, row: Column) -> Column:
-    value = F.element_at(values, row["path"])
+#: What a type's expression says of strings, objects and lists, as the text that their literals start with.
+_STARTS = {_TYPES[k]: v for k, v in (("string", '"'), ("object", "{"), ("array", "["))}
+
+
+def _keeps(values: Column, value: Column, path: Column, row: dict, above: Column | None) -> Column:
+    """Whether the value at a path keeps to a statement.  above: where the members stand that no statement
+    of the contract names; None where they have to be looked for."""
+    whole, k, words = row["path"] == "", row["keyword"], row["words"]
     text = text_of(value)
-    whole = row["path"] == ""
     number = F.when(value.rlike(_NUMBER), value.cast("double"))
     items = F.from_json(F.when(value.startswith("["), value), "array<string>")
-    names = _names(values, row["path"])
-    k = row["keyword"]
-    there = whole | value.isNotNull()
-    member = lambda name: F.map_contains_key(values, F.concat(row["path"], F.lit("/"), name))
-    parts = F.split(row["text"], " ")
-    asked = F.array_contains(row["words"], F.element_at(values, F.concat(row["path"], F.lit("/"), parts[0])))
-    string, object_ = value.startswith('"'), whole | value.startswith("{")
-    met = (
-        F.when(k == "type", whole | F.regexp_like(value, row["text"]))
-        .when(k == "enum", F.array_contains(row["words"], value))
-        .when(k == "minLength", ~string | (F.length(text) >= row["number"]))
-        .when(k == "maxLength", ~string | (F.length(text) <= row["number"]))
-        .when(k == "pattern", ~string | F.regexp_like(text, row["text"]))
-        .when(k == "minimum", number.isNull() | (number >= row["number"]))
-        .when(k == "maximum", number.isNull() | (number <= row["number"]))
-        .when(k == "exclusiveMinimum", number.isNull() | (number > row["number"]))
-        .when(k == "maxItems", items.isNull() | (F.size(items) <= row["number"]))
-        .when(k == "minProperties", ~object_ | (F.size(names) >= row["number"]))
-        .when(k == "uniqueItems", items.isNull() | (F.size(items) == F.size(F.array_distinct(items))))
-        .when(k == "items", items.isNull() | (F.size(F.array_except(items, row["words"])) == 0))
-        .when(k == "required", ~object_ | member(row["text"]))
-        .when(k == "additionalProperties", ~object_ | (F.size(F.array_except(names, row["words"])) == 0))
-        .when(k == "then", ~F.coalesce(asked, F.lit(False)) | member(parts[1]))
-        .otherwise(F.lit(True))
-    )
-    return ~there | F.coalesce(met, F.lit(False))
+    member = lambda name: F.map_contains_key(values, F.concat(path, F.lit(f"/{name}")))
+    string, object_ = value.startswith('"'), F.lit(True) if whole else value.startswith("{")
+    if k == "type":
+        met = F.lit(True) if whole else value.startswith(_STARTS[row["text"]]) if row["text"] in _STARTS else value.rlike(row["text"])
+    elif k == "enum":
+        met = value.isin(words)
+    elif k in ("minLength", "maxLength"):
+        met = ~string | (F.length(text) >= row["number"] if k == "minLength" else F.length(text) <= row["number"])
+    elif k == "pattern":
+        met = ~string | text.rlike(row["text"])
+    elif k in ("minimum", "maximum", "exclusiveMinimum"):
+        met = number.isNull() | {"minimum": number >= row["number"], "maximum": number <= row["number"], "exclusiveMinimum": number > row["number"]}[k]
+    elif k == "maxItems":
+        met = items.isNull() | (F.size(items) <= row["number"])
+    elif k == "minProperties":
+        met = ~object_ | (F.size(_names(values, path)) >= row["number"])
+    elif k == "uniqueItems":
+        met = items.isNull() | (F.size(items) == F.size(F.array_distinct(items)))
+    elif k == "items":
+        met = items.isNull() | (F.size(F.array_except(items, _texts(words))) == 0)
+    elif k == "required":
+        met = ~object_ | member(row["text"])
+    elif k == "additionalProperties":
+        met = ~object_ | (F.size(F.array_except(_names(values, path), _texts(words))) == 0 if above is None else ~F.array_contains(above, row["path"]))
+    elif k == "then":
+        name, needed = row["text"].split(" ")
+        asked = F.element_at(values, F.concat(path, F.lit(f"/{name}"))).isin(words)
+        met = ~F.coalesce(asked, F.lit(False)) | member(needed)
+    else:
+        return F.lit(True)
+    kept = F.coalesce(met, F.lit(False))
+    return kept if whole else value.isNull() | kept
+
+
+def _texts(words: list[str]) -> Column:
+    return F.from_json(F.lit(json.dumps(words)), "array<string>")
+
+
+def _paths(rows: list[dict]) -> list[str]:
+    return list(dict.fromkeys(r["path"] for r in rows if not r["like"]))
+
+
+@compiled
+def _looked(contract: str, values: str) -> Column:
+    """The values at a contract's paths, and where the members stand that it doesn't name."""
+    rows = _rows(json.loads(contract), "", None, None)
+    named = [f"{r['path']}/{w}" for r in rows if r["keyword"] == "additionalProperties" and not r["like"] for w in r["words"] if "/" not in w]
+    odd = F.array_except(F.map_keys(values), _texts(named))
+    at = F.array(*(F.element_at(F.col(values), F.lit(p)) for p in _paths(rows)))
+    return F.struct(at.alias("at"), F.transform(odd, lambda k: F.regexp_extract(k, r"(?s)\A(.*)/", 1)).alias("above"))
+
+
+@compiled
+def _failures(contract: str, values: str, looked: str) -> Column:
+    """The statements of a contract that aren't kept, in its order, those of oneOf last."""
+    rows = _rows(json.loads(contract), "", None, None)
+    place = {p: i for i, p in enumerate(_paths(rows))}
+    found, at, above = F.col(values), F.col(f"{looked}.at"), F.col(f"{looked}.above")
+    none = F.array().cast(_FAILURES)
+    said = lambda r, path: F.struct(path.alias("path"), F.lit(r["keyword"]).alias("keyword"), F.lit(r["text"]).alias("text"))
+
+    def broken(r: dict) -> Column:
+        """Its failures: for what is said of lists' elements, one for each."""
+        if not r["like"]:
+            return F.when(_keeps(found, at[place[r["path"]]], F.lit(r["path"]), r, above), none).otherwise(F.array(said(r, F.lit(r["path"]))))
+        wrong = lambda k: F.regexp_like(k, F.lit(r["like"])) & ~_keeps(found, F.element_at(found, k), k, r, None)
+        return F.coalesce(F.transform(F.filter(F.map_keys(found), wrong), lambda k: said(r, k)), none)
+
+    def one(r: dict) -> Column:
+        """Of a oneOf exactly one form has to be kept."""
+        forms: dict[str, list[Column]] = {}
+        for x in rows:
+            if x["forms"] and x["forms"].split(" ")[0] == r["path"]:
+                forms.setdefault(x["forms"], []).append(F.size(broken(x)))
+        bad = sum(((sum(sizes[1:], sizes[0]) > 0).cast("int") for sizes in forms.values()), F.lit(0))
+        value = at[place[r["path"]]]
+        return F.when(value.isNull() | (F.lit(int(r["number"])) - bad == 1), none).otherwise(F.array(said(r, F.lit(r["path"]))))
+
+    return F.concat(*(broken(r) for r in rows if not r["forms"] and r["keyword"] != "oneOf"), *(one(r) for r in rows if r["keyword"] == "oneOf"), none)
+
+
+_FAILURES = "array<struct<path: string, keyword: string, text: string>>"
 
 
 def check(rows: DataFrame, name: str, domain: Column, contracts: dict[str, dict] = CONTRACTS) -> DataFrame:
     """Rows with the column ``failures``: an array of (path, keyword, text), empty for a record in the
     column ``name`` that keeps to the contract of its domain, and one ``schema`` failure without one.
 
-    A contract is a table of statements, so one expression serves them all.  Values are looked at as deep
-    as the contracts speak of them; what is said of a list's items holds for each, at ``/list/<place>``.
+    Each statement becomes a column over the record's values, which are looked up once.  Values are looked
+    at as deep as the contracts speak of them; what is said of a list's items holds for each, at
+    ``/list/<place>``.
     """
     rec = F.col(name)
-    table = F
-    for d, contract in contracts.items():
-        table = table.when(domain == d, _table(json.dumps(contract)))
-    rows = rows.withColumn("_contract", table)
     top = F.map_from_entries(F.transform(F.map_entries(rec), lambda e: F.struct(F.concat(F.lit("/"), e["key"]).alias("key"), e["value"].alias("value"))))
     depth, lists = _extent(contracts)
-    rows = rows.withColumn("_level1", top)
+    rows = rows.withColumn("_domain_of", domain).withColumn("_level1", top)
     for i in range(2, depth + 1):
         rows = rows.withColumn(f"_level{i}", flat(F.col(f"_level{i - 1}"), lists))
     levels = [f"_level{i}" for i in range(1, depth + 1)]
     rows = rows.withColumn("_values", F.map_concat(*levels))
-    if lists:
-        places = lambda r: F.transform(F.filter(F.map_keys("_values"), lambda k: F.regexp_like(k, r["like"])), lambda k: r.withField("path", k))
-        rows = rows.withColumn("_contract", F.flatten(F.transform("_contract", lambda r: F.when(r["like"].isNull(), F.array(r)).otherwise(places(r)))))
-    values = F.col("_values")
-    broken = F.filter(F.col("_contract"), lambda r: ~_keeps(values, r))
-    rows = rows.withColumn("_broken", broken)
-    # of a oneOf exactly one form has to be kept
-    def one(r: Column) -> Column:
-        bad = F.filter(F.array_distinct(F.filter(F.col("_broken.forms"), lambda f: f.isNotNull())), lambda f: F.split_part(f, F.lit(" "), F.lit(1)) == r["path"])
-        return F.element_at(values, r["path"]).isNull() | (r["number"] - F.size(bad) == 1)
-
-    fail = F.concat(
-        F.filter(F.col("_broken"), lambda r: r["forms"].isNull()),
-        F.filter(F.col("_contract"), lambda r: (r["keyword"] == "oneOf") & ~one(r)),
-    )
-    said = F.transform(fail, lambda r: F.struct(r["path"].alias("path"), r["keyword"].alias("keyword"), r["text"].alias("text")))
+    looked, said = F, F
+    for d, contract in contracts.items():
+        own = F.col("_domain_of") == d
+        looked, said = looked.when(own, _looked(json.dumps(contract), "_values")), said.when(own, _failures(json.dumps(contract), "_values", "_looked"))
     none = F.array(F.struct(F.lit("").alias("path"), F.lit("schema").alias("keyword"), F.lit("no contract").alias("text")))
-    return rows.withColumn("failures", F.coalesce(said, none)).drop("_contract", *levels, "_values", "_broken")
+    return rows.withColumn("_looked", looked).withColumn("failures", F.coalesce(said, none)).drop("_domain_of", *levels, "_values", "_looked")

@@ -58,7 +58,8 @@ def differences(a: DataFrame, b: DataFrame, order: str = "_seq", name: str = "re
 def _digests(rows: DataFrame, order: str, name: str, by: list[Column]) -> DataFrame:
     """Rows (*by, n, digest): equal for groups of the same records at the same places."""
     text = F.sha2(F.concat(F.col(order).cast("string"), F.lit(" "), canonical_json(F.col(name))), 256)
-    parts = [F.bit_xor(F.conv(F.substring(text, 1 + 15 * i, 15), 16, 10).cast("long")).alias(f"d{i}") for i in range(4)]
+    rows = rows.withColumn("_text", text)  # once, not in each part
+    parts = [F.bit_xor(F.conv(F.substring("_text", 1 + 15 * i, 15), 16, 10).cast("long")).alias(f"d{i}") for i in range(4)]
     grouped = rows.groupBy(*by).agg(F.count("*").alias("n"), *parts)
     return grouped.withColumn("digest", F.concat_ws("-", "d0", "d1", "d2", "d3")).drop("d0", "d1", "d2", "d3")
 
